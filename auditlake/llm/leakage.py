@@ -127,6 +127,8 @@ class Items:
         size = np.diff(edges)
         enough = np.repeat(size >= self.least[pair[edges[:-1]] % len(self.items)], size)
         pair, diagonal, place = pair[enough], diagonal[enough], place[enough]
+        if not len(pair):
+            return []
         found: dict[tuple[int, int], tuple[list[int], np.ndarray]] = {}
         bands = (int(diagonal.max(initial=0)) + width) // width + 1
         # Bands overlap by half: any edits + 1 neighbouring diagonals lie within one of them.
