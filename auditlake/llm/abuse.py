@@ -29,7 +29,7 @@ PRIOR_WORDS = (
 ).split()
 PRIOR_WEIGHT = 1.5
 #: Share of a feature's log-odds over documents that its weight starts from.
-HOLD = 0.5
+HOLD = 1.0
 #: Log-odds up to this size count as none: sentences of many ordinary words would else add them up.
 SLACK = 0.7
 
@@ -94,6 +94,14 @@ def features(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     first = np.append(True, (np.diff(where) > 1) | (np.diff(owner) > 0))
     begin = np.flatnonzero(first)
     end = np.append(begin[1:], len(where))
+    # Three or more single letters in a row are one spaced-out word.
+    single = np.concatenate([[False], (end - begin == 1) & (kinds[where[begin]] & 1 > 0), [False]])
+    up, down = np.flatnonzero(single[1:] & ~single[:-1]), np.flatnonzero(~single[1:] & single[:-1])
+    for a, b in zip(up[down - up >= 3].tolist(), down[down - up >= 3].tolist(), strict=True):
+        inner = np.arange(a + 1, b)
+        first[begin[inner[owner[begin[inner]] == owner[begin[a]]]]] = False
+    begin = np.flatnonzero(first)
+    end = np.append(begin[1:], len(where))
     letter = stands[cp[where]]
     # Of three or more equal letters in a row only the first stays.
     token = np.cumsum(first)
@@ -188,22 +196,52 @@ class Model:
         return 1 - np.exp(clean)
 
 
-def fit(texts: Sequence[str], votes: pd.DataFrame, epochs: int = 80, rounds: int = 2) -> Model:
+def _descend(own: np.ndarray, s: np.ndarray, at: np.ndarray, prior: np.ndarray, target: np.ndarray, docs: np.ndarray, bias: float, epochs: int) -> tuple[np.ndarray, float]:
+    """Weights and bias fitted on the documents ``docs`` (a mask) by gradient steps on the noisy-or likelihood."""
+    use = docs[own[s]]
+    s, at = s[use], at[use]
+    n, m = len(target), len(prior)
+    # Weights start from, and are held to, each feature's log-odds over documents, shrunk where documents are few:
+    # passages that share a document with worse ones would else be explained away.
+    pairs = np.unique(own[s] * m + at)
+    base = float(np.clip(target[docs].mean(), 0.02, 0.5))
+    yes_in = np.bincount(pairs % m, target[pairs // m], minlength=m)
+    seen_in = np.bincount(pairs % m, minlength=m)
+    rate = (yes_in + 2 * base) / (seen_in + 2)
+    odds = (np.log(rate / (1 - rate)) - np.log(base / (1 - base))) * seen_in / (seen_in + 4)
+    w0 = prior + HOLD * np.sign(odds) * np.maximum(np.abs(odds) - SLACK, 0)
+    w = w0.copy()
+    mine = docs[own]
+    square, square_bias = np.full(m, 1e-6), 1e-6
+    for _ in range(epochs):
+        p = _sigmoid(bias + np.bincount(s, w[at], minlength=len(own)))
+        clean = np.exp(np.bincount(own, np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=n))
+        score = np.clip(1 - clean, 1e-6, 1)
+        grad = np.where(mine, p * (target * (1 - score) / score - (1 - target))[own], 0.0)
+        g = np.bincount(at, grad[s], minlength=m) - 0.2 * (w - w0)
+        gb = grad.sum()
+        square += g * g
+        square_bias += gb * gb
+        w = w + 0.2 * g / np.sqrt(square + 1.0)
+        bias = bias + 0.2 * gb / np.sqrt(square_bias)
+    return w, bias
+
+
+def fit(texts: Sequence[str], votes: pd.DataFrame, epochs: int = 20) -> Model:
     """The model of labelled documents; ``votes`` has text (index), reviewer and abusive (0 or 1).
 
-    Reviewers' reliability is estimated along: a document's target is the posterior of its votes, each weighted by
-    how often that reviewer agrees with the model so far. No votes: the prior's model.
+    Reviewers err, so votes are checked first: each half of the documents is scored by a model of the other half;
+    a reviewer's reliability is how often the votes agree with those scores, and a document's target is the
+    posterior of its votes and its score. The model is then fitted on all. No votes: the prior's model.
     """
     weights = np.zeros(1 << BITS)
     for word in PRIOR_WORDS:
         weights[word_feature(word)] = PRIOR_WEIGHT
-    prior, bias = weights.copy(), -3.0
+    bias = -4.5
     votes = votes.dropna(subset=["abusive"])
-    if votes.empty or not len(texts):
-        return Model(weights, bias)
-    own, s, f, _, _ = features(texts)
     n = len(texts)
-    if not len(own):
+    own, s, f, _, _ = features(texts)
+    if votes.empty or not len(own):
         return Model(weights, bias)
     text_of, yes = votes["text"].to_numpy(), votes["abusive"].to_numpy() > 0
     reviewer, _ = pd.factorize(votes["reviewer"].fillna(""))
@@ -211,44 +249,24 @@ def fit(texts: Sequence[str], votes: pd.DataFrame, epochs: int = 80, rounds: int
     # A feature of fewer documents would learn to name a document rather than a passage; it keeps its prior.
     doc_feature = np.unique(own[s] << BITS | f)
     spread = np.bincount(doc_feature & ((1 << BITS) - 1), minlength=1 << BITS)
-    usable = (spread >= (2 if n < 500 else 3))[f] | (prior[f] > 0)
+    usable = (spread >= (2 if n < 500 else 3))[f] | (weights[f] > 0)
     s, f = s[usable], f[usable]
     ids, at = np.unique(f, return_inverse=True)
-    # Weights start from, and are held to, each feature's log-odds over documents, shrunk where documents are few:
-    # passages that share a document with worse ones would else be explained away.
-    pairs = np.unique(own[s] * len(ids) + at)
-    base = float(np.clip(target.mean(), 0.02, 0.5))
-    yes_in = np.bincount(pairs % len(ids), target[pairs // len(ids)], minlength=len(ids))
-    seen_in = np.bincount(pairs % len(ids), minlength=len(ids))
-    rate = (yes_in + 2 * base) / (seen_in + 2)
-    odds = np.log(rate / (1 - rate)) - np.log(base / (1 - base))
-    odds = odds * seen_in / (seen_in + 4)
-    w0 = prior[ids] + HOLD * np.sign(odds) * np.maximum(np.abs(odds) - SLACK, 0)
-    w = w0.copy()
-    for r in range(rounds):
-        square, square_bias = np.full(len(ids), 1e-6), 1e-6
-        for _ in range(epochs):
-            z = bias + np.bincount(s, w[at], minlength=len(own))
-            p = _sigmoid(z)
-            clean = np.exp(np.bincount(own, np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=n))
-            score = np.clip(1 - clean, 1e-6, 1)
-            grad = (p * (target * (1 - score) / score - (1 - target))[own])
-            g = np.bincount(at, grad[s], minlength=len(ids)) - 0.05 * (w - w0)
-            gb = grad.sum()
-            square += g * g
-            square_bias += gb * gb
-            w = w + 0.5 * g / np.sqrt(square + 1.0)
-            bias = bias + 0.2 * gb / np.sqrt(square_bias)
-        if r + 1 < rounds:
-            z = bias + np.bincount(s, w[at], minlength=len(own))
-            score = 1 - np.exp(np.bincount(own, np.log1p(-np.minimum(_sigmoid(z), 1 - 1e-9)), minlength=n))
-            belief = np.where(score > 0.5, 1.0, 0.0)
-            right = np.bincount(reviewer, (belief[text_of] == yes)) + 8
-            seen = np.bincount(reviewer) + 9
-            rate = np.clip(right / seen, 0.55, 0.98)
-            logit = np.bincount(text_of, np.where(yes, 1, -1) * np.log(rate / (1 - rate))[reviewer], minlength=n)
-            target = _sigmoid(logit)
-    weights[ids] = w
+    prior = weights[ids]
+    if len(ids):
+        half = np.arange(n) % 2 == 0
+        score = np.zeros(n)
+        for docs in (half, ~half):
+            if docs.any():
+                w, b = _descend(own, s, at, prior, target, docs, bias, epochs)
+                clean = np.bincount(own, np.log1p(-np.minimum(_sigmoid(b + np.bincount(s, w[at], minlength=len(own))), 1 - 1e-9)), minlength=n)
+                score = np.where(docs, score, 1 - np.exp(clean))
+        right = np.bincount(reviewer, (score[text_of] > 0.5) == yes) + 18
+        rate = np.clip(right / (np.bincount(reviewer) + 20), 0.6, 0.98)
+        score = np.clip(score, 0.03, 0.97)
+        trust = min(1.0, n / 2000)  # scores of a model of few documents say little
+        logit = np.bincount(text_of, np.where(yes, 1, -1) * np.log(rate / (1 - rate))[reviewer], minlength=n) + trust * np.log(score / (1 - score))
+        weights[ids], bias = _descend(own, s, at, prior, np.clip(1.6 * _sigmoid(logit) - 0.3, 0, 1), np.ones(n, bool), bias, epochs)
     return Model(weights, bias)
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditlake.llm import abuse
 from auditlake.llm.format_dups import collapsed, format_duplicates
 from auditlake.llm.leakage import leaked, leaks
+from auditlake.llm.packing import containers, fill_report
 from auditlake.session import table
 
 
@@ -18,6 +20,14 @@ def p3_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapsed(table(spark, sf_dir, "raw_pages"))
 
 
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containers(table(spark, sf_dir, "documents"))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_report(containers(table(spark, sf_dir, "documents")))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -28,7 +38,32 @@ def p9_item_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count_if(F.col("windows") > 0).alias("documents"), F.count_if(F.col("windows") == 0).alias("edited_documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_copies, p9_found, p9_item_report)}
+#: Documents of this score or more count as abusive.
+ABUSIVE = 0.5
+
+
+def _model(spark: SparkSession, sf_dir: str) -> abuse.Model:
+    return abuse.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels"))
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.scores(table(spark, sf_dir, "documents"), _model(spark, sf_dir), keep=("source",))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_scores(spark, sf_dir).where(F.col("score") >= ABUSIVE).select("doc_id")
+
+
+def p10_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = p10_scores(spark, sf_dir)
+    return scored.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("score") >= ABUSIVE).alias("abusive"), F.round(F.avg(F.when(F.col("score") >= ABUSIVE, 1.0).otherwise(0.0)), 6).alias("rate"))
+
+
+def p10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.offending_sentences(table(spark, sf_dir, "documents"), _model(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_copies, p8_containers, p8_fill, p9_found, p9_item_report, p10_found, p10_scores, p10_source_rates, p10_sentences)}
 
 _P3 = r"""
 WITH f AS (SELECT raw_id, website_url w, url u, unnest(json_keys(fields)) k, fields FROM raw_pages),
