@@ -203,7 +203,7 @@ def _descend(own: np.ndarray, s: np.ndarray, at: np.ndarray, prior: np.ndarray,
     n, m = len(target), len(prior)
     # Weights start from, and are held to, each feature's log-odds over documents, shrunk where documents are few:
     # passages that share a document with worse ones would else be explained away.
-    pairs = np.unique(own[s] * m + at)
+    pairs = np.unique(own[s].astype(np.int64) * m + at)
     base = float(np.clip(target[docs].mean(), 0.02, 0.5))
     yes_in = np.bincount(pairs % m, target[pairs // m], minlength=m)
     seen_in = np.bincount(pairs % m, minlength=m)
@@ -227,6 +227,18 @@ def _descend(own: np.ndarray, s: np.ndarray, at: np.ndarray, prior: np.ndarray,
     return w, bias
 
 
+def _gathered(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """features() of all texts, slice by slice."""
+    owns, sentences, ids, before = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], 0
+    for owners, _, parts in _slices(texts):
+        own, s, f, _, _ = features(parts)
+        owns.append(np.asarray(owners, np.int32)[own])
+        sentences.append((s + before).astype(np.int32))
+        ids.append(f)
+        before += len(own)
+    return np.concatenate(owns), np.concatenate(sentences), np.concatenate(ids)
+
+
 def fit(texts: Sequence[str], votes: pd.DataFrame, epochs: int = 20) -> Model:
     """The model of labelled documents; ``votes`` has text (index), reviewer and abusive (0 or 1).
 
@@ -240,18 +252,20 @@ def fit(texts: Sequence[str], votes: pd.DataFrame, epochs: int = 20) -> Model:
     bias = -4.5
     votes = votes.dropna(subset=["abusive"])
     n = len(texts)
-    own, s, f, _, _ = features(texts)
+    own, s, f = _gathered(texts)
     if votes.empty or not len(own):
         return Model(weights, bias)
     text_of, yes = votes["text"].to_numpy(), votes["abusive"].to_numpy() > 0
     reviewer, _ = pd.factorize(votes["reviewer"].fillna(""))
     target = np.bincount(text_of, yes, minlength=n) / np.maximum(1, np.bincount(text_of, minlength=n))
     # A feature of fewer documents would learn to name a document rather than a passage; it keeps its prior.
-    doc_feature = np.unique(own[s] << BITS | f)
+    doc_feature = np.unique(own[s].astype(np.int64) << BITS | f)
     spread = np.bincount(doc_feature & ((1 << BITS) - 1), minlength=1 << BITS)
     usable = (spread >= (2 if n < 500 else 3))[f] | (weights[f] > 0)
+    del doc_feature
     s, f = s[usable], f[usable]
     ids, at = np.unique(f, return_inverse=True)
+    at = at.astype(np.int32)
     prior = weights[ids]
     if len(ids):
         half = np.arange(n) % 2 == 0
