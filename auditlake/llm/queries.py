@@ -8,10 +8,28 @@ from pyspark.sql import functions as F
 from auditlake.llm import abuse
 from auditlake.llm.format_dups import collapsed, format_duplicates
 from auditlake.llm.leakage import leaked, leaks
+from auditlake.llm.mojibake import garbled
 from auditlake.llm.packing import containers, fill_report
+from auditlake.llm.template_residue import residue, titles_without_residue
 from auditlake.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue(table(spark, sf_dir, "webpages")).select("webpage_id")
+
+
+def p1_clean_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return titles_without_residue(table(spark, sf_dir, "webpages")).select("webpage_id", "website_url", "title")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled(table(spark, sf_dir, "webpages")).select("webpage_id", "field")
+
+
+def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled(table(spark, sf_dir, "webpages"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_duplicates(table(spark, sf_dir, "raw_pages"))
 
@@ -63,7 +81,7 @@ def p10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.offending_sentences(table(spark, sf_dir, "documents"), _model(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_copies, p8_containers, p8_fill, p9_found, p9_item_report, p10_found, p10_scores, p10_source_rates, p10_sentences)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean_titles, p2_found, p2_restored, p3_found, p3_copies, p8_containers, p8_fill, p9_found, p9_item_report, p10_found, p10_scores, p10_source_rates, p10_sentences)}
 
 _P3 = r"""
 WITH f AS (SELECT raw_id, website_url w, url u, unnest(json_keys(fields)) k, fields FROM raw_pages),
