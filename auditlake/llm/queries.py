@@ -11,6 +11,7 @@ from auditlake.llm.leakage import leaked, leaks
 from auditlake.llm.mojibake import garbled
 from auditlake.llm.packing import containers, fill_report
 from auditlake.llm.template_residue import residue, titles_without_residue
+from auditlake.llm.truncation import cut_rates, cut_values
 from auditlake.session import table
 
 
@@ -38,6 +39,14 @@ def p3_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapsed(table(spark, sf_dir, "raw_pages"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_values(table(spark, sf_dir, "webpages"), table(spark, sf_dir, "backlink_summaries")).select("table_name", "record_id", "item_no")
+
+
+def p5_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_rates(table(spark, sf_dir, "webpages"), table(spark, sf_dir, "backlink_summaries"))
+
+
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containers(table(spark, sf_dir, "documents"))
 
@@ -81,7 +90,7 @@ def p10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.offending_sentences(table(spark, sf_dir, "documents"), _model(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean_titles, p2_found, p2_restored, p3_found, p3_copies, p8_containers, p8_fill, p9_found, p9_item_report, p10_found, p10_scores, p10_source_rates, p10_sentences)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean_titles, p2_found, p2_restored, p3_found, p3_copies, p5_found, p5_source_rates, p8_containers, p8_fill, p9_found, p9_item_report, p10_found, p10_scores, p10_source_rates, p10_sentences)}
 
 _P3 = r"""
 WITH f AS (SELECT raw_id, website_url w, url u, unnest(json_keys(fields)) k, fields FROM raw_pages),
