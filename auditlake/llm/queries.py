@@ -9,6 +9,7 @@ from auditlake.llm import abuse
 from auditlake.llm.format_dups import collapsed, format_duplicates
 from auditlake.llm.leakage import leaked, leaks
 from auditlake.llm.mojibake import garbled
+from auditlake.llm.near_dups import NearDuplicates
 from auditlake.llm.packing import containers, fill_report
 from auditlake.llm.template_residue import residue, titles_without_residue
 from auditlake.llm.truncation import cut_rates, cut_values
@@ -47,6 +48,14 @@ def p5_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_rates(table(spark, sf_dir, "webpages"), table(spark, sf_dir, "backlink_summaries"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return NearDuplicates(table(spark, sf_dir, "webpages")).record_pairs()
+
+
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return NearDuplicates(table(spark, sf_dir, "webpages")).groups()
+
+
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containers(table(spark, sf_dir, "documents"))
 
@@ -90,7 +99,7 @@ def p10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.offending_sentences(table(spark, sf_dir, "documents"), _model(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean_titles, p2_found, p2_restored, p3_found, p3_copies, p5_found, p5_source_rates, p8_containers, p8_fill, p9_found, p9_item_report, p10_found, p10_scores, p10_source_rates, p10_sentences)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean_titles, p2_found, p2_restored, p3_found, p3_copies, p5_found, p5_source_rates, p6_found, p6_groups, p8_containers, p8_fill, p9_found, p9_item_report, p10_found, p10_scores, p10_source_rates, p10_sentences)}
 
 _P3 = r"""
 WITH f AS (SELECT raw_id, website_url w, url u, unnest(json_keys(fields)) k, fields FROM raw_pages),
@@ -103,6 +112,16 @@ g AS (SELECT raw_id, min(raw_id) OVER p AS first_raw_id, count(*) OVER p AS copi
 SQL = {
     "p3_found": _P3 + "SELECT first_raw_id, raw_id FROM g WHERE raw_id > first_raw_id",
     "p3_copies": _P3 + "SELECT raw_id, copies FROM g WHERE raw_id = first_raw_id",
+    "p6_found": r"""
+WITH w AS (SELECT webpage_id AS id, list_sort(list_distinct(regexp_extract_all(lower(title || ' ' || meta_description), '[\p{L}\p{N}]{4,}'))) AS l
+           FROM webpages WHERE title <> '' AND meta_description <> ''),
+d AS (SELECT id, l, len(l) AS n FROM w WHERE len(l) >= 12),
+t AS (SELECT id, n, unnest(l) AS x FROM d),
+f AS (SELECT x, count(*) AS c FROM t GROUP BY 1),
+p AS (SELECT id, n, x FROM (SELECT t.id, t.n, t.x, row_number() OVER (PARTITION BY t.id ORDER BY f.c, t.x) AS r FROM t JOIN f USING (x)) WHERE r <= n - ceil(0.6 * n) + 1),
+c AS (SELECT DISTINCT a.id AS a, b.id AS b FROM p a JOIN p b ON a.x = b.x AND a.id < b.id AND a.n >= 0.6 * b.n AND b.n >= 0.6 * a.n)
+SELECT c.a AS webpage_id_a, c.b AS webpage_id_b FROM c JOIN d u ON u.id = c.a JOIN d v ON v.id = c.b
+WHERE 5 * len(list_intersect(u.l, v.l)) >= 3 * (u.n + v.n - len(list_intersect(u.l, v.l)))""",
     "p9_found": r"""
 WITH w AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS l FROM documents),
 d AS (SELECT id, unnest(list_transform(range(1, len(l) - 10), lambda k: hash(list_slice(l, k, k + 11)))) AS h FROM w WHERE len(l) >= 12),
