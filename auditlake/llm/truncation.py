@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.llm.codes import BASES, codepoints, mix, powers
+from auditlake.session import written
 
 _U = np.uint64
 #: Statistics of word pairs and words are kept in tables of this fixed size, whatever the corpus.
@@ -263,6 +264,7 @@ def cut_values(pages: DataFrame, links: DataFrame) -> DataFrame:
     # Words of the vocabulary stand before another word at least twice; last words are what is in question.
     spoken = values.select(F.explode(F.split(F.regexp_replace("text", r"\s*\S+\s*$", ""), r"\s+")).alias("w")).select(F.regexp_replace("w", r"^[^\p{L}]+|[^\p{L}]+$", "").alias("word"))
     vocabulary = spoken.where(F.col("word").rlike(r"^\p{L}[\p{L}’'-]*$")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    vocabulary = written(vocabulary, "vocabulary")  # it is asked twice
     judged = ends.join(trie_lookup(tokens, vocabulary), "token", "left")
     broken = ~F.coalesce("known", F.lit(True)) & (F.coalesce("longer", F.lit(0)) > 0) & (F.col("n") < F.greatest(F.lit(2.0), F.col("longer") * OWN_WORD))
     strength = F.when(broken & F.col("small"), 1e6).when(broken, 3.0).otherwise(1.0)
