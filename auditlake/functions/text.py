@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from auditlake.functions.rounding import clamp, when
 
@@ -49,6 +54,25 @@ def soft_limit(counts: Column, limit: int = GRAMMAR_LIMIT) -> Column:
     return F.aggregate(counts, F.lit(0), lambda kept, c: kept + F.when(kept < limit, F.least(c, F.lit(limit) - kept)).otherwise(F.least(c, F.lit(1))))
 
 
+_RUN = re.compile(r"\w+")
+
+
+def has_low_density(text: str | None) -> bool:
+    """Whether one of the ten most frequent words (earlier ones first among ties) is longer than three letters and makes up over 5 %; true for short texts."""
+    if text is None or len(text) < 100:
+        return True
+    words = _RUN.findall(text.lower())
+    if len(words) < 50:
+        return True
+    return any(len(w) > 3 and n * 100.0 / len(words) > 5 for w, n in Counter(words).most_common(10))
+
+
+@F.arrow_udf(BooleanType())
+def low_density(text: pa.Array) -> pa.Array:
+    """has_low_density() of a column: a ranking within the row, which would take a shuffle of all words as expressions."""
+    return pa.array([has_low_density(t) for t in text.to_pylist()], pa.bool_())
+
+
 def content_score(words: Column, low_density: Column, ease: Column) -> Column:
     return clamp(F.lit(10.0) - when(words < 300, 5) - when(low_density, 2) - when(ease < 30, 1), 0.0, 10.0)
 

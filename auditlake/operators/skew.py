@@ -70,13 +70,8 @@ def key_counts(pages: DataFrame, fields: Sequence[str], fan_in: int = 32) -> Dat
 def hot_keys(pages: DataFrame, fields: Sequence[str], share: float = 0.03, fan_in: int = 32) -> DataFrame:
     """(field, key_value) held by at least ``share`` of all rows; null is no value, an empty table has none."""
     counts = key_counts(pages, fields, fan_in)
-    # One row a field, so the broadcast side has as many rows as ``fields``.
-    totals = counts.groupBy("field").agg(F.sum("n").alias("total"))
-    return (
-        counts.join(F.broadcast(totals), "field")
-        .where(F.col("key_value").isNotNull() & (F.col("n") >= F.col("total") * F.lit(share)))
-        .select("field", "key_value")
-    )
+    total = pages.agg(F.count(F.lit(1))).scalar()  # read from the files' metadata
+    return counts.where(F.col("key_value").isNotNull() & (F.col("n") >= total * F.lit(share))).select("field", "key_value")
 
 
 def site_profile(pages: DataFrame, key: str, fan_in: int = 32) -> DataFrame:

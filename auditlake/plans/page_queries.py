@@ -66,28 +66,14 @@ def a5_readability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.query(rf"""
-WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}\p{{M}}_]+') AS l FROM documents),
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+') AS l FROM documents),
 t AS (SELECT doc_id, len(l) AS n, unnest(l) AS word, unnest(range(len(l))) AS pos FROM w),
 c AS (SELECT doc_id, any_value(n) AS n, word, count(*) AS k, min(pos) AS first FROM t GROUP BY doc_id, word),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k DESC, first) AS rank FROM c),
 f AS (SELECT doc_id, max(CASE WHEN rank <= 10 AND length(word) > 3 AND k * 100.0 / n > 5 THEN 1 ELSE 0 END) AS hit FROM r GROUP BY 1)
 SELECT w.doc_id, CASE WHEN length(text) < 100 OR len(l) < 50 THEN true ELSE coalesce(hit, 0) = 1 END AS low_density FROM w LEFT JOIN f ON f.doc_id = w.doc_id""")
 def a8_keyword_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _documents(spark, sf_dir).select("doc_id", _low_density(F.col("text")).alias("low_density"))
-
-
-def _low_density(text: Column) -> Column:
-    """Whether one of a text's ten most frequent words (earlier ones first among ties) is longer than three letters and makes up over 5 %; true for short texts.
-
-    All within the row: words are sorted, so equal ones are neighbours; no shuffle of words.
-    """
-    words = F.regexp_extract_all(F.lower(text), F.lit("(" + T.WORD.removeprefix("(?U)").replace(r"\b\w+\b", r"[\p{L}\p{N}\p{M}_]+") + ")"))
-    n = F.size(words)
-    distinct = F.array_distinct(words)
-    # Only words of over 5 % matter, and a text has at most 19 of them; their rank is what is counted ahead of them.
-    counts = F.transform(F.filter(distinct, lambda w: F.size(F.filter(words, lambda x: x == w)) * 100.0 / n > 5), lambda w: F.struct((-F.size(F.filter(words, lambda x: x == w))).alias("k"), F.array_position(words, w).alias("p"), w.alias("w")))
-    hit = F.exists(F.slice(F.array_sort(counts), 1, 10), lambda c: F.length(c.w) > 3)
-    return F.when((F.length(text) < 100) | (n < 50), True).otherwise(hit)
+    return _documents(spark, sf_dir).select("doc_id", T.low_density("text").alias("low_density"))
 
 
 @R.query(
@@ -119,9 +105,11 @@ def a9_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.join(dictionary, "word", "left_anti").select("doc_id", "batch", "word")
 
 
-@R.query("SELECT webpage_id, levenshtein(coalesce(title, ''), coalesce(seo_grade, '') || coalesce(title, '')) AS distance, levenshtein(left(coalesce(title, ''), 40), left(coalesce(meta_description, ''), 40)) AS other FROM webpages")
+@R.query("""WITH p AS (SELECT webpage_id, regexp_replace(coalesce(title, ''), '[^ -~]', '', 'g') AS t, regexp_replace(coalesce(meta_description, ''), '[^ -~]', '', 'g') AS d, coalesce(seo_grade, '') AS g FROM webpages)
+SELECT webpage_id, levenshtein(t, g || t) AS distance, levenshtein(left(t, 40), left(d, 40)) AS other FROM p""")
 def a10_edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, d, g = (F.coalesce(c, F.lit("")) for c in ("title", "meta_description", "seo_grade"))
+    # The SQL engine counts bytes, so both sides compare plain characters only.
+    t, d, g = (F.regexp_replace(F.coalesce(c, F.lit("")), "[^ -~]", "") for c in ("title", "meta_description", "seo_grade"))
     return _pages(spark, sf_dir).select("webpage_id", F.levenshtein(t, F.concat(g, t)).cast("long").alias("distance"), F.levenshtein(F.substring(t, 1, 40), F.substring(d, 1, 40)).cast("long").alias("other"))
 
 
@@ -133,8 +121,8 @@ def a11_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.query("""
-WITH p AS (SELECT doc_id, coalesce(text, '') AS t, instr(lower(coalesce(text, '')), 'because') AS at FROM documents)
-SELECT doc_id, CASE WHEN at > 0 THEN CASE WHEN greatest(1, at - 40) > 1 THEN '...' ELSE '' END || substr(t, greatest(1, at - 40), least(length(t) + 1, at + 47) - greatest(1, at - 40)) || CASE WHEN least(length(t) + 1, at + 47) <= length(t) THEN '...' ELSE '' END END AS context FROM p""")
+WITH p AS (SELECT doc_id, coalesce(text, '') AS t, instr(lower(coalesce(text, '')), 'because') AS place FROM documents)
+SELECT doc_id, CASE WHEN place > 0 THEN CASE WHEN greatest(1, place - 40) > 1 THEN '...' ELSE '' END || substr(t, greatest(1, place - 40), least(length(t) + 1, place + 47) - greatest(1, place - 40)) || CASE WHEN least(length(t) + 1, place + 47) <= length(t) THEN '...' ELSE '' END END AS context FROM p""")
 def a12_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", T.context(F.col("text"), F.lit("because")).alias("context"))
 

@@ -20,9 +20,9 @@ def s1_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "webpages").select("webpage_id", urls.origin(F.col("url")).alias("site"))
 
 
-@R.query(f"SELECT raw_id, regexp_replace({_ORIGIN.format('trim(url)')}, ':\\d+$', '') AS site FROM raw_pages")
+@R.query(f"SELECT raw_id, regexp_replace({_ORIGIN.format("regexp_replace(url, '^[^a-zA-Z]+', '')")}, ':\\d+$', '') AS site FROM raw_pages")
 def s2_origin_without_port(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "raw_pages").select("raw_id", urls.origin_without_port(F.trim("url")).alias("site"))
+    return table(spark, sf_dir, "raw_pages").select("raw_id", urls.origin_without_port(F.regexp_replace("url", "^[^a-zA-Z]+", "")).alias("site"))
 
 
 @R.query(r"SELECT raw_id, coalesce(regexp_matches(url, '^https?://[^/?#\s]+'), false) AS valid FROM raw_pages")
