@@ -166,7 +166,8 @@ def src6_reachable_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query(r"""
 WITH l AS (SELECT raw_id, unnest(string_split(url || ', shop.example/x ,,https://', ',')) AS p FROM raw_pages),
-t AS (SELECT raw_id, CASE WHEN regexp_matches(trim(p), '^https?://') THEN trim(p) ELSE 'https://' || trim(p) END AS u FROM l WHERE trim(p) <> '')
+m AS (SELECT raw_id, regexp_replace(p, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS p FROM l),
+t AS (SELECT raw_id, CASE WHEN regexp_matches(p, '^https?://') THEN p ELSE 'https://' || p END AS u FROM m WHERE p <> '')
 SELECT raw_id, u AS url FROM t WHERE regexp_matches(u, '^https?://[^/?#\s]+')""")
 def src7_url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = table(spark, sf_dir, "raw_pages").select("raw_id", F.concat("url", F.lit(", shop.example/x ,,https://")).alias("urls"))

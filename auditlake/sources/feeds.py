@@ -49,7 +49,7 @@ def site_verdict(url: Column, status: Column, sitemaps: Column) -> Column:
 
 def url_list(lists: DataFrame, key: str, urls_column: str) -> DataFrame:
     """(key, url): comma-separated lists taken apart; blanks and what has no host are dropped, a missing scheme is added."""
-    part = lists.select(key, F.explode(F.split(urls_column, ",")).alias("p")).select(key, F.trim("p").alias("p")).where("p <> ''")
+    part = lists.select(key, F.explode(F.split(urls_column, ",")).alias("p")).select(key, F.regexp_replace("p", r"^[\s\p{Z}]+|[\s\p{Z}]+$", "").alias("p")).where("p <> ''")
     full = part.select(key, F.when(F.col("p").rlike("^https?://"), F.col("p")).otherwise(F.concat(F.lit("https://"), "p")).alias("url"))
     return full.where(urls.is_web_url(F.col("url")))
 
