@@ -222,8 +222,7 @@ def cut_values(pages: DataFrame, links: DataFrame) -> DataFrame:
             # Anchors are short and few, so single words are judged by their use in descriptions as well.
             n, ends = counts[: kind + 1, 0, PAIRS:].sum(0), counts[: kind + 1, 1, PAIRS:].sum(0)
             overall = (counts[kind, 1, PAIRS:].sum() + 1) / (counts[kind, 0, PAIRS:].sum() + 12)
-            word = (ends + 8 * overall) / (n + 8)
-            rates.append((overall, word))
+            rates.append((overall, n, ends))
         for batch in batches:
             kinds, raw = batch.column(0).to_numpy(), batch.column(3).to_pylist()
             out: list[tuple] = []
@@ -236,12 +235,15 @@ def cut_values(pages: DataFrame, links: DataFrame) -> DataFrame:
                         texts.append(text)
                 if not rows:
                     continue
-                overall, word_rate = rates[kind]
+                overall, word_n, word_ends = rates[kind]
                 words = Words(texts)
                 pair, word = words.places()
                 at = np.flatnonzero(words.last)
-                n, ends = counts[kind, 0, pair[at]], counts[kind, 1, pair[at]]
-                rate = (ends + 4 * word_rate[word[at] - PAIRS]) / (n + 4)
+                # A value's own end says nothing about itself, so it is left out of the counts.
+                others = lambda c: np.maximum(c.astype(np.float64) - 1, 0)
+                w = word[at] - PAIRS
+                word_rate = (others(word_ends[w]) + 8 * overall) / (others(word_n[w]) + 8)
+                rate = (others(counts[kind, 1, pair[at]]) + 4 * word_rate) / (others(counts[kind, 0, pair[at]]) + 4)
                 odds = overall / np.maximum(rate, 1e-6)
                 for j, (text_at, o) in enumerate(zip(words.text[at].tolist(), odds.tolist(), strict=True)):
                     text, i = texts[text_at], rows[text_at]
