@@ -28,6 +28,8 @@ PRIOR_WORDS = (
     "mierda puto puta imbécil desnudas follando cerdo mueras"
 ).split()
 PRIOR_WEIGHT = 1.5
+#: A sentence below this score counts as none of a document's passages; else many harmless ones add up in long texts.
+PASSAGE = 0.4
 #: Share of a feature's log-odds over documents that its weight starts from.
 HOLD = 1.0
 #: Log-odds up to this size count as none: sentences of many ordinary words would else add them up.
@@ -118,7 +120,8 @@ def features(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     np.cumsum(_char_hash()[cp[where[used]]] * powers(BASES[0], int(nth.max(initial=0)) + 1)[nth], out=total[1:])
     h = mix(total[edge[1:]] - total[edge[:-1]])
     letters = np.add.reduceat(kinds[where] & 1, begin, dtype=np.int64)
-    masks = np.add.reduceat((kinds[where] & 16) >> 4, begin, dtype=np.int64)
+    inner = ~first & ~np.append(first[1:], True)  # marks around a word are emphasis
+    masks = np.add.reduceat(((kinds[where] & 16) >> 4) * inner, begin, dtype=np.int64)
     h = np.where(letters > 0, h, _NUMBER)
     masked = (letters >= 1) & (masks >= 2)
     # Sentences end at a word's closing mark, a line break or the text's end.
@@ -177,7 +180,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Sentence weights; a document's score is the noisy-or of its sentences."""
+    """Sentence weights; a document's score is the noisy-or of its sentences that score PASSAGE or more."""
 
     def __init__(self, weights: np.ndarray, bias: float) -> None:
         self.weights, self.bias = weights.astype(np.float32), float(bias)
@@ -192,7 +195,7 @@ class Model:
         clean = np.zeros(len(texts))
         for owners, _, parts in _slices(texts):
             own, p, _, _ = self.sentences(parts)
-            np.add.at(clean, np.asarray(owners)[own], np.log1p(-np.minimum(p, 1 - 1e-9)))
+            np.add.at(clean, np.asarray(owners)[own], np.log1p(-np.where(p >= PASSAGE, np.minimum(p, 1 - 1e-9), 0.0)))
         return 1 - np.exp(clean)
 
 
@@ -300,7 +303,7 @@ def _broadcast(spark: SparkSession, model: Model):
 
 
 def scores(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
-    """(doc_id, *keep, score) of every document: the noisy-or of all its sentences.
+    """(doc_id, *keep, score) of every document: the noisy-or of its sentences that could be a passage.
 
     Null and empty texts score 0; very long texts are scored whole, in windows; repeated rows give one row each;
     other columns are ignored. One pass without a shuffle.

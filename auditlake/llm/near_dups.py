@@ -94,8 +94,8 @@ class Signer:
     ones only in combination, so no long list is ever merged.
     """
 
-    def __init__(self, frequency: np.ndarray, records: int, threshold: float) -> None:
-        self.frequency, self.records, self.threshold = frequency, max(1, records), threshold
+    def __init__(self, frequency: np.ndarray, records: int, threshold: float, smallest: int = 1) -> None:
+        self.frequency, self.records, self.threshold, self.smallest = frequency, max(1, records), threshold, smallest
 
     def keys(self, flat: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Key, record, and whether the record may be the smaller one under that key."""
@@ -117,6 +117,7 @@ class Signer:
     def _descend(self, words: np.ndarray, f: np.ndarray, docs: np.ndarray, n: int, out: list) -> None:
         t = self.threshold
         lacks = n - math.ceil(t * n - 1e-9)  # words that a record may lack in a smaller or equal one
+        lacks = min(lacks, math.floor(n - t / (1 + t) * (n + self.smallest) + 1e-9))  # no other record is smaller than that
         lacks_small = n - math.ceil(2 * t / (1 + t) * n - 1e-9)  # ... in a larger or equal one
 
         def step(start: int, taken: int, rows: np.ndarray, expected: np.ndarray, key: np.ndarray) -> None:
@@ -186,7 +187,7 @@ class NearDuplicates:
     """
 
     def __init__(self, records: DataFrame, id_col: str = "webpage_id", texts: Sequence[str] = ("title", "meta_description"), threshold: float = 0.6, least_chars: int = 4, least_words: int = 12) -> None:
-        self.threshold, self.id_col = threshold, id_col
+        self.threshold, self.id_col, self.least_words = threshold, id_col, least_words
         self.sets = written(word_sets(records, id_col, texts, least_chars, least_words), "sets")
         self._classes: DataFrame | None = None
         self._pairs: DataFrame | None = None
@@ -223,7 +224,7 @@ class NearDuplicates:
 
         firsts = part(True).groupBy("h1", "h2").agg(F.min("id").alias("id"), F.min_by("words", "id").alias("words")).select("id", "words")
         classes = part(False).select("id", "words").unionByName(firsts)
-        signer = spark.sparkContext.broadcast(Signer(word_frequencies(self.sets), self.sets.count(), threshold))
+        signer = spark.sparkContext.broadcast(Signer(word_frequencies(self.sets), self.sets.count(), threshold, self.least_words))
 
         def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
