@@ -226,6 +226,32 @@ def d5_title_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(later, ["snapshot_no", "url"]).select("url", "snapshot_no", F.round(duplicates.jaccard_percent(F.col("w"), F.col("v")), 6).alias("jaccard"))
 
 
+_SETS = r"""
+w AS (SELECT min(doc_id) AS id, l, len(l) AS n FROM (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS l FROM documents WHERE length(text) > 100) GROUP BY l HAVING len(l) > 0),
+t AS (SELECT id, n, unnest(l) AS x FROM w), f AS (SELECT x, count(*) AS c FROM t GROUP BY 1),
+p AS (SELECT id, n, x FROM (SELECT t.id, t.n, t.x, row_number() OVER (PARTITION BY t.id ORDER BY f.c, t.x) AS r FROM t JOIN f USING (x)) WHERE r <= n - ceil(0.7 * n) + 1),
+c AS (SELECT DISTINCT a.id AS a, b.id AS b FROM p a JOIN p b ON a.x = b.x AND a.id < b.id AND a.n >= 0.7 * b.n AND b.n >= 0.7 * a.n),
+j AS (SELECT c.a, c.b, u.n AS na, v.n AS nb, len(list_intersect(u.l, v.l)) * 100.0::DOUBLE / (u.n + v.n - len(list_intersect(u.l, v.l))) AS s FROM c JOIN w u ON u.id = c.a JOIN w v ON v.id = c.b)"""
+
+
+@R.query(f"WITH {_SETS} SELECT a AS earlier, b AS later, round(s, 6) AS score FROM j WHERE s >= 70 - 1e-9 AND s >= CASE WHEN nb < 100 THEN 85 WHEN nb > 500 THEN 70 ELSE 75 END")
+def d4_similar_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents like an earlier one, by the threshold of the later one's length (its distinct words)."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)")))
+    docs = table(spark, sf_dir, "documents").where(F.length("text") > 100).select("doc_id", words.alias("w"))
+    pairs = duplicates.similar_sets(docs, "doc_id", "w", 70)
+    size = docs.select(F.col("doc_id").alias("b"), F.size("w").alias("n"))
+    return pairs.join(size, "b").where(F.col("jaccard") >= duplicates.content_threshold(F.col("n"))).select(F.col("a").alias("earlier"), F.col("b").alias("later"), F.round("jaccard", 6).alias("score"))
+
+
+@R.query(rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), b AS (SELECT doc_id, {_WORDS.format("text")} AS n, {_EASE} AS e FROM d)
+SELECT doc_id, n < 300 AS too_short, e < 30 AS hard_to_read, CAST(10 - CASE WHEN n < 300 THEN 5 ELSE 0 END - CASE WHEN e < 30 THEN 1 ELSE 0 END AS DOUBLE) AS score FROM b""")
+def a6_content_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, e = T.word_count(F.col("text")), T.readability(F.col("text"))
+    return _documents(spark, sf_dir).select("doc_id", (n < 300).alias("too_short"), (e < 30).alias("hard_to_read"), T.content_score(n, F.lit(False), e).alias("score"))
+
+
 @R.query(None)
 def d8_similar_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.similar_neighbours(_pages(spark, sf_dir), "website_url", "webpage_id", "title", 85)

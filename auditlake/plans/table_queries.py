@@ -74,6 +74,24 @@ def u2_sitemap_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.latest(rows, ["sitemap_url"], ["seen"])
 
 
+@R.query(r"""
+SELECT url, parents, last_seen FROM (SELECT url, CAST(count(DISTINCT website_url) AS BIGINT) AS parents, max(received_at) AS last_seen FROM (SELECT url, website_url, received_at FROM webpages UNION ALL SELECT regexp_replace(url, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), regexp_replace(website_url, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), received_at FROM raw_pages) WHERE url IS NOT NULL GROUP BY 1)""")
+def u3_url_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page nodes of the sitemap graph from both deliveries, with the number of sites that list them."""
+    stored = table(spark, sf_dir, "webpages").select("url", "website_url", "received_at")
+    bare = lambda c: F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "").alias(c)
+    raw = table(spark, sf_dir, "raw_pages").select(bare("url"), bare("website_url"), "received_at")
+    return stored.unionByName(raw).where("url is not null").groupBy("url").agg(F.countDistinct("website_url").alias("parents"), F.max("received_at").alias("last_seen"))
+
+
+@R.query("""
+SELECT raw_id, url AS page_url, coalesce(json_extract_string(fields, '$.title'), '') AS title, length(coalesce(json_extract_string(fields, '$.title'), '')) < 30 AS too_short, json_extract_string(fields, '$.h1') IS NULL AS h1_missing FROM raw_pages""")
+def n6_mapped_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = records.safe_text(F.get_json_object("fields", "$.title"))
+    issues = F.struct((F.length(title) < 30).alias("too_short"), F.get_json_object("fields", "$.h1").isNull().alias("h1_missing"))
+    return table(spark, sf_dir, "raw_pages").select("raw_id", F.col("url").alias("page_url"), title.alias("title"), issues.alias("issues")).select("raw_id", "page_url", "title", "issues.too_short", "issues.h1_missing")
+
+
 @R.query(f"""SELECT DISTINCT website_url, user_id FROM backlink_summaries b WHERE website_url IS NOT NULL AND user_id IS NOT NULL
  AND NOT EXISTS (SELECT 1 FROM backlink_summaries k WHERE k.website_url = b.website_url AND k.user_id = b.user_id AND k.last_fetched >= TIMESTAMP '{NOW}' - INTERVAL 7 DAYS)""")
 def u4_stale_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,6 +217,24 @@ def q16_summary_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@R.query(f"""
+SELECT website_url, summary_id, last_fetched FROM (SELECT *, row_number() OVER (PARTITION BY website_url ORDER BY last_fetched DESC NULLS LAST, summary_id DESC) AS r FROM backlink_summaries WHERE website_url IS NOT NULL)
+WHERE r = 1 AND last_fetched >= TIMESTAMP '{NOW}' - INTERVAL 7 DAYS""")
+def q17_fresh_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "backlink_summaries").where("website_url is not null").select("website_url", "summary_id", "last_fetched")
+    return records.latest(rows, ["website_url"], ["last_fetched", "summary_id"]).where(F.col("last_fetched") >= _now() - F.expr("INTERVAL 7 DAYS"))
+
+
+@R.query("""SELECT CASE WHEN GROUPING(status_class) = 0 THEN 'status' WHEN GROUPING(content_type) = 0 THEN 'type' ELSE 'all' END AS part, status_class, content_type, count(*) AS pages, count(*) FILTER (has_error) AS errors
+FROM (SELECT substr(CAST(status_code AS VARCHAR), 1, 1) AS status_class, content_type, has_error FROM webpages) GROUP BY GROUPING SETS ((status_class), (content_type), ())""")
+def q19_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All page statistics in one read, as grouping sets."""
+    rows = table(spark, sf_dir, "webpages").select(F.substring(F.col("status_code").cast("string"), 1, 1).alias("status_class"), "content_type", "has_error")
+    part = F.when(F.grouping("status_class") == 0, "status").when(F.grouping("content_type") == 0, "type").otherwise("all")
+    sets = [[F.col("status_class")], [F.col("content_type")], []]
+    return rows.groupingSets(sets, "status_class", "content_type").agg(part.alias("part"), F.count(F.lit(1)).alias("pages"), F.count_if("has_error").alias("errors")).select("part", "status_class", "content_type", "pages", "errors")
+
+
 @R.query("SELECT source, printf('%.2f%%', avg(CASE WHEN status_code < 400 THEN 100.0 ELSE 0.0 END)) AS success, round(avg(response_time), 6) AS avg_time FROM webpages GROUP BY 1")
 def q18_success_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = F.when(F.col("status_code") < 400, 100.0).otherwise(0.0)

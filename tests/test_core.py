@@ -169,6 +169,27 @@ def lcs(a, b):
     return row[-1]
 
 
+def test_similar_sets_against_brute_force(spark):
+    import random
+
+    rnd = random.Random(6)
+    bases = [rnd.sample(range(80), rnd.randrange(3, 25)) for _ in range(12)]
+    sets = {}
+    for i in range(150):
+        words = list(rnd.choice(bases))
+        for _ in range(rnd.randrange(0, 4)):
+            words[rnd.randrange(len(words))] = rnd.randrange(80)
+        sets[i] = {f"w{w}" for w in words}
+    rows = [(i, sorted(s)) for i, s in sets.items()] + [(900, []), (901, None)]
+    first = {}
+    for i, s in sets.items():
+        first.setdefault(frozenset(s), i)
+    kept = {i: s for s, i in first.items()}
+    want = {(a, b) for a in kept for b in kept if a < b and len(kept[a] & kept[b]) >= 0.7 * len(kept[a] | kept[b]) - 1e-9}
+    got = {(r.a, r.b) for r in duplicates.similar_sets(spark.createDataFrame(rows, "id long, words array<string>"), "id", "words", 70).collect()}
+    assert got == want and len(want) > 50
+
+
 def test_records(spark):
     r = one(spark, *[records.safe_number(F.lit(v).cast("string")).alias(n) for n, v in (("a", "12px"), ("b", "-3.9"), ("c", None), ("d", "x"), ("e", "99999999999999999999"))])
     assert (r.a, r.b, r.c, r.d, r.e) == (12, -3, 0, 0, 0)
