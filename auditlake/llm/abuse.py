@@ -264,7 +264,7 @@ def fit(texts: Sequence[str], votes: pd.DataFrame, epochs: int = 20) -> Model:
     # A feature of fewer documents would learn to name a document rather than a passage; it keeps its prior.
     doc_feature = np.unique(own[s].astype(np.int64) << BITS | f)
     spread = np.bincount(doc_feature & ((1 << BITS) - 1), minlength=1 << BITS)
-    usable = (spread >= (2 if n < 500 else 3))[f] | (weights[f] > 0)
+    usable = (spread >= (2 if n < 500 else max(3, n // 1500)))[f] | (weights[f] > 0)
     del doc_feature
     s, f = s[usable], f[usable]
     ids, at = np.unique(f, return_inverse=True)
