@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditlake.session import spread
+
 #: Elements without content, elements that are taken out before content is read, and where content stands.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 PRUNED = frozenset("script style nav header footer aside form".split())
@@ -203,4 +205,4 @@ def page_facts(pages: DataFrame, html: str = "html", pruned: bool = True, keep:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, arrow)], [*keep, "facts"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{kept}{', ' if kept else ''}facts struct<{schema.simpleString()[7:-1]}>")
+    return spread(source).mapInArrow(run, f"{kept}{', ' if kept else ''}facts struct<{schema.simpleString()[7:-1]}>")

@@ -9,7 +9,7 @@ from auditlake.functions import text as T
 from auditlake.operators import duplicates, page_scores as S
 from auditlake.operators.skew import State, tree_aggregate
 from auditlake.plans.registry import Registry
-from auditlake.session import table
+from auditlake.session import spread, table
 
 R = Registry()
 _WORDS = r"len(regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{N}}\p{{M}}_]+'))"
@@ -21,7 +21,7 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
 
 
 _TITLE = r"""CASE WHEN coalesce(length(title), 0) = 0 THEN 0.0 ELSE greatest(0.0, least(10.0, 10.0
