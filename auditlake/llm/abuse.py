@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm.codes import BASES, codepoints, mix, powers
+from auditlake.session import spread
 
 _U = np.uint64
 BITS = 18
@@ -318,7 +319,7 @@ def scores(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
             result = shared.value.scores(batch.column(batch.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(result)], [f.name for f in fields] + ["score"])
 
-    return source.mapInArrow(run, schema)
+    return spread(source).mapInArrow(run, schema)
 
 
 def offending_sentences(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
@@ -338,4 +339,4 @@ def offending_sentences(docs: DataFrame, model: Model, doc_id: str = "doc_id", t
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string()), strict=True)], ["doc_id", "begin", "finish", "score", "sentence"])
 
-    return source.mapInArrow(run, "doc_id long, begin long, finish long, score double, sentence string")
+    return spread(source).mapInArrow(run, "doc_id long, begin long, finish long, score double, sentence string")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.llm.codes import fold_table, mix, rolling_hashes
+from auditlake.session import spread
 
 _U = np.uint64
 
@@ -117,7 +118,7 @@ def format_duplicates(raw: DataFrame, id_col: str = "raw_id", site: str = "websi
     columns are ignored.
     """
     source = raw.select(F.col(id_col).cast("long").alias("raw_id"), F.col(site).cast("string").alias("site"), F.col(url).cast("string").alias("url"), F.col(fields).cast("string").alias("fields"))
-    hashed = source.mapInArrow(_hash_batches, "raw_id long, site string, url string, fields string, h1 long, h2 long")
+    hashed = spread(source).mapInArrow(_hash_batches, "raw_id long, site string, url string, fields string, h1 long, h2 long")
     heads = hashed.groupBy("h1", "h2").agg(F.min("raw_id").alias("raw_id"), F.max("raw_id").alias("last")).where("raw_id < last").drop("last")
     first = hashed.join(heads, ["h1", "h2", "raw_id"], "left_semi").select("h1", "h2", F.col("raw_id").alias("id0"), F.col("site").alias("site0"), F.col("url").alias("url0"), F.col("fields").alias("fields0")).dropDuplicates(["h1", "h2", "id0"])
     pairs = hashed.join(first, ["h1", "h2"]).where("raw_id > id0").select("id0", "raw_id", "site", "url", "fields", "site0", "url0", "fields0")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.llm.codes import BASES, codepoints, fold_table, mix, powers
+from auditlake.session import spread
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -245,7 +246,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
     """
     rows = items.where(F.col(text).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).distinct()
     spark = docs.sparkSession
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where(F.length("text") > 0)
+    source = spread(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where(F.length("text") > 0))
     schema = "doc_id long, item_id long, edits int, windows int"
     n = rows.count()
     blocks = max(1, -(-n // ITEM_BLOCK))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.llm.codes import codepoints
+from auditlake.session import spread
 
 #: Classes of characters; pairs of them index a table of fixed size, whatever the corpus.
 CLASSES = 1024
@@ -303,7 +304,7 @@ def garbled(pages: DataFrame, columns: Sequence[str] = ("title", "meta_descripti
     none, very long values are handled whole, repeated rows each count, an empty table gives no rows, other
     columns are ignored. Counting and testing are each one pass without a shuffle of rows.
     """
-    source = pages.select(F.col(id_col).cast("long").alias("id"), *[F.col(c).cast("string").alias(c) for c in columns])
+    source = spread(pages.select(F.col(id_col).cast("long").alias("id"), *[F.col(c).cast("string").alias(c) for c in columns]))
     counts = source.sparkSession.sparkContext.broadcast(pair_counts(source, columns).astype(np.float32))
     names = list(columns)
 

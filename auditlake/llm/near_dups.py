@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.llm.codes import mix, word_runs
-from auditlake.session import written
+from auditlake.session import spread, written
 
 _U = np.uint64
 #: Word frequencies, and sets of ids, are kept in hashed tables of this fixed size.
@@ -55,7 +55,7 @@ def word_sets(records: DataFrame, id_col: str, texts: Sequence[str], least_chars
             words = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(h[picked].view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(enough)), pa.array(digests[0]), pa.array(digests[1]), words], ["id", "h1", "h2", "words"])
 
-    return source.mapInArrow(run, "id long, h1 long, h2 long, words array<long>")
+    return spread(source).mapInArrow(run, "id long, h1 long, h2 long, words array<long>")
 
 
 def _gathered(places: DataFrame) -> np.ndarray:

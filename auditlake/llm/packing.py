@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.session import written
+from auditlake.session import spread, written
 
 #: Where the public vocabulary files are; a parameter of every operator here.
 TOKENIZER = os.environ.get("AUDITLAKE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -65,7 +65,7 @@ def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", to
             sizes = [count_tokens(t.as_py(), tokenizer) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], ["doc_id", "tokens"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, tokens long")
+    return spread(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))).mapInArrow(run, "doc_id long, tokens long")
 
 
 def pack(sizes: np.ndarray, capacity: int = CAPACITY, linear: float = LINEAR, quadratic: float = QUADRATIC) -> np.ndarray:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.llm.codes import BASES, codepoints, mix, powers
-from auditlake.session import written
+from auditlake.session import spread, written
 
 _U = np.uint64
 #: Statistics of word pairs and words are kept in tables of this fixed size, whatever the corpus.
@@ -198,7 +198,7 @@ def _values(pages: DataFrame, links: DataFrame) -> DataFrame:
     second = links.select(F.col("summary_id").cast("long").alias("record_id"), F.col("source").cast("string").alias("source"), F.posexplode("top_anchors_by_backlinks").alias("item_no", "a")).select(
         F.lit(1).alias("kind"), "record_id", "item_no", F.col("a.anchor").alias("text"), "source"
     )
-    return first.unionByName(second).where(F.length(F.trim("text")) > 0)
+    return spread(first).unionByName(spread(second)).where(F.length(F.trim("text")) > 0)
 
 
 def cut_values(pages: DataFrame, links: DataFrame) -> DataFrame:
