@@ -38,14 +38,15 @@ def rounds_for(chunks: int, fan_in: int) -> int:
     return rounds
 
 
-def tree_aggregate(df: DataFrame, keys: Sequence[str], states: Sequence[State], fan_in: int = 32, chunk_rows: int = 1 << 22) -> DataFrame:
+def tree_aggregate(df: DataFrame, keys: Sequence[str], states: Sequence[State], fan_in: int = 32, chunk_rows: int = 1 << 22, tasks: int | None = None) -> DataFrame:
     """Aggregate by ``keys`` so that no task receives all partials of a hot key.
 
     Every input task is a chunk, and one of more than ``chunk_rows`` rows is several; a chunk is combined where
     it is read (one state a key and chunk). States then merge in rounds: round r groups by (key, chunk //
     fan_in^r), so a reducer gets at most ``fan_in`` states of a key, and the logarithmic number of rounds follows
     from the number of input tasks alone. Keys are null-safe (null is a group of its own), an empty input gives
-    no rows, repeated rows count each, and the other columns' names don't matter.
+    no rows, repeated rows count each, and the other columns' names don't matter. ``tasks`` is the number of input
+    tasks, for inputs that come out of a shuffle (asking Spark for it would run that shuffle).
     """
     if fan_in < 2:
         raise ValueError("fan_in must be 2 or more")
@@ -53,7 +54,9 @@ def tree_aggregate(df: DataFrame, keys: Sequence[str], states: Sequence[State],
     chunk = F.spark_partition_id().cast("long") + F.floor(row_in_task / F.lit(chunk_rows)).cast("long") * 1_000_003
     level = df.withColumn(_NODE, chunk).groupBy(*keys, _NODE).agg(*[s.local.alias(s.name) for s in states])
     merged = [_MERGES[s.merge](s.name).alias(s.name) for s in states]
-    for _ in range(rounds_for(max(1, df.rdd.getNumPartitions()), fan_in)):
+    if tasks is None:
+        tasks = df.rdd.getNumPartitions()
+    for _ in range(rounds_for(max(1, tasks), fan_in)):
         level = level.withColumn(_NODE, F.floor(F.col(_NODE) / F.lit(fan_in))).groupBy(*keys, _NODE).agg(*merged)
     result = level.groupBy(*keys).agg(*merged)
     return result.select(*keys, *[(F.expr(s.final) if s.final else F.col(s.name)).alias(s.name) for s in states])
@@ -92,7 +95,8 @@ def site_profile(pages: DataFrame, key: str, fan_in: int = 32) -> DataFrame:
     ]
     measures = tree_aggregate(source, [key], states, fan_in)
     distinct = source.where(F.col("url").isNotNull()).groupBy(key, "url").agg(F.lit(1).alias("one"))
-    urls = tree_aggregate(distinct, [key], [State("urls", F.count(F.lit(1)))], fan_in).withColumnRenamed(key, "__k")
+    tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    urls = tree_aggregate(distinct, [key], [State("urls", F.count(F.lit(1)))], fan_in, tasks=tasks).withColumnRenamed(key, "__k")
     return measures.join(urls, measures[key].eqNullSafe(urls["__k"]), "left").select(
         key,
         "pages",
