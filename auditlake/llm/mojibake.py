@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator, Sequence
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +43,88 @@ WIDE = ("gbk", "big5", "shift_jis", "euc_kr")
 #: Signs that clean texts of any language use.
 SIGNS = "–—’‘“”„…«»¿¡™®©°½€→✓≥"
 
+#: Share of a text's letters that accents of Latin reach in no language; and characters in a row that do so by themselves.
+FOREIGN_SHARE, FOREIGN_ROW = 0.75, 5
+
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _HARD = re.compile("[\x80-\x9f�]")
 _UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe1-\xef][\x80-\xbf]{2}|\xe0[\xa0-\xbf][\x80-\xbf]|[\xf0-\xf4][\x80-\xbf]{3}")
+#: Characters that clean texts are expected to hold; and controls, which stand halfway in text that was decoded wrongly twice.
+_EXPECTED = re.compile(rf"[{SIGNS}\x80-\u017f\u0192\u02c6\u02dc\u0218-\u021b\u0386-\u03ce\u0401\u0404\u0406\u0407\u0410-\u044f\u0451\u0454\u0456\u0457\u0490\u0491\u2010-\u2026\u2030\u2039\u203a\u20a0-\u20bf\u2116\u2190-\u21ff\u2200-\u22ff\u2600-\u27bf\u3000-\u30ff\u4e00-\u9fff\uac00-\ud7a3\ufe0f\ufeff\U0001f300-\U0001faff]+")
+_PLAIN_WORD = re.compile(r"[А-ЯЁ]?[а-яё]+")
+#: Signs that may follow a capital in clean text.
+_AFTER_CAPITAL = "»”’›…–—\xa0·©®™°"
+
+
+def _natural(chars: str, before: str, after: str) -> bool:
+    """Whether a sequence that could be UTF-8 reads as a piece of clean text: letters of one script and case, or a capital and a sign."""
+    first = chars[0]
+    if chars.isalpha():
+        if len({(c > "\u024f") + (c > "\u03ff") for c in chars}) > 1:
+            return False
+        if first > "\u03ff":
+            return True  # letters of Cyrillic alone could be words in any case
+        return chars.islower() or (chars.isupper() and not before.islower()) or (first.isupper() and chars[1:].islower() and not before.isalpha())
+    if len(chars) == 2 and first.isupper() and chars[1] in _AFTER_CAPITAL and not after.isalpha():
+        return before.isupper() or (first > "\u036f" and not before.islower())
+    return False
+
+
+@lru_cache(1 << 17)
+def utf8_shaped(run: str, before: str, after: str) -> str | None:
+    """The run read again as UTF-8, if all of it is such sequences of expected characters and clean text has none such.
+
+    This asks nothing of the corpus, so it doesn't matter how often a garbling occurs.
+    """
+    if len(run) < 2 or _PLAIN_WORD.fullmatch(run):
+        return None
+    for codec in READ_AS:
+        table = _to_bytes(codec)
+        raw = bytes(b for b in map(table.get, run) if b is not None)
+        if len(raw) < len(run):
+            continue
+        found = list(_UTF8.finditer(raw))
+        if sum(len(m.group()) for m in found) < len(raw):
+            continue
+        text = raw.decode("utf-8", "replace")
+        if not _EXPECTED.fullmatch(text):
+            continue
+        if len(found) == 1 and (_natural(run, before, after) or "\u0400" <= text <= "\u04ff"):
+            continue
+        if len(found) > 1 and all(_natural(run[m.start() : m.end()], run[m.start() - 1 : m.start()] or before, run[m.end() : m.end() + 1] or after) for m in found):
+            continue
+        return text
+    return None
+
+
+def _foreign(text: str) -> list[tuple[int, int]]:
+    """Stretches that are another alphabet read as accents and symbols: long ones, or all where they are most of the text."""
+    odd = _ODD.findall(text)
+    if _TURNED.search(text):
+        return [m.span() for m in _CYRILLIC.finditer(text)]
+    if len(odd) < FOREIGN_ROW:
+        return []
+    if len(odd) > FOREIGN_SHARE * (sum(c.isalpha() for c in text) or 1):
+        return [m.span() for m in _RUN.finditer(text)]
+    return [m.span() for m in _ODD_WORD.finditer(text)] if _ODD_ROW.search(text) else []
+
+
+_ODD = re.compile(rf"(?![{SIGNS}])[\xa0-\u02ff\u2000-\u25ff]")
+_ODD_ROW = re.compile(rf"(?:(?![{SIGNS}])[\xa0-\u02ff\u2000-\u25ff]){{{FOREIGN_ROW},}}")
+#: Words of such characters only; Cyrillic words whose case is turned over, as one of its encodings read as another gives it.
+_ODD_WORD = re.compile(rf"(?<![^\W\d_])(?:(?![{SIGNS}])[\xa0-\u02ff\u2000-\u25ff])+(?![^\W\d_])")
+_TURNED = re.compile(r"(?<!\w)[а-яё][А-ЯЁ]{2,}(?!\w)")
+_CYRILLIC = re.compile(r"[\u0400-\u04ff]+")
+
+
+def suspects(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Stretches that are garbled by their shape alone: lost or read as UTF-8 ought not to be; and of another alphabet."""
+    hard = []
+    for m in _RUN.finditer(text):
+        a, b = m.span()
+        if _HARD.search(m.group()) or utf8_shaped(m.group(), text[max(0, a - 1) : a], text[b : b + 1]):
+            hard.append((a, b))
+    return hard, _foreign(text)
 
 
 @cache
@@ -95,7 +175,7 @@ class PairModel:
         self.run_score = np.clip(np.log2(ORDINARY / np.maximum(information, 1e-12)), -CLIP, CLIP).astype(np.float32).ravel()
         share = (right + 0.5) / (total + 0.5 * CLASSES)
         self.log_next = np.log2((n + 50 * share[None, :]) / (left[:, None] + 50)).astype(np.float32).ravel()
-        self.known = right >= max(2.0, total * 2e-7)
+        self.known = np.maximum(left, right) >= max(2.0, total * 2e-7)
         self._seen: dict[tuple[str, str, str], str | None] = {}
 
     def likelihood(self, text: str) -> float:
@@ -165,7 +245,7 @@ class PairModel:
         key = (before[-1:], run, after[:1])
         if key in self._seen:
             return self._seen[key]
-        text = self._utf8(run, before[-1:], after[:1])
+        text = self._utf8(run, before[-1:], after[:1]) or utf8_shaped(run, before[-1:], after[:1])
         if text is None and _HARD.search(run):
             text = ""
         if len(self._seen) < 1 << 17:
@@ -208,7 +288,13 @@ class PairModel:
         spans: dict[int, list[tuple[int, int, float]]] = {}
         for t, a, b, peak in self.runs(texts):
             spans.setdefault(t, []).append((a, b, peak))
-        for t, found in spans.items():
+        for t, text in enumerate(texts):
+            if text and not text.isascii():
+                hard, foreign = suspects(text)
+                # What is garbled by its shape opens a run, however ordinary its pairs are in this corpus.
+                if hard or foreign:
+                    spans[t] = sorted([*spans.get(t, []), *[(a, b, 0.0) for a, b in hard], *[(a, b, DOUBT) for a, b in foreign]])
+        for t, found in sorted(spans.items()):
             text = texts[t]
             assert text is not None
             out, at, bad, lost, k, left = [], 0, False, False, 0, []
@@ -271,19 +357,27 @@ def _confusions() -> list[np.ndarray]:
 
 
 def pair_counts(pages: DataFrame, columns: Sequence[str]) -> np.ndarray:
-    """Adjacent pairs of character classes over all values of the columns; the driver gets CLASSES^2 numbers at most."""
+    """Adjacent pairs of character classes over all values of the columns; the driver gets CLASSES^2 numbers at most.
+
+    Pairs in and beside stretches that are garbled by their shape are left out, so the counts are those of clean text.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CLASSES * CLASSES, np.int64)
         for batch in batches:
             for k in range(batch.num_columns):
-                cp, starts = codepoints(batch.column(k).to_pylist())
+                texts = batch.column(k).to_pylist()
+                cp, starts = codepoints(texts)
                 if len(cp) < 2:
                     continue
                 c = class_table()[cp]
                 pair = c[:-1] * CLASSES + c[1:]
                 keep = np.ones(len(pair), bool)
                 keep[starts[1:-1][(starts[1:-1] > 0) & (starts[1:-1] < len(cp))] - 1] = False
+                for t, text in enumerate(texts):
+                    if text and not text.isascii():
+                        for a, b in itertools.chain(*suspects(text)):
+                            keep[max(0, int(starts[t]) + a - 1) : int(starts[t]) + b] = False
                 total += np.bincount(pair[keep], minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["pair", "n"])
@@ -298,7 +392,8 @@ def garbled(pages: DataFrame, columns: Sequence[str] = ("title", "meta_descripti
     """(id, field, original, restored) of every value that was decoded with a wrong encoding, wholly or in a stretch.
 
     Adjacent pairs of characters are scored by their part of the corpus's mutual information; maximum-scoring runs
-    of improbable pairs are isolated, and inverse mappings (UTF-8 read as some encoding, or one encoding read as
+    of improbable pairs are isolated, lost characters and stretches garbled by their shape (UTF-8 read as characters
+    that clean text has in no such order, another alphabet read as accents) open a run at any frequency, and inverse mappings (UTF-8 read as some encoding, or one encoding read as
     another) are tried inside those runs only, judged by the same pair statistics. ``restored`` is null where
     characters were lost (replacement characters) or the run can't be mapped back. Null and empty values are
     none, very long values are handled whole, repeated rows each count, an empty table gives no rows, other

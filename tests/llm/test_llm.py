@@ -83,6 +83,29 @@ def test_garbled(spark):
     assert mojibake.garbled(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("share", [3, 10, 100])
+def test_garbling_is_found_however_frequent(spark, share):
+    clean = clean_corpus()
+    rows, want, mapped = [], set(), {}
+    for i, t in enumerate(clean):
+        fr, ru = "Shop – Jardin d’été", "новые книги для детей лежат"
+        for k, (good, bad) in enumerate(((f"{t} – {t}", f"{t} â€“ {t}"), (fr, broken(fr, "utf-8", "cp1252")), (ru, broken(ru, "cp1251", "cp1252")), ("caf", "caf\ufffd noir"))):
+            title = bad if (i + k) % share == 0 and not (k == 0 and not t.isascii() and "â" in t) else good
+            rows.append((4 * i + k, title, None))
+            if title != good:
+                want.add(4 * i + k)
+                mapped[4 * i + k] = None if k == 3 else good
+    df = spark.createDataFrame(rows, "webpage_id long, title string, meta_description string")
+    got = {r["webpage_id"]: r["restored"] for r in mojibake.garbled(df).collect()}
+    assert set(got) == want
+    assert got == mapped
+
+
+def test_clean_text_has_no_shape_of_garbling():
+    for text in ("«В» и «А»", "её дом", "В\xa0доме «Город»", "LE CAFÉ» – «É", "MAÇÃ» x", "příště þýða žížeň", "Рік і Рёбра", "Größe – Ärger", "naïve—être", "20 °C ½ “x” ✓", "Ångström Öl", "ΑΒΓ Άλφα"):
+        assert mojibake.suspects(text) == ([], []), text
+
+
 def test_runs_isolate_the_stretch():
     counts = np.zeros(mojibake.CLASSES**2)
     table = mojibake.class_table()
