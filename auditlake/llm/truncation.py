@@ -115,6 +115,16 @@ def _stripped(text: str) -> tuple[str, bool]:
     return short, short != text
 
 
+def distinct_texts(values: DataFrame) -> DataFrame:
+    """(kind, core, forms): each text once, without outer space and final ellipsis, and the forms it was delivered in.
+
+    Copies of a text are no evidence about it, so all statistics are taken over these rows.
+    """
+    space = r"[\s\x1c-\x1f\x85\p{Z}]"
+    core = F.regexp_replace(F.regexp_replace("text", rf"^{space}+|{space}+$", ""), rf"(?:{space}*(?:…|\.{{2,}}))+{space}*$", "")
+    return values.select("kind", core.alias("core"), "text").groupBy("kind", "core").agg(F.collect_set("text").alias("forms"))
+
+
 def end_counts(values: DataFrame) -> np.ndarray:
     """Occurrences of word pairs and words, all and those that end a sentence or value; of each kind (column kind: 0 or 1)."""
     size = PAIRS + WORDS
@@ -207,13 +217,17 @@ def cut_values(pages: DataFrame, links: DataFrame) -> DataFrame:
     Final marks aside from an ellipsis make a value whole. Of the others the odds of a cut are those of its length
     (higher at field limits, which show as lengths with far more open ends than their neighbours) times how much rarer
     its last word, after the word before it, ends sentences and values in the corpus than words do in general. A
-    last word that the corpus doesn't know but that begins a known word is broken off. Statistics cover all values;
+    last word that the corpus doesn't know but that begins a known word is broken off. Statistics cover all values,
+    copies of a text once, and verdicts on distinct texts are joined back to all rows;
     pairs and words are hashed to tables of fixed size, the vocabulary stays distributed. Null, empty and blank
     values are none, very long values count whole, repeated rows each count, empty tables give no rows.
     """
     values = _values(pages, links)
-    tables = values.sparkSession.sparkContext.broadcast(end_counts(values))
-    limits = limit_odds(values)
+    texts = written(distinct_texts(values), "texts")  # it is asked five times
+    cores = texts.select("kind", F.col("core").alias("text")).where("text <> ''")
+    forms = texts.select("kind", F.unhex(F.md5("core")).alias("core"), F.explode("forms").alias("text"))
+    tables = values.sparkSession.sparkContext.broadcast(end_counts(cores))
+    limits = limit_odds(forms)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = tables.value
@@ -224,7 +238,7 @@ def cut_values(pages: DataFrame, links: DataFrame) -> DataFrame:
             overall = (counts[kind, 1, PAIRS:].sum() + 1) / (counts[kind, 0, PAIRS:].sum() + 12)
             rates.append((overall, n, ends))
         for batch in batches:
-            kinds, raw = batch.column(0).to_numpy(), batch.column(3).to_pylist()
+            kinds, raw = batch.column(0).to_numpy(), batch.column(2).to_pylist()
             out: list[tuple] = []
             for kind in (0, 1):
                 rows, texts = [], []
@@ -245,6 +259,9 @@ def cut_values(pages: DataFrame, links: DataFrame) -> DataFrame:
                 word_rate = (others(word_ends[w]) + 8 * overall) / (others(word_n[w]) + 8)
                 rate = (others(counts[kind, 1, pair[at]]) + 4 * word_rate) / (others(counts[kind, 0, pair[at]]) + 4)
                 odds = overall / np.maximum(rate, 1e-6)
+                # A value of one word has begun no phrase that it could leave unfinished; names are often anchors by themselves.
+                alone = np.append(True, words.text[1:] != words.text[:-1])[at]
+                odds = np.where(alone, np.minimum(odds, 1.0), odds)
                 for j, (text_at, o) in enumerate(zip(words.text[at].tolist(), odds.tolist(), strict=True)):
                     text, i = texts[text_at], rows[text_at]
                     prior = limits.get((kind, len(raw[i])), limits.get((kind, len(text)), (BASE_ODDS, ANCHOR_ODDS)[kind] if len(text) >= SHORTEST_LIMIT else SHORT_ODDS))
@@ -257,21 +274,23 @@ def cut_values(pages: DataFrame, links: DataFrame) -> DataFrame:
                 continue
             index = pa.array([r[0] for r in out])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(index), batch.column(1).take(index), batch.column(2).take(index), batch.column(4).take(index), pa.array([float(r[1]) for r in out]), pa.array([r[2] for r in out], pa.string()), pa.array([r[3] for r in out]), pa.array([r[4] for r in out])],
-                ["kind", "record_id", "item_no", "source", "odds", "token", "small", "open_mark"],
+                [batch.column(0).take(index), batch.column(1).take(index), batch.column(3).take(index), pa.array([float(r[1]) for r in out]), pa.array([r[2] for r in out], pa.string()), pa.array([r[3] for r in out]), pa.array([r[4] for r in out])],
+                ["kind", "core", "digest", "odds", "token", "small", "open_mark"],
             )
 
-    ends = values.mapInArrow(score, "kind int, record_id long, item_no int, source string, odds double, token string, small boolean, open_mark boolean")
-    tokens = ends.where("token is not null").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    ends = forms.withColumn("digest", F.unhex(F.md5("text"))).mapInArrow(score, "kind int, core binary, digest binary, odds double, token string, small boolean, open_mark boolean")
+    tokens = ends.where("token is not null").select("kind", "core", "token").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     # Words of the vocabulary stand before another word at least twice; last words are what is in question.
-    spoken = values.select(F.explode(F.split(F.regexp_replace("text", r"\s*\S+\s*$", ""), r"\s+")).alias("w")).select(F.regexp_replace("w", r"^[^\p{L}]+|[^\p{L}]+$", "").alias("word"))
+    spoken = cores.select(F.explode(F.split(F.regexp_replace("text", r"\s*\S+\s*$", ""), r"\s+")).alias("w")).select(F.regexp_replace("w", r"^[^\p{L}]+|[^\p{L}]+$", "").alias("word"))
     vocabulary = spoken.where(F.col("word").rlike(r"^\p{L}[\p{L}’'-]*$")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
     vocabulary = written(vocabulary, "vocabulary")  # it is asked twice
     judged = ends.join(trie_lookup(tokens, vocabulary), "token", "left")
     broken = ~F.coalesce("known", F.lit(True)) & (F.coalesce("longer", F.lit(0)) > 0) & (F.col("n") < F.greatest(F.lit(2.0), F.col("longer") * OWN_WORD))
     strength = F.when(broken & F.col("small"), 1e6).when(broken, 3.0).otherwise(1.0)
     odds = F.when(F.col("open_mark"), F.greatest("odds", F.lit(2.0))).otherwise(F.col("odds") * strength)
-    return judged.withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS).select(F.when(F.col("kind") == 0, "webpages").otherwise("backlink_summaries").alias("table_name"), "record_id", "item_no", "source", "odds")
+    cut = judged.withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS).select("kind", "digest", "odds")
+    rows = values.withColumn("digest", F.unhex(F.md5("text"))).drop("text")
+    return rows.join(cut, ["kind", "digest"]).select(F.when(F.col("kind") == 0, "webpages").otherwise("backlink_summaries").alias("table_name"), "record_id", "item_no", "source", "odds")
 
 
 def cut_rates(pages: DataFrame, links: DataFrame) -> DataFrame:

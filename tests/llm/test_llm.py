@@ -177,6 +177,21 @@ def test_cut_values(spark):
     assert rates["t"].rate == 1.0 and rates["s"].cut == 1
 
 
+@pytest.mark.parametrize("copies", [1, 2, 30, 600])
+def test_copies_of_a_cut_text_are_no_evidence(spark, copies):
+    rnd = random.Random(8)
+    nouns, adjectives = "boats lamps chairs gardens tables".split(), "modern wooden reliable careful bright".split()
+    sentence = lambda: f"Our {rnd.choice(nouns)} show how to build {rnd.choice(adjectives)} {rnd.choice(nouns)} with {rnd.choice(adjectives)} {rnd.choice(nouns)}"
+    rows = [(i, sentence() + ".", "s") for i in range(600)]
+    hot = ["Our lamps show how to build modern boats and relia", "Our chairs show how to build wooden tables with", "Our boats show how to build modern cha…", "Our tables show how to build wood ... "]
+    cut = [(10_000 + 1000 * k + i, t, "hot") for k, t in enumerate(hot) for i in range(copies)]
+    pages = spark.createDataFrame(rows + cut, "webpage_id long, meta_description string, source string")
+    links = spark.createDataFrame([(i, [("modern chairs with careful", 4), ("bright lamps", 1)], "u") for i in range(copies)], "summary_id long, top_anchors_by_backlinks array<struct<anchor:string,backlinks:long>>, source string")
+    got = [(r.table_name, r.record_id, r.item_no) for r in truncation.cut_values(pages, links).collect()]
+    assert len(got) == len(set(got))
+    assert {g for g in got if g[0] == "webpages"} == {("webpages", r[0], 0) for r in cut}
+
+
 def test_trie_lookup(spark):
     words = ["car", "care", "cart", "dog", "a", "ab", "straße"]
     vocabulary = spark.createDataFrame([(w, 2) for w in words], "word string, n long")
