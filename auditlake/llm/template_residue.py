@@ -207,11 +207,11 @@ def residue(pages: DataFrame, id_col: str = "webpage_id", title: str = "title",
 
     One pass counts the branches of a prefix tree of fixed depth over all titles (number of words, then word by
     word, sites' names and numbers masked). A title whose words are all on supported branches belongs to the
-    template of that path, cut at the tree's depth; a title that leaves the tree is its own template. Distinct
-    templates are classified once and their verdicts joined back to the rows; 'status' is a template that could be
+    template of that path, cut at the tree's depth; a title that leaves the tree is its own template. Templates with the
+    words beyond the depth are classified whole, each once, and their verdicts joined back to the rows; 'status' is a template that could be
     a title as well and a row of status 400 or more. Unresolved slots are found in every title itself. Null titles
     and titles of white space are none; an unknown status is not 400; repeated rows each count; very long titles
-    are read whole, though the tree only to its depth; an empty table gives no rows; other columns are ignored.
+    are read whole, the tree groups them to its depth only; an empty table gives no rows; other columns are ignored.
     """
     source = pages.where(F.col(title).isNotNull()).select(F.col(title).cast("string").alias("title"), F.col(site).cast("string").alias("site"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(status) >= 400, F.lit(False)).alias("failed"))
     source = spread(source)
@@ -220,28 +220,32 @@ def residue(pages: DataFrame, id_col: str = "webpage_id", title: str = "title",
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.unpackbits(supported.value).astype(bool)
         for batch in batches:
-            templates, slots = [], []
+            templates, rests, slots = [], [], []
             for text, host in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if has_slot(text):
                     slots.append(True)
                     templates.append(None)
+                    rests.append(None)
                     continue
                 slots.append(False)
-                words = masked(text, host)
+                words, rest = masked(text, host), []
                 if len(words) > DEPTH and all(known[b] for b in _branches(words)):
-                    words = [*words[:DEPTH], *[WILD] * min(len(words) - DEPTH, 1)]
+                    words, rest = [*words[:DEPTH], WILD], words[DEPTH:]
                 templates.append(" ".join(words))
-            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), pa.array(slots), pa.array(templates, pa.string())], ["id", "failed", "slot", "template"])
+                rests.append(" ".join(rest))
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), pa.array(slots), pa.array(templates, pa.string()), pa.array(rests, pa.string())], ["id", "failed", "slot", "template", "rest"])
 
-    placed = source.mapInArrow(place, "id long, failed boolean, slot boolean, template string")
+    placed = source.mapInArrow(place, "id long, failed boolean, slot boolean, template string, rest string")
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decide = lru_cache(1 << 12)(verdict)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([decide(t) for t in batch.column(0).to_pylist()], pa.int32())], ["template", "verdict"])
+            # The tree only groups: words beyond its depth are read as well.
+            whole = [t.removesuffix(WILD) + r if r else t for t, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([decide(t) for t in whole], pa.int32())], ["template", "rest", "verdict"])
 
-    templates = placed.where("not slot").select("template").distinct().mapInArrow(classify, "template string, verdict int").where("verdict > 0")
-    messages = placed.where("not slot").join(templates, "template").where("verdict = 2 or failed").select(F.col("id"), F.when(F.col("verdict") == 2, "message").otherwise("status").alias("kind"))
+    templates = placed.where("not slot").select("template", "rest").distinct().mapInArrow(classify, "template string, rest string, verdict int").where("verdict > 0")
+    messages = placed.where("not slot").join(templates, ["template", "rest"]).where("verdict = 2 or failed").select(F.col("id"), F.when(F.col("verdict") == 2, "message").otherwise("status").alias("kind"))
     return placed.where("slot").select("id", F.lit("slot").alias("kind")).unionByName(messages).withColumnRenamed("id", id_col)
 
 

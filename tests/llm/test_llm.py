@@ -57,6 +57,20 @@ def test_residue(spark):
     assert template_residue.titles_without_residue(df).count() == len(rows) - len(got)
 
 
+@pytest.mark.parametrize("n", [1, 4, 5, 40])
+def test_residue_of_long_titles_at_any_count(spark, n):
+    message, notice, title = "The page you are looking for could not be found on this server", "Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore", "The page you are looking for could not be found on this map of old gardens"
+    rows = [(k * n + i, t, 200, "https://www.begadalo.example") for k, t in enumerate((message, notice, title)) for i in range(n)]
+    df = spark.createDataFrame(rows, "webpage_id long, title string, status_code int, website_url string")
+    assert sorted(tuple(r) for r in template_residue.residue(df).collect()) == [(i, "message") for i in range(2 * n)]
+
+
+def test_residue_does_not_depend_on_collisions(spark, monkeypatch):
+    monkeypatch.setattr(template_residue, "branch_counts", lambda pages: np.ones(template_residue.BUCKETS, bool))
+    df = spark.createDataFrame([(1, "The page you are looking for could not be found on this server", 200, None)], "webpage_id long, title string, status_code int, website_url string")
+    assert template_residue.residue(df).count() == 1
+
+
 # --- 2 ----------------------------------------------------------------------------------------------------------
 def clean_corpus():
     rnd = random.Random(5)
