@@ -113,6 +113,13 @@ def a10_edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("webpage_id", F.levenshtein(t, F.concat(g, t)).cast("long").alias("distance"), F.levenshtein(F.substring(t, 1, 40), F.substring(d, 1, 40)).cast("long").alias("other"))
 
 
+@R.query(None)
+def a10_whole_edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distances over whole texts, counted in characters of any script; SQL can't follow, as its engine counts bytes."""
+    t, d, g = (F.coalesce(c, F.lit("")) for c in ("title", "meta_description", "seo_grade"))
+    return _pages(spark, sf_dir).select("webpage_id", F.levenshtein(t, F.concat(g, t)).cast("long").alias("distance"), F.levenshtein(t, d).cast("long").alias("other"))
+
+
 @R.query("""SELECT webpage_id, CASE WHEN title IS NULL OR seo_grade IS NULL THEN 'low' WHEN abs(length(title) - 40) <= 1 THEN 'high' WHEN abs(length(title) - 40) <= 2 AND length(title) > 4 THEN 'medium' ELSE 'low' END AS confidence FROM webpages""")
 def a11_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     distance = F.abs(F.length("title") - 40)
