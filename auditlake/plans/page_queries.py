@@ -264,6 +264,11 @@ def d8_similar_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.similar_neighbours(_pages(spark, sf_dir), "website_url", "webpage_id", "title", 85)
 
 
+@R.query(None)
+def d2_similar_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicates.similar_neighbours(_pages(spark, sf_dir), "website_url", "webpage_id", "meta_description", 80)
+
+
 @R.query("SELECT website_url, seo_grade, count(*) AS pages, round(avg(seo_score), 6) AS avg_score FROM webpages GROUP BY ROLLUP (website_url, seo_grade)")
 def a22_grades_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).rollup("website_url", "seo_grade").agg(F.count(F.lit(1)).alias("pages"), F.round(F.avg("seo_score"), 6).alias("avg_score"))

@@ -1,5 +1,10 @@
 """Page queries that SQL can't follow, against brute force."""
 
+import random
+
+import pytest
+
+from auditlake.operators import duplicates
 from auditlake.plans import page_queries
 
 
@@ -17,3 +22,32 @@ def test_whole_edit_distance(spark, tmp_path):
     spark.createDataFrame(rows, "webpage_id long, title string, meta_description string, seo_grade string").write.parquet(f"{tmp_path}/webpages.parquet")
     got = {r.webpage_id: (r.distance, r.other) for r in page_queries.QUERIES["a10_whole_edit_distance"](spark, str(tmp_path)).collect()}
     assert got == {i: (levenshtein(t or "", (g or "") + (t or "")), levenshtein(t or "", d or "")) for i, t, d, g in rows}
+
+
+@pytest.mark.parametrize(("name", "column", "least"), [("d8_similar_titles", "title", 85), ("d2_similar_descriptions", "meta_description", 80)])
+def test_similar_texts_against_brute_force(spark, tmp_path, name, column, least):
+    rnd = random.Random(least)
+    texts = ["Garden chairs shop", "Garden chair shop", " garden CHAIRS shop ", "ab", "axb", "abc", "a", "aaaa", "aaaaa", "aaaaaaa", "Новые книги для детей", "Новая книга для детей", None, "", "  "]
+    for _ in range(40):
+        base = " ".join(rnd.choice("garden chairs shop lamps buy wooden new и книги".split()) for _ in range(rnd.randrange(1, 7)))
+        for _ in range(4):
+            chars = list(base)
+            for _ in range(rnd.randrange(0, 6)):
+                chars[rnd.randrange(len(chars))] = rnd.choice(["", "x", "e ", chars[0]])
+            texts.append("".join(chars))
+    rows = [(i, t, f"https://{i % 3 == 0}.example") for i, t in enumerate(texts)]
+    rows += [(1000 + i, t, "https://one.example") for i, t in enumerate(texts[:60])]
+    pages = spark.createDataFrame(rows, f"webpage_id long, {column} string, website_url string")
+    pages.write.parquet(f"{tmp_path}/webpages.parquet")
+    first = {}
+    for i, t, s in rows:
+        if t and t.strip():
+            first.setdefault((s, t.strip(" ").lower()), []).append(i)
+    want = {(s, g[0], i, 100) for (s, _), g in first.items() for i in g[1:]}
+    for (s, t), g in first.items():
+        for (r, u), h in first.items():
+            if s == r and g[0] < h[0] and (score := duplicates.ratio(t, u)) >= least:
+                want.add((s, g[0], h[0], score))
+    got = [tuple(r) for r in page_queries.QUERIES[name](spark, str(tmp_path)).select("website_url", "a", "b", "score").collect()]
+    assert len(want) > 50 and len(got) == len(set(got))
+    assert set(got) == want
