@@ -3,23 +3,23 @@
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cache, lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.session import spread
+from auditlake.session import spread, written
 
-#: Levels of the prefix tree after the one of the number of words.
-DEPTH = 12
-#: Titles a branch of the tree needs.
-SUPPORT = 5
-#: Branch counts are kept in a table of this fixed size, so what is broadcast doesn't grow with the data.
-BUCKETS = 1 << 20
+#: Words below the level of the number of words that the prefix tree branches by.
+DEPTH = 3
+#: Share of its parent's titles that a word needs to be a branch of its own.
+BRANCH = 0.01
+#: Sites that a wording needs to be learned as a message.
+SITES = 3
+#: Mean log-odds of a template's words from which it is worded like the known messages.
+WORDING = 3.0
 WILD = "<*>"
 SITE = "<site>"
 NUMBER = "<num>"
@@ -29,14 +29,14 @@ _NAME = r"[A-Za-z][\w.\-]*"
 SLOT = re.compile(
     "|".join(
         (
-            r"\{\{\s*[#/&>]?\s*" + _NAME + r"[^{}]{0,60}\}\}",
-            r"\{%-?\s*" + _NAME + r"[^{}]{0,60}%\}",
-            r"[$#]\{\s*" + _NAME + r"[^{}]{0,60}\}",
-            r"\{!\s*" + _NAME + r"[^{}]{0,60}\}",
+            r"\{\{\s*[#/&>]?\s*" + _NAME + r"[^{}]*\}\}",
+            r"\{%-?\s*" + _NAME + r"[^{}]*%\}",
+            r"[$#]\{\s*" + _NAME + r"[^{}]*\}",
+            r"\{!\s*" + _NAME + r"[^{}]*\}",
             r"\{" + _NAME + r"\}",
-            r"<%[=\-]?.{1,60}?%>",
+            r"<%(?:(?!<%).)+?%>",
             r"<!--\s*" + _NAME + r"\s*-->",
-            r"<\?(?:php|=).{0,60}?\?>",
+            r"<\?(?:php|=)(?:(?!<\?).)*?\?>",
             r"\[\[\s*" + _NAME + r"\s*\]\]",
             r"\[[A-Z][A-Z0-9]*(?:[_ ][A-Z0-9]+)*\]",
             r"\[[a-z]+[_.][a-z_.]+\]",
@@ -158,6 +158,23 @@ def verdict(template: str) -> int:
 # --- Mining -----------------------------------------------------------------------------------------------------
 _STATUS = re.compile(r"\W*[1-5]\d\d\W*")
 _DIGITS = re.compile(r"\d")
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+@cache
+def _fragments() -> tuple[frozenset[str], tuple[str, ...]]:
+    """The letter runs of all message patterns, and those long enough to be the beginning of a word."""
+    plain = re.sub(r"\\[a-zA-Z]", " ", " ".join((EMPTY, *NOTICES, *FILLER, *EITHER)))
+    runs = frozenset(_LETTERS.findall(plain.lower()))
+    return runs, tuple(sorted(r for r in runs if len(r) >= 4))
+
+
+@lru_cache(1 << 15)
+def telling(word: str) -> bool:
+    """Whether a word may matter to a pattern, so that no template leaves it open: it has a run of letters that a pattern has or begins with, or no letters but one at all."""
+    runs, begins = _fragments()
+    mine = _LETTERS.findall(word)
+    return len(set("".join(mine))) < 2 or word in (SITE, NUMBER) or any(m in runs or m.startswith(begins) for m in mine)
 
 
 def masked(title: str, website_url: str | None) -> list[str]:
@@ -175,78 +192,95 @@ def masked(title: str, website_url: str | None) -> list[str]:
     return words
 
 
-def _branches(words: list[str]) -> list[int]:
-    """The table place of each branch on a title's way down: number of words, first word, second word ..."""
-    h, out = len(words), []
-    for word in words[:DEPTH]:
-        h = zlib.crc32(word.encode("utf-8", "surrogatepass"), h)
-        out.append(h & (BUCKETS - 1))
-    return out
+def _mask_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        slots, words, kept = [], [], []
+        for text, host in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            slots.append(has_slot(text))
+            mine = [] if slots[-1] else masked(text, host)
+            words.append(mine)
+            kept.append([telling(w) for w in mine])
+        yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), batch.column(3), pa.array(slots), pa.array(words, pa.list_(pa.string())), pa.array(kept, pa.list_(pa.bool_()))], ["id", "site", "failed", "slot", "words", "telling"])
+
+
+def tree_templates(titles: DataFrame) -> DataFrame:
+    """(words, site, failed, template) of distinct (words, site): the template of each title by a prefix tree of fixed depth.
+
+    Below the root are the numbers of words, below those the first DEPTH words, level by level. A word is a branch
+    of its own if it holds at least BRANCH of its parent's titles or may matter to a pattern; all others share
+    the branch <*>. In a leaf, a later word stays if it may matter or if most of the leaf's titles have it there;
+    the others are <*>. All shares are relative, counts are aggregates, and a leaf is never gathered anywhere.
+    """
+    rows = titles.groupBy("words", "site").agg(F.max("failed").alias("failed"), F.first("telling").alias("telling")).withColumns({"n": F.size("words"), "path": F.size("words").cast("string")})
+    for level in range(1, DEPTH + 1):
+        word = F.get("words", F.lit(level - 1))
+        open_word = ~F.coalesce(F.get("telling", F.lit(level - 1)), F.lit(True))
+        counts = rows.where(open_word).select("path", word.alias("w")).groupBy("path", "w").agg(F.count(F.lit(1)).alias("c"))
+        totals = rows.groupBy("path").agg(F.count(F.lit(1)).alias("total"))
+        branches = counts.join(totals, "path").where(F.col("c") >= F.col("total") * F.lit(BRANCH)).select("path", F.col("w").alias("branch"))
+        joined = rows.withColumn("w", word).join(branches.withColumnRenamed("path", "p"), (F.col("path") == F.col("p")) & (F.col("w") == F.col("branch")), "left")
+        step = F.when(word.isNull(), "").when(open_word & F.col("branch").isNull(), WILD).otherwise(word)
+        rows = joined.withColumn("path", F.concat_ws(" ", "path", step)).drop("p", "branch", "w")
+        rows = written(rows, f"tree{level}")
+    places = rows.where(F.col("n") > DEPTH).select("path", F.posexplode(F.slice("words", F.lit(DEPTH + 1), F.col("n") - DEPTH)).alias("at", "w")).groupBy("path", "at", "w").agg(F.count(F.lit(1)).alias("c"))
+    usual = places.groupBy("path", "at").agg(F.sum("c").alias("total"), F.max("c").alias("c"), F.max_by("w", "c").alias("w")).where(F.col("c") * 2 > F.col("total"))
+    usual = usual.groupBy(F.col("path").alias("leaf")).agg(F.map_from_entries(F.collect_list(F.struct("at", "w"))).alias("usual"))
+    later = F.transform(
+        F.slice("words", F.lit(DEPTH + 1), F.greatest(F.lit(0), F.col("n") - DEPTH)),
+        lambda w, i: F.when(F.coalesce(F.get("telling", i + DEPTH), F.lit(True)) | F.coalesce(F.try_element_at("usual", i) == w, F.lit(False)), w).otherwise(WILD),
+    )
+    head = F.regexp_replace("path", r"^\d+ ?", "")
+    template = F.trim(F.concat_ws(" ", head, F.array_join(later, " ")))
+    return rows.join(usual, F.col("path") == F.col("leaf"), "left").select("words", "site", "failed", template.alias("template"))
 
 
-def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(BUCKETS, np.int64)
+def _classify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        places = [b for title, site in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for b in _branches(masked(title, site))]
-        counts += np.bincount(places, minlength=BUCKETS)
-    at = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["branch", "n"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([verdict(t) for t in batch.column(0).to_pylist()], pa.int32())], ["template", "sites", "failed_sites", "verdict"])
 
 
-def branch_counts(pages: DataFrame) -> np.ndarray:
-    """Titles below each branch of the prefix tree over all titles; at most BUCKETS numbers reach the driver."""
-    found = pages.mapInArrow(_count_batches, "branch int, n long").groupBy("branch").agg(F.least(F.sum("n"), F.lit(SUPPORT)).cast("int").alias("n")).where(F.col("n") >= SUPPORT)
-    rows = found.toPandas()
-    supported = np.zeros(BUCKETS, bool)
-    supported[rows["branch"].to_numpy(np.int64)] = True
-    return supported
+def classified(placed: DataFrame) -> DataFrame:
+    """(template, verdict) of the templates that are messages (2) or are so where the status says so (1), each template judged once.
+
+    The fixed lists judge first. They also seed what is learned: a template that they don't know, found on at
+    least SITES sites and without a site's name, is a message if its words are those of known messages rather than those
+    of other templates (mean log-odds over templates), and depends on the status if most of its sites fail with it (lower
+    bound of the share).
+    """
+    by_site = placed.groupBy("template", "site").agg(F.max("failed").alias("failed"))
+    mined = by_site.groupBy("template").agg(F.count(F.lit(1)).alias("sites"), F.sum(F.col("failed").cast("long")).alias("failed_sites"))
+    mined = written(mined.mapInArrow(_classify_batches, "template string, sites long, failed_sites long, verdict int"), "templates")
+    unknown = mined.where((F.col("verdict") == 0) & (F.col("sites") >= SITES) & ~F.col("template").contains(SITE) & ~F.col("template").contains(WILD) & F.col("template").rlike(r"\p{L}"))
+    words = F.array_distinct(F.regexp_extract_all("template", F.lit(r"(\p{L}{2,})")))
+    asked = unknown.select("template", F.explode(words).alias("word"))
+    known = mined.where("verdict <> 1").select(F.col("verdict"), F.explode(words).alias("word")).join(asked.select("word").distinct(), "word", "left_semi")
+    use = known.groupBy("word").agg(F.count_if(F.col("verdict") == 2).alias("m"), F.count_if(F.col("verdict") == 0).alias("r"))
+    # A template's own occurrence among the others says nothing about it.
+    odds = F.log((F.col("m") + 0.5) / (F.greatest(F.col("r") - 1, F.lit(0)) + 0.5))
+    all_odds = mined.agg(F.log((F.count_if(F.col("verdict") == 2) + 1.0) / (F.count_if(F.col("verdict") == 0) + 1.0)).alias("prior"))
+    scored = asked.join(use, "word").groupBy("template").agg(F.avg(odds).alias("odds")).join(F.broadcast(all_odds))  # one row
+    z2 = F.lit(4.0)
+    share = F.col("failed_sites") / F.col("sites")
+    low = (share + z2 / (2 * F.col("sites")) - 2 * F.sqrt(share * (1 - share) / F.col("sites") + z2 / (4 * F.col("sites") * F.col("sites")))) / (1 + z2 / F.col("sites"))
+    learned = unknown.join(scored, "template", "left").select("template", F.when(F.col("odds") - F.col("prior") >= WORDING, 2).when(low >= 0.5, 1).otherwise(0).alias("verdict"))
+    return mined.select("template", "verdict").unionByName(learned).where("verdict > 0")
 
 
 def residue(pages: DataFrame, id_col: str = "webpage_id", title: str = "title", status: str = "status_code", site: str = "website_url") -> DataFrame:
     """(id, kind) of the rows whose title is no content; kind is 'slot', 'message' or 'status'.
 
-    One pass counts the branches of a prefix tree of fixed depth over all titles (number of words, then word by
-    word, sites' names and numbers masked). A title whose words are all on supported branches belongs to the
-    template of that path, cut at the tree's depth; a title that leaves the tree is its own template. Templates with the
-    words beyond the depth are classified whole, each once, and their verdicts joined back to the rows; 'status' is a template that could be
+    Message templates are mined with a prefix tree of fixed depth over all titles (tree_templates), each template is
+    classified once (classified), and its verdict goes to all its titles; 'status' is a template that could be
     a title as well and a row of status 400 or more. Unresolved slots are found in every title itself. Null titles
     and titles of white space are none; an unknown status is not 400; repeated rows each count; very long titles
-    are read whole, the tree groups them to its depth only; an empty table gives no rows; other columns are ignored.
+    are read whole; an empty table gives no rows; other columns are ignored.
     """
     source = pages.where(F.col(title).isNotNull()).select(F.col(title).cast("string").alias("title"), F.col(site).cast("string").alias("site"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(status) >= 400, F.lit(False)).alias("failed"))
-    source = spread(source)
-    supported = source.sparkSession.sparkContext.broadcast(np.packbits(branch_counts(source.select("title", "site"))))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(supported.value).astype(bool)
-        for batch in batches:
-            templates, rests, slots = [], [], []
-            for text, host in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if has_slot(text):
-                    slots.append(True)
-                    templates.append(None)
-                    rests.append(None)
-                    continue
-                slots.append(False)
-                words, rest = masked(text, host), []
-                if len(words) > DEPTH and all(known[b] for b in _branches(words)):
-                    words, rest = [*words[:DEPTH], WILD], words[DEPTH:]
-                templates.append(" ".join(words))
-                rests.append(" ".join(rest))
-            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), pa.array(slots), pa.array(templates, pa.string()), pa.array(rests, pa.string())], ["id", "failed", "slot", "template", "rest"])
-
-    placed = source.mapInArrow(place, "id long, failed boolean, slot boolean, template string, rest string")
-
-    def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decide = lru_cache(1 << 12)(verdict)
-        for batch in batches:
-            # The tree only groups: words beyond its depth are read as well.
-            whole = [t.removesuffix(WILD) + r if r else t for t, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([decide(t) for t in whole], pa.int32())], ["template", "rest", "verdict"])
-
-    templates = placed.where("not slot").select("template", "rest").distinct().mapInArrow(classify, "template string, rest string, verdict int").where("verdict > 0")
-    messages = placed.where("not slot").join(templates, ["template", "rest"]).where("verdict = 2 or failed").select(F.col("id"), F.when(F.col("verdict") == 2, "message").otherwise("status").alias("kind"))
-    return placed.where("slot").select("id", F.lit("slot").alias("kind")).unionByName(messages).withColumnRenamed("id", id_col)
+    titles = written(spread(source).mapInArrow(_mask_batches, "id long, site string, failed boolean, slot boolean, words array<string>, telling array<boolean>"), "titles")
+    placed = written(tree_templates(titles.where("not slot and size(words) > 0")), "placed")
+    cases = placed.join(classified(placed), "template").groupBy("words", "verdict").agg(F.lit(1).alias("one")).groupBy("words").agg(F.max("verdict").alias("verdict"))
+    messages = titles.where("not slot").join(cases, "words").where("verdict = 2 or failed").select(F.col("id"), F.when(F.col("verdict") == 2, "message").otherwise("status").alias("kind"))
+    return titles.where("slot").select("id", F.lit("slot").alias("kind")).unionByName(messages).withColumnRenamed("id", id_col)
 
 
 def titles_without_residue(pages: DataFrame, **options) -> DataFrame:

@@ -1,5 +1,6 @@
 """The llm operators against brute force, planted cases and edge cases on small fixtures."""
 
+import itertools
 import json
 import random
 import re
@@ -65,10 +66,33 @@ def test_residue_of_long_titles_at_any_count(spark, n):
     assert sorted(tuple(r) for r in template_residue.residue(df).collect()) == [(i, "message") for i in range(2 * n)]
 
 
-def test_residue_does_not_depend_on_collisions(spark, monkeypatch):
-    monkeypatch.setattr(template_residue, "branch_counts", lambda pages: np.ones(template_residue.BUCKETS, bool))
-    df = spark.createDataFrame([(1, "The page you are looking for could not be found on this server", 200, None)], "webpage_id long, title string, status_code int, website_url string")
-    assert template_residue.residue(df).count() == 1
+WORDINGS = ["We'll be right back", "Ce site est en maintenance", "The requested resource could not be located", "404 - Seite existiert nicht mehr", "Internal Server Error - Apache Tomcat/9", "ページが見つかりません", "Sayfa bulunamadı", "Please enable JavaScript and cookies in your browser to continue viewing this whole website today"]
+
+
+def test_residue_learns_wordings_that_no_list_has(spark):
+    rnd = random.Random(12)
+    nouns, adjectives = "boats lamps chairs gardens tables shelves carpets curtains".split(), "modern wooden reliable careful bright quiet heavy early".split()
+    sites = [f"https://www.{a}{b}.example" for a in ("bega", "soru", "mita") for b in ("dalo", "pim", "kor", "zun")]
+    rows = [(i, f"How to {rnd.choice(['build', 'clean', 'move'])} {rnd.choice(adjectives)} {rnd.choice(nouns)} at home", rnd.choice([200] * 9 + [404]), rnd.choice(sites)) for i in range(600)]
+    rows += [(1000 + i, t, 200, rnd.choice(sites)) for i, t in enumerate(CASES * 3)]
+    rows += [(2000 + 100 * k + i, t, 503 if i % 6 else 200, sites[i % 12]) for k, t in enumerate(WORDINGS) for i in range(24)]
+    rows += [(5000 + i, "Spring catalogue", 503 if i % 9 == 0 else 200, sites[i % 12]) for i in range(24)]  # on many sites, but it seldom fails
+    rows += [(6000 + i, "Autumn sale of garden chairs", 503, sites[0]) for i in range(24)]  # one site that fails
+    df = spark.createDataFrame(rows, "webpage_id long, title string, status_code int, website_url string")
+    got = {r.webpage_id for r in template_residue.residue(df).collect()}
+    want = {r[0] for r in rows if 2000 <= r[0] < 5000 and r[2] >= 400}
+    assert want <= got
+    assert {r[0] for r in rows if 1000 <= r[0] < 2000} <= got
+    assert not got & {r[0] for r in rows if r[0] < 1000 or r[0] >= 5000}
+
+
+def test_tree_leaves_no_telling_word_open(spark):
+    rows = [(f"zq{w} report of vu{w} wy{w} today".split(), f"s{i % 5}", False) for i, w in enumerate("".join(p) for p in itertools.product("zqvwj", repeat=4))]
+    rows += [(t.lower().split(), "s1", False) for t in CASES if not template_residue.has_slot(t)]
+    titles = spark.createDataFrame([(w, s, f, [template_residue.telling(x) for x in w]) for w, s, f in rows], "words array<string>, site string, failed boolean, telling array<boolean>")
+    got = {" ".join(r.words): r.template for r in template_residue.tree_templates(titles).collect()}
+    assert got["zqzqvw report of vuzqvw wyzqvw today"] == "<*> report of <*> <*> today"
+    assert all(template_residue.verdict(t) == template_residue.verdict(got[t]) for t in (" ".join(w) for w, _, _ in rows))
 
 
 # --- 2 ----------------------------------------------------------------------------------------------------------
