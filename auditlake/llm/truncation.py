@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from functools import cache
 
@@ -16,20 +15,20 @@ from auditlake.llm.codes import BASES, codepoints, mix, powers
 from auditlake.session import spread, written
 
 _U = np.uint64
-#: Statistics of word pairs and words are kept in tables of this fixed size, whatever the corpus.
-PAIRS, WORDS = 1 << 20, 1 << 18
 #: Odds that a value without a final mark is cut, before its end is looked at: descriptions; anchors, which have no marks; short values.
 BASE_ODDS, ANCHOR_ODDS, SHORT_ODDS = 0.25, 0.4, 0.1
+#: Values below this length are short.
+SHORT = 30
 #: Odds from which a value counts as cut.
 LEAST_ODDS = 1.5
-#: A length is a limit if it has so many times the values without a final mark that its neighbours have, and so many more.
-LIMIT_TIMES, LIMIT_MORE = 2.0, 12
-#: Lengths outside these are no field limits.
-SHORTEST_LIMIT, LONGEST_LIMIT = 30, 4096
-#: A last word that ends so many values, by occurrence of the words it begins, is a word of its own.
+#: A length is a limit if it has so many times the values without a final mark that its neighbours have, and so many standard deviations more.
+LIMIT_TIMES, LIMIT_SIGMAS = 2.0, 4.0
+#: Lengths to either side that a length is compared with.
+NEIGHBOURS = 5
+#: A beginning of words that stands as a word less often than this, by occurrence of those words, is none.
+STRAY = 0.001
+#: A last word that nothing follows anywhere is still a word of its own if it ends so many other values, by occurrence of the words it begins.
 OWN_WORD = 0.1
-#: Characters of a word that place it in a shard of the vocabulary trie.
-SHARD_CHARS = 3
 
 MARKS = ".!?…。！？"
 _ELLIPSIS = re.compile(r"(?:\s*(?:…|\.{2,}))+\s*$")
@@ -64,6 +63,8 @@ def _char_hash() -> np.ndarray:
     return mix(_kinds()[0].astype(_U) + _U(1 << 40))
 
 
+#: Key of the counts of all words.
+TOTAL = 0
 _START, _NUMBER, _CAPITAL, _LINK = (_U(x) for x in (17, 19, 23, 29))
 
 
@@ -101,11 +102,9 @@ class Words:
         self.prev = np.where(opens, _START, np.append(_START, self.id[:-1]))
         self.last = np.append(self.text[1:] != self.text[:-1], True)
 
-    def places(self) -> tuple[np.ndarray, np.ndarray]:
-        """Places of each word's pair with the word before, and of the word itself, in the tables."""
-        pair = (mix(self.prev * _U(5) + mix(self.id)) >> _U(44)).astype(np.int64)
-        word = PAIRS + (mix(self.id + _U(7)) >> _U(46)).astype(np.int64)
-        return pair, word
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """64-bit keys of each word's pair with the word before, and of the word itself; never TOTAL."""
+        return tuple(np.where(k == TOTAL, 1, k) for k in (mix(self.prev * _U(5) + mix(self.id)).view(np.int64), mix(self.id + _U(7)).view(np.int64)))
 
 
 def _stripped(text: str) -> tuple[str, bool]:
@@ -125,81 +124,54 @@ def distinct_texts(values: DataFrame) -> DataFrame:
     return values.select("kind", core.alias("core"), "text").groupBy("kind", "core").agg(F.collect_set("text").alias("forms"))
 
 
-def end_counts(values: DataFrame) -> np.ndarray:
-    """Occurrences of word pairs and words, all and those that end a sentence or value; of each kind (column kind: 0 or 1)."""
-    size = PAIRS + WORDS
+def end_counts(texts: DataFrame) -> DataFrame:
+    """(key, n0, ends0, n1, ends1): occurrences of each word pair and word, and those that end a sentence or value, of either kind (0, 1); key TOTAL has all words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros((2, 2, size), np.int32)
         for batch in batches:
-            kinds = batch.column(0).to_numpy()
-            raw = batch.column(1).to_pylist()
+            kinds, raw = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             for kind in (0, 1):
-                texts = [_ELLIPSIS.sub("", raw[i]) for i in np.flatnonzero(kinds == kind).tolist()]
-                if not texts:
-                    continue
-                words = Words(texts)
-                for places in words.places():
-                    totals[kind, 0] += np.bincount(places, minlength=size).astype(np.int32)
-                    totals[kind, 1] += np.bincount(places[words.ends | words.last], minlength=size).astype(np.int32)
-        for kind in (0, 1):
-            at = np.flatnonzero(totals[kind, 0])
-            yield pa.RecordBatch.from_arrays([pa.array(at + kind * size), pa.array(totals[kind, 0, at].astype(np.int64)), pa.array(totals[kind, 1, at].astype(np.int64))], ["place", "n", "ends"])
-
-    # Places seen once say no more than the prior and stay out of what the driver gets.
-    rows = values.select("kind", "text").mapInArrow(count, "place long, n long, ends long").groupBy("place").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")).where(F.col("n") >= 2)
-    table = rows.select("place", F.least("n", F.lit(1 << 30)).cast("int").alias("n"), F.least("ends", F.lit(1 << 30)).cast("int").alias("ends")).toPandas()
-    result = np.zeros((2, 2, size), np.int32)
-    for kind in (0, 1):
-        mine = table[(table["place"] // size) == kind]
-        result[kind, 0, (mine["place"] % size).to_numpy()] = mine["n"]
-        result[kind, 1, (mine["place"] % size).to_numpy()] = mine["ends"]
-    return result
-
-
-def limit_odds(values: DataFrame) -> dict[tuple[int, int], float]:
-    """(kind, length) of field limits, with the odds that a value of that length without a final mark was cut there."""
-    open_ended = values.where(~F.rtrim("text").rlike(r"[.!?。！？][\"'»”’)\]]*$") & F.length("text").between(SHORTEST_LIMIT - 5, LONGEST_LIMIT + 5))
-    rows = open_ended.groupBy("kind", F.length("text").alias("n")).count().collect()
-    counts = {(r[0], r[1]): r[2] for r in rows}
-    found = {}
-    for (kind, n), c in counts.items():
-        if not SHORTEST_LIMIT <= n <= LONGEST_LIMIT:
-            continue
-        around = sorted(counts.get((kind, n + d), 0) for d in (-5, -4, -3, -2, -1, 1, 2, 3, 4, 5))
-        usual = (around[4] + around[5]) / 2
-        if c >= LIMIT_TIMES * usual and c - usual >= LIMIT_MORE:
-            found[kind, n] = float(np.clip((c - usual) / max(usual, 1), BASE_ODDS, 20))
-    return found
+                words = Words([raw[i] for i in np.flatnonzero(kinds == kind).tolist()])
+                closes = words.ends | words.last
+                for keys in (*words.keys(), np.full(len(words.id), TOTAL, np.int64)):
+                    if len(keys):
+                        key, at, n = np.unique(keys, return_inverse=True, return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), kind, np.int32)), pa.array(n.astype(np.int64)), pa.array(np.bincount(at, closes).astype(np.int64))], ["key", "kind", "n", "ends"])
+
+    of = lambda c, kind: F.sum(F.when(F.col("kind") == kind, F.col(c)).otherwise(0)).alias(f"{c}{kind}")
+    return texts.select("kind", "text").mapInArrow(count, "key long, kind int, n long, ends long").groupBy("key").agg(of("n", 0), of("ends", 0), of("n", 1), of("ends", 1))
+
+
+def limit_odds(values: DataFrame) -> DataFrame:
+    """(kind, n, limit) of lengths that are field limits, with the odds that a value of that length without a final mark was cut there.
+
+    A limit has far more values without a final mark than the lengths around it (their median): by a factor, and by
+    more than chance gives. Values of one word don't count: names have favourite lengths. Every length is judged, by one rule; nothing is collected.
+    """
+    open_ended = values.where(~F.rtrim("text").rlike(r"[.!?。！？][\"'»”’)\]]*$") & F.trim("text").rlike(r"\s")).groupBy("kind", F.length("text").alias("n")).agg(F.count(F.lit(1)).alias("c"))
+    shift = F.explode(F.array(*[F.lit(d) for d in range(-NEIGHBOURS, NEIGHBOURS + 1)]))
+    near = open_ended.select("kind", "n", "c", shift.alias("d")).groupBy("kind", (F.col("n") + F.col("d")).alias("n")).agg(
+        F.max(F.when(F.col("d") == 0, F.col("c"))).alias("c"), F.collect_list(F.when(F.col("d") != 0, F.col("c"))).alias("around")
+    )
+    padded = F.array_sort(F.concat("around", F.array_repeat(F.lit(0).cast("long"), 2 * NEIGHBOURS - F.size("around"))))
+    usual = (F.get(padded, F.lit(NEIGHBOURS - 1)) + F.get(padded, F.lit(NEIGHBOURS))) / 2
+    more = F.col("c") - F.col("usual")
+    peaks = near.where("c is not null").select("kind", "n", "c", usual.alias("usual")).where((F.col("c") >= LIMIT_TIMES * F.col("usual")) & (more >= LIMIT_SIGMAS * F.sqrt(F.col("usual") + 1)))
+    return peaks.select("kind", "n", F.greatest(F.lit(BASE_ODDS), F.least(F.lit(20.0), more / F.greatest("usual", F.lit(1.0)))).alias("limit"))
 
 
 def trie_lookup(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(token, n, known, longer): of each token, whether it is a word, and the occurrences of the words that it properly begins.
+    """(token, n, whole, longer): of each token, the occurrences of the word that it is, and of the words that it properly begins.
 
-    The vocabulary (word, n) is a trie laid out as sorted words (all words below a node stand together); its
-    branches of SHARD_CHARS characters are shards, met by the tokens of that branch. Tokens shorter than that lie
-    above the shards: what they begin is summed over the branches. Letter case counts.
+    The vocabulary (word, n) is a trie laid out as its nodes: a node is a beginning of words with the occurrences
+    below it. Only nodes at depths that tokens of the same first letter have are built, each by a sum that is
+    combined before the shuffle, so no branch of the trie is gathered in one place. Letter case counts.
     """
-    heads = vocabulary.select(F.explode(F.array(*[F.substring("word", 1, n) for n in range(1, SHARD_CHARS)])).alias("token"), "word", "n")
-    heads = heads.groupBy("token").agg(F.sum(F.when(F.col("token") != F.col("word"), F.col("n")).otherwise(0)).alias("longer"), F.max(F.col("token") == F.col("word")).alias("known"))
-    short = tokens.where(F.length("token") < SHARD_CHARS).join(heads, "token", "left")
-    above = short.select("token", "n", F.coalesce("known", F.lit(False)).alias("known"), F.coalesce("longer", F.lit(0)).cast("long").alias("longer"))
-
-    def look(left: pa.Table, right: pa.Table) -> pa.Table:
-        counts = dict(zip(right["word"].to_pylist(), right["n"].to_pylist(), strict=True))
-        words = sorted(counts)
-        below = np.append(0, np.cumsum([counts[w] for w in words], dtype=np.int64))
-        asked = left["token"].to_pylist()
-        known, longer = [], []
-        for token in asked:
-            known.append(token in counts)
-            i = bisect_left(words, token) + known[-1]
-            longer.append(int(below[bisect_left(words, token + "\U0010ffff")] - below[i]))
-        return pa.table({"token": pa.array(asked, pa.string()), "n": left["n"], "known": pa.array(known, pa.bool_()), "longer": pa.array(longer, pa.int64())})
-
-    deep = tokens.where(F.length("token") >= SHARD_CHARS).withColumn("branch", F.substring("token", 1, SHARD_CHARS)).groupBy("branch")
-    shards = vocabulary.where(F.length("word") >= SHARD_CHARS).withColumn("branch", F.substring("word", 1, SHARD_CHARS)).groupBy("branch")
-    return above.unionByName(deep.cogroup(shards).applyInArrow(look, "token string, n long, known boolean, longer long"))
+    depths = tokens.groupBy(F.substring("token", 1, 1).alias("head")).agg(F.collect_set(F.length("token")).alias("depths"))
+    words = vocabulary.withColumn("head", F.substring("word", 1, 1)).join(depths, "head")
+    nodes = words.select(F.explode(F.filter("depths", lambda d: d <= F.length("word"))).alias("depth"), "word", "n").select(F.substring("word", F.lit(1), F.col("depth")).alias("token"), (F.length("word") == F.col("depth")).alias("whole"), F.col("n").alias("below"))
+    nodes = nodes.groupBy("token").agg(*[F.sum(F.when(F.col("whole") == is_word, F.col("below")).otherwise(0)).alias(c) for c, is_word in (("words", True), ("longer", False))])
+    return tokens.join(nodes, "token", "left").select("token", "n", F.coalesce("words", F.lit(0)).cast("long").alias("whole"), F.coalesce("longer", F.lit(0)).cast("long").alias("longer"))
 
 
 def _values(pages: DataFrame, links: DataFrame) -> DataFrame:
@@ -211,6 +183,44 @@ def _values(pages: DataFrame, links: DataFrame) -> DataFrame:
     return spread(first).unionByName(spread(second)).where(F.length(F.trim("text")) > 0)
 
 
+#: A word between spaces and marks that another word or a final mark follows.
+_SPOKEN = r"(?<!\S)[^\p{L}\p{N}\s]*(\p{L}+(?:[’'-]\p{L}+)*)(?=[^\p{L}\p{N}\s]*(?:\s+\S|[.!?。！？][\"'»”’)\]]*$))"
+_ENDS = "kind int, core binary, digest binary, length int, core_length int, pair long, word long, alone boolean, token string, small boolean, open_mark boolean"
+
+
+def _last_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The end of each text without a final mark: keys of its last word, and what it looks like."""
+    names = [c.split()[0] for c in _ENDS.split(", ")]
+    for batch in batches:
+        rows: list[int] = []
+        texts: list[str] = []
+        raw = batch.column(2).to_pylist()
+        for i, value in enumerate(raw):
+            text, dotted = _stripped(value)
+            if text and (dotted or not _FINAL.search(text)):
+                rows.append(i)
+                texts.append(text)
+        words = Words(texts)
+        at = np.flatnonzero(words.last)
+        if not len(at):
+            continue
+        pair, word = words.keys()
+        alone = np.append(True, words.text[1:] != words.text[:-1])[at]
+        look: tuple[list, ...] = ([], [], [], [], [])
+        for text_at in words.text[at].tolist():
+            text = texts[text_at]
+            tail = text.rsplit(None, 1)[-1]
+            token = _EDGE.sub("", tail)
+            plain = token.isalpha() or (token.replace("’", "").replace("'", "").replace("-", "").isalpha() and bool(token))
+            parts = (len(raw[rows[text_at]]), len(text), token if plain else None, bool(token[:1].islower()), bool(_OPEN.search(text)) and not tail.startswith(("http", "www")))
+            for column, part in zip(look, parts, strict=True):
+                column.append(part)
+        index = pa.array([rows[t] for t in words.text[at].tolist()])
+        length, core_length, token, small, open_mark = look
+        columns = [batch.column(0).take(index), batch.column(1).take(index), batch.column(3).take(index), pa.array(length, pa.int32()), pa.array(core_length, pa.int32()), pa.array(pair[at]), pa.array(word[at])]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(alone), pa.array(token, pa.string()), pa.array(small), pa.array(open_mark)], names)
+
+
 def cut_values(pages: DataFrame, links: DataFrame) -> DataFrame:
     """(table_name, record_id, item_no, source, odds) of values that end in a broken word or an unfinished phrase.
 
@@ -219,73 +229,42 @@ def cut_values(pages: DataFrame, links: DataFrame) -> DataFrame:
     its last word, after the word before it, ends sentences and values in the corpus than words do in general. A
     last word that the corpus doesn't know but that begins a known word is broken off. Statistics cover all values,
     copies of a text once, and verdicts on distinct texts are joined back to all rows;
-    pairs and words are hashed to tables of fixed size, the vocabulary stays distributed. Null, empty and blank
+    pairs, words and the vocabulary stay distributed. Null, empty and blank
     values are none, very long values count whole, repeated rows each count, empty tables give no rows.
     """
     values = _values(pages, links)
-    texts = written(distinct_texts(values), "texts")  # it is asked five times
+    texts = written(distinct_texts(values), "texts")  # it is asked four times
     cores = texts.select("kind", F.col("core").alias("text")).where("text <> ''")
     forms = texts.select("kind", F.unhex(F.md5("core")).alias("core"), F.explode("forms").alias("text"))
-    tables = values.sparkSession.sparkContext.broadcast(end_counts(cores))
+    ends = written(forms.withColumn("digest", F.unhex(F.md5("text"))).mapInArrow(_last_words, _ENDS), "ends")
+    asked = ends.select(F.explode(F.array("pair", "word", F.lit(TOTAL).cast("long"))).alias("key")).distinct()
+    counts = written(end_counts(cores).join(asked, "key", "left_semi"), "counts")
+    every = counts.where(F.col("key") == TOTAL).first() or {"n0": 0, "ends0": 0, "n1": 0, "ends1": 0}
+    overall = F.when(F.col("kind") == 0, (every["ends0"] + 1) / (every["n0"] + 12)).otherwise((every["ends1"] + 1) / (every["n1"] + 12))
+    of_pairs = counts.select(F.col("key").alias("pair"), *[F.col(c).alias(f"p{c}") for c in ("n0", "ends0", "n1", "ends1")])
+    of_words = counts.select(F.col("key").alias("word"), *[F.col(c).alias(f"w{c}") for c in ("n0", "ends0", "n1", "ends1")])
+    # A value's own end says nothing about itself, so it is left out of the counts. Anchors are short and few, so
+    # their single words are judged by their use in descriptions as well.
+    others = lambda c: F.greatest(c - 1, F.lit(0)).cast("double")
+    of = lambda p, c: F.when(F.col("kind") == 0, F.col(f"{p}{c}0")).otherwise(F.col(f"{p}{c}1") + (F.col(f"{p}{c}0") if p == "w" else F.lit(0)))
+    word_rate = (others(of("w", "ends")) + 8 * overall) / (others(of("w", "n")) + 8)
+    rate = (others(of("p", "ends")) + 4 * word_rate) / (others(of("p", "n")) + 4)
+    odds = overall / F.greatest(rate, F.lit(1e-6))
     limits = limit_odds(forms)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = tables.value
-        rates = []
-        for kind in (0, 1):
-            # Anchors are short and few, so single words are judged by their use in descriptions as well.
-            n, ends = counts[: kind + 1, 0, PAIRS:].sum(0), counts[: kind + 1, 1, PAIRS:].sum(0)
-            overall = (counts[kind, 1, PAIRS:].sum() + 1) / (counts[kind, 0, PAIRS:].sum() + 12)
-            rates.append((overall, n, ends))
-        for batch in batches:
-            kinds, raw = batch.column(0).to_numpy(), batch.column(2).to_pylist()
-            out: list[tuple] = []
-            for kind in (0, 1):
-                rows, texts = [], []
-                for i in np.flatnonzero(kinds == kind).tolist():
-                    text, dotted = _stripped(raw[i])
-                    if text and (dotted or not _FINAL.search(text)):
-                        rows.append(i)
-                        texts.append(text)
-                if not rows:
-                    continue
-                overall, word_n, word_ends = rates[kind]
-                words = Words(texts)
-                pair, word = words.places()
-                at = np.flatnonzero(words.last)
-                # A value's own end says nothing about itself, so it is left out of the counts.
-                others = lambda c: np.maximum(c.astype(np.float64) - 1, 0)
-                w = word[at] - PAIRS
-                word_rate = (others(word_ends[w]) + 8 * overall) / (others(word_n[w]) + 8)
-                rate = (others(counts[kind, 1, pair[at]]) + 4 * word_rate) / (others(counts[kind, 0, pair[at]]) + 4)
-                odds = overall / np.maximum(rate, 1e-6)
-                # A value of one word has begun no phrase that it could leave unfinished; names are often anchors by themselves.
-                alone = np.append(True, words.text[1:] != words.text[:-1])[at]
-                odds = np.where(alone, np.minimum(odds, 1.0), odds)
-                for j, (text_at, o) in enumerate(zip(words.text[at].tolist(), odds.tolist(), strict=True)):
-                    text, i = texts[text_at], rows[text_at]
-                    prior = limits.get((kind, len(raw[i])), limits.get((kind, len(text)), (BASE_ODDS, ANCHOR_ODDS)[kind] if len(text) >= SHORTEST_LIMIT else SHORT_ODDS))
-                    tail = text.rsplit(None, 1)[-1]
-                    token = _EDGE.sub("", tail)
-                    plain = token.isalpha() or (token.replace("’", "").replace("'", "").replace("-", "").isalpha() and bool(token))
-                    open_mark = bool(_OPEN.search(text)) and not tail.startswith(("http", "www"))
-                    out.append((i, prior * o, token if plain else None, bool(token[:1].islower()), open_mark))
-            if not out:
-                continue
-            index = pa.array([r[0] for r in out])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(index), batch.column(1).take(index), batch.column(3).take(index), pa.array([float(r[1]) for r in out]), pa.array([r[2] for r in out], pa.string()), pa.array([r[3] for r in out]), pa.array([r[4] for r in out])],
-                ["kind", "core", "digest", "odds", "token", "small", "open_mark"],
-            )
-
-    ends = forms.withColumn("digest", F.unhex(F.md5("text"))).mapInArrow(score, "kind int, core binary, digest binary, odds double, token string, small boolean, open_mark boolean")
+    whole, short = (limits.select("kind", F.col("n").alias(c), F.col("limit").alias(f"{c}_limit")) for c in ("length", "core_length"))
+    usual = F.when(F.col("core_length") < SHORT, SHORT_ODDS).when(F.col("kind") == 0, BASE_ODDS).otherwise(ANCHOR_ODDS)
+    # A value of one word has begun no phrase that it could leave unfinished; names are often anchors by themselves.
+    odds = F.when(F.col("alone"), F.least(odds, F.lit(1.0)) * usual).otherwise(odds * F.coalesce("length_limit", "core_length_limit", usual))
+    scored = ends.join(of_pairs, "pair").join(of_words, "word").join(whole, ["kind", "length"], "left").join(short, ["kind", "core_length"], "left")
+    scored = scored.select("kind", "core", "digest", "token", "small", "open_mark", odds.alias("odds"))
     tokens = ends.where("token is not null").select("kind", "core", "token").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    # Words of the vocabulary stand before another word at least twice; last words are what is in question.
-    spoken = cores.select(F.explode(F.split(F.regexp_replace("text", r"\s*\S+\s*$", ""), r"\s+")).alias("w")).select(F.regexp_replace("w", r"^[^\p{L}]+|[^\p{L}]+$", "").alias("word"))
-    vocabulary = spoken.where(F.col("word").rlike(r"^\p{L}[\p{L}’'-]*$")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-    vocabulary = written(vocabulary, "vocabulary")  # it is asked twice
-    judged = ends.join(trie_lookup(tokens, vocabulary), "token", "left")
-    broken = ~F.coalesce("known", F.lit(True)) & (F.coalesce("longer", F.lit(0)) > 0) & (F.col("n") < F.greatest(F.lit(2.0), F.col("longer") * OWN_WORD))
+    # Words of the vocabulary stand before another word or a final mark; last words without one are what is in question.
+    spoken = cores.select(F.explode(F.regexp_extract_all("text", F.lit(_SPOKEN))).alias("word"))
+    vocabulary = spoken.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    judged = scored.join(trie_lookup(tokens, vocabulary), "token", "left")
+    # In a large corpus every beginning stands somewhere as a word, so what counts is how seldom it does; one stray occurrence is none.
+    unknown = (F.col("whole") - 1 <= F.col("longer") * STRAY) & (F.col("n") - 1 <= F.col("longer") * OWN_WORD)
+    broken = F.coalesce((F.col("longer") > 0) & unknown, F.lit(False))
     strength = F.when(broken & F.col("small"), 1e6).when(broken, 3.0).otherwise(1.0)
     odds = F.when(F.col("open_mark"), F.greatest("odds", F.lit(2.0))).otherwise(F.col("odds") * strength)
     cut = judged.withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS).select("kind", "digest", "odds")

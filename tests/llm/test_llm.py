@@ -234,8 +234,24 @@ def test_trie_lookup(spark):
     words = ["car", "care", "cart", "dog", "a", "ab", "straße"]
     vocabulary = spark.createDataFrame([(w, 2) for w in words], "word string, n long")
     asked = ["ca", "car", "cart", "c", "a", "ab", "x", "stra", "do", "zzz", "Car"]
-    got = {r.token: (r.known, r.longer) for r in truncation.trie_lookup(spark.createDataFrame([(t, 1) for t in asked], "token string, n long"), vocabulary).collect()}
-    assert got == {t: (t in words, 2 * sum(w.startswith(t) and w != t for w in words)) for t in asked}
+    got = {r.token: (r.whole, r.longer) for r in truncation.trie_lookup(spark.createDataFrame([(t, 1) for t in asked], "token string, n long"), vocabulary).collect()}
+    assert got == {t: (2 * (t in words), 2 * sum(w.startswith(t) and w != t for w in words)) for t in asked}
+
+
+def test_ten_copies_of_a_table_give_equal_answers(spark, data):
+    pages, links = spark.read.parquet(f"{data}/webpages.parquet"), spark.read.parquet(f"{data}/backlink_summaries.parquet")
+    ten = F.explode(F.sequence(F.lit(0), F.lit(9))).alias("copy")
+    once = {tuple(r) for r in truncation.cut_values(pages, links).select("table_name", "record_id", "item_no", F.round("odds", 6)).collect()}
+    rows = truncation.cut_values(pages.select("*", ten), links.select("*", ten)).select("table_name", "record_id", "item_no", F.round("odds", 6)).collect()
+    assert len(once) > 10 and {tuple(r) for r in rows} == once and len(rows) == 10 * len(once)
+
+
+@pytest.mark.parametrize("limit", [24, 8192])
+def test_limits_of_any_length(spark, limit):
+    rnd = random.Random(limit)
+    rows = [(0, "ab " * rnd.randrange(2, limit) + "c" * rnd.randrange(1, 9)) for _ in range(300)] + [(0, ("word%d " % i + "lamps and " * limit)[:limit]) for i in range(40)]
+    got = {(r.kind, r.n) for r in truncation.limit_odds(spark.createDataFrame(rows, "kind int, text string").distinct()).collect()}
+    assert (0, limit) in got and len(got) < 4
 
 
 # --- 6 ----------------------------------------------------------------------------------------------------------
