@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm.codes import BASES, codepoints, mix, powers
-from auditlake.session import spread
+from auditlake.session import spread, written
 
 _U = np.uint64
 BITS = 18
-#: Labelled documents the model is fitted on at most (those of the smallest id hashes).
-SAMPLE_DOCS = 8000
+#: Labelled rows, one a document and reviewer, that the model is fitted on at most (those of the smallest hashes).
+SAMPLE_LABELS = 16_000
 #: Characters handled at once; longer texts are handled in windows cut at white space.
 WINDOW_CHARS = 1 << 19
 
@@ -33,7 +33,7 @@ PRIOR_WEIGHT = 1.5
 PASSAGE = 0.4
 #: Share of a feature's log-odds over documents that its weight starts from.
 HOLD = 1.0
-#: Log-odds up to this size count as none: sentences of many ordinary words would else add them up.
+#: Log-odds up to this size, beyond their standard error, count as none: sentences of many ordinary words would else add them up.
 SLACK = 0.7
 
 #: Characters written instead of a letter.
@@ -200,20 +200,26 @@ class Model:
         return 1 - np.exp(clean)
 
 
+def _start(prior: np.ndarray, yes: np.ndarray, seen: np.ndarray, base: float) -> np.ndarray:
+    """Weights to start from: the prior's and each feature's log-odds over documents, less one standard error and SLACK."""
+    rate = (yes + 2 * base) / (seen + 2)
+    odds = np.log(rate / (1 - rate)) - np.log(base / (1 - base))
+    error = np.sqrt(1 / (yes + 2 * base) + 1 / (seen - yes + 2 * (1 - base)))
+    return prior + HOLD * np.sign(odds) * np.maximum(np.abs(odds) - error - SLACK, 0)
+
+
+def _base(target: np.ndarray) -> float:
+    return float(np.clip(target.mean(), 0.02, 0.5)) if len(target) else 0.02
+
+
 def _descend(own: np.ndarray, s: np.ndarray, at: np.ndarray, prior: np.ndarray, target: np.ndarray, docs: np.ndarray, bias: float, epochs: int) -> tuple[np.ndarray, float]:
     """Weights and bias fitted on the documents ``docs`` (a mask) by gradient steps on the noisy-or likelihood."""
     use = docs[own[s]]
     s, at = s[use], at[use]
     n, m = len(target), len(prior)
-    # Weights start from, and are held to, each feature's log-odds over documents, shrunk where documents are few:
-    # passages that share a document with worse ones would else be explained away.
+    # Weights are held to where they start from: passages that share a document with worse ones would else be explained away.
     pairs = np.unique(own[s].astype(np.int64) * m + at)
-    base = float(np.clip(target[docs].mean(), 0.02, 0.5))
-    yes_in = np.bincount(pairs % m, target[pairs // m], minlength=m)
-    seen_in = np.bincount(pairs % m, minlength=m)
-    rate = (yes_in + 2 * base) / (seen_in + 2)
-    odds = (np.log(rate / (1 - rate)) - np.log(base / (1 - base))) * seen_in / (seen_in + 4)
-    w0 = prior + HOLD * np.sign(odds) * np.maximum(np.abs(odds) - SLACK, 0)
+    w0 = _start(prior, np.bincount(pairs % m, target[pairs // m], minlength=m), np.bincount(pairs % m, minlength=m), _base(target[docs]))
     w = w0.copy()
     mine = docs[own]
     square, square_bias = np.full(m, 1e-6), 1e-6
@@ -231,72 +237,133 @@ def _descend(own: np.ndarray, s: np.ndarray, at: np.ndarray, prior: np.ndarray,
     return w, bias
 
 
-def _gathered(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """features() of all texts, slice by slice."""
-    owns, sentences, ids, before = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], 0
-    for owners, _, parts in _slices(texts):
-        own, s, f, _, _ = features(parts)
-        owns.append(np.asarray(owners, np.int32)[own])
-        sentences.append((s + before).astype(np.int32))
-        ids.append(f)
-        before += len(own)
-    return np.concatenate(owns), np.concatenate(sentences), np.concatenate(ids)
+@cache
+def prior_weights() -> np.ndarray:
+    weights = np.zeros(1 << BITS)
+    for word in PRIOR_WORDS:
+        weights[word_feature(word)] = PRIOR_WEIGHT
+    return weights
 
 
-def fit(texts: Sequence[str], votes: pd.DataFrame, epochs: int = 20) -> Model:
-    """The model of labelled documents; ``votes`` has text (index), reviewer and abusive (0 or 1).
+def informative(yes: np.ndarray, seen: np.ndarray, base: float) -> np.ndarray:
+    """A mask of the features that start with a weight; the others of a corpus never get one."""
+    return _start(prior_weights(), yes, seen, base) != 0
+
+
+def _noisy_or(own: np.ndarray, p: np.ndarray, n: int) -> np.ndarray:
+    return 1 - np.exp(np.bincount(own, np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=n))
+
+
+def fit_features(n: int, own: np.ndarray, s: np.ndarray, f: np.ndarray, votes: pd.DataFrame, epochs: int = 20) -> Model:
+    """The model of ``n`` labelled documents: own is the document of each sentence, (s, f) sentence and feature of each occurrence.
 
     Reviewers err, so votes are checked first: each half of the documents is scored by a model of the other half;
     a reviewer's reliability is how often the votes agree with those scores, and a document's target is the
-    posterior of its votes and its score. The model is then fitted on all. No votes: the prior's model.
+    posterior of its votes and its score, which counts as far as the scores agree with the votes beyond chance. The model is then
+    fitted on all. One rule holds for few and many labels. No votes: the prior's model.
     """
-    weights = np.zeros(1 << BITS)
-    for word in PRIOR_WORDS:
-        weights[word_feature(word)] = PRIOR_WEIGHT
-    bias = -4.5
+    weights, bias = prior_weights().copy(), -4.5
     votes = votes.dropna(subset=["abusive"])
-    n = len(texts)
-    own, s, f = _gathered(texts)
-    if votes.empty or not len(own):
+    if votes.empty or not len(s):
         return Model(weights, bias)
-    text_of, yes = votes["text"].to_numpy(), votes["abusive"].to_numpy() > 0
+    text_of, yes = votes["text"].to_numpy(), votes["abusive"].to_numpy() > 0.5
     reviewer, _ = pd.factorize(votes["reviewer"].fillna(""))
     target = np.bincount(text_of, yes, minlength=n) / np.maximum(1, np.bincount(text_of, minlength=n))
-    # A feature of fewer documents would learn to name a document rather than a passage; it keeps its prior.
-    doc_feature = np.unique(own[s].astype(np.int64) << BITS | f)
-    spread = np.bincount(doc_feature & ((1 << BITS) - 1), minlength=1 << BITS)
-    usable = (spread >= (2 if n < 500 else max(3, n // 1500)))[f] | (weights[f] > 0)
-    del doc_feature
-    s, f = s[usable], f[usable]
     ids, at = np.unique(f, return_inverse=True)
     at = at.astype(np.int32)
     prior = weights[ids]
-    if len(ids):
-        half = np.arange(n) % 2 == 0
-        score = np.zeros(n)
-        for docs in (half, ~half):
-            if docs.any():
-                w, b = _descend(own, s, at, prior, target, docs, bias, epochs)
-                clean = np.bincount(own, np.log1p(-np.minimum(_sigmoid(b + np.bincount(s, w[at], minlength=len(own))), 1 - 1e-9)), minlength=n)
-                score = np.where(docs, score, 1 - np.exp(clean))
-        right = np.bincount(reviewer, (score[text_of] > 0.5) == yes) + 18
-        rate = np.clip(right / (np.bincount(reviewer) + 20), 0.6, 0.98)
-        score = np.clip(score, 0.03, 0.97)
-        trust = min(1.0, n / 2000)  # scores of a model of few documents say little
-        logit = np.bincount(text_of, np.where(yes, 1, -1) * np.log(rate / (1 - rate))[reviewer], minlength=n) + trust * np.log(score / (1 - score))
-        weights[ids], bias = _descend(own, s, at, prior, np.clip(1.6 * _sigmoid(logit) - 0.3, 0, 1), np.ones(n, bool), bias, epochs)
+    half = np.arange(n) % 2 == 0
+    score = np.zeros(n)
+    for docs in (half, ~half):
+        if docs.any():
+            w, b = _descend(own, s, at, prior, target, docs, bias, epochs)
+            score = np.where(docs, score, _noisy_or(own, _sigmoid(b + np.bincount(s, w[at], minlength=len(own))), n))
+    said = score[text_of] > 0.5
+    right = np.bincount(reviewer, said == yes) + 18
+    rate = np.clip(right / (np.bincount(reviewer) + 20), 0.6, 0.98)
+    chance = said.mean() * yes.mean() + (1 - said.mean()) * (1 - yes.mean())
+    trust = float(np.clip(((said == yes).mean() - chance) / max(1 - chance, 1e-9), 0, 1))
+    score = np.clip(score, 0.03, 0.97)
+    logit = np.bincount(text_of, np.where(yes, 1, -1) * np.log(rate / (1 - rate))[reviewer], minlength=n) + trust * np.log(score / (1 - score))
+    weights[ids], bias = _descend(own, s, at, prior, np.clip(1.6 * _sigmoid(logit) - 0.3, 0, 1), np.ones(n, bool), bias, epochs)
     return Model(weights, bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS) -> Model:
-    """The model of at most ``sample_docs`` labelled documents, those of the smallest hash of their id; their number is the bound on what the driver gets."""
-    votes = labels.where(F.col("abusive").isNotNull()).select(F.col(doc_id).cast("long").alias("d"), F.col("reviewer").cast("string").alias("reviewer"), F.col("abusive").cast("int").alias("abusive")).distinct()
-    # The labels a document has are few; a document is kept with at most 32 of them.
-    chosen = votes.groupBy("d").agg(F.slice(F.collect_list(F.struct("reviewer", "abusive")), 1, 32).alias("votes")).orderBy(F.xxhash64("d"), "d").limit(sample_docs)
-    texts = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"))
-    rows = texts.join(F.broadcast(chosen), "d").dropDuplicates(["d"]).orderBy("d").toPandas()
-    flat = [(k, v["reviewer"], v["abusive"]) for k, vs in enumerate(rows["votes"]) for v in vs]
-    return fit(rows["t"].tolist(), pd.DataFrame(flat, columns=["text", "reviewer", "abusive"]))
+def _sentence_features(texts: Sequence[str | None]) -> Iterator[tuple[int, np.ndarray]]:
+    """(text, features) of each sentence, slice by slice."""
+    for owners, _, parts in _slices(texts):
+        own, s, f, _, _ = features(parts)
+        order = np.argsort(s, kind="stable")
+        edges = np.searchsorted(s[order], np.arange(len(own) + 1))
+        for k in range(len(own)):
+            yield owners[int(own[k])], f[order[edges[k] : edges[k + 1]]]
+
+
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_labels: int = SAMPLE_LABELS) -> Model:
+    """The model of at most ``sample_labels`` labelled rows, those of the smallest hash of document and reviewer.
+
+    Several labels of one reviewer for a document count as one, their majority. Executors turn the sampled documents'
+    texts into sentences of hashed features; what the driver gets are the sample's labels, counts of features
+    (a table of fixed size), and the sampled sentences' informative features, never a text.
+    """
+    votes = labels.where(F.col("abusive").isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("d"), F.col("reviewer").cast("string").alias("reviewer"), F.col("abusive").cast("int").alias("abusive"))
+    votes = votes.groupBy("d", "reviewer").agg(F.avg("abusive").alias("abusive")).orderBy(F.xxhash64("d", "reviewer"), "d", "reviewer").limit(sample_labels).toPandas()
+    spark = docs.sparkSession
+    labelled = np.unique(votes["d"].to_numpy(np.int64))
+    sample = spark.createDataFrame(pd.DataFrame({"d": labelled}), "d long")  # at most sample_labels ids
+    texts = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("d"), F.col(text).cast("string").alias("t")).join(F.broadcast(sample), "d").groupBy("d").agg(F.min("t").alias("t"))
+
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, found = batch.column(0).to_pylist(), list(_sentence_features(batch.column(1).to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k, _ in found], pa.int64()), pa.array([f for _, f in found], pa.list_(pa.int32()))], ["d", "f"])
+
+    sentences = written(texts.mapInArrow(featured, "d long, f array<int>"), "sentences")
+    share = votes.groupby("d")["abusive"].apply(lambda v: float((v > 0.5).mean()))
+    target = spark.createDataFrame(pd.DataFrame({"d": share.index.to_numpy(np.int64), "y": share.to_numpy(float)}), "d long, y double")
+    counts = sentences.select("d", F.explode("f").alias("f")).distinct().join(F.broadcast(target), "d").groupBy("f").agg(F.sum("y").alias("yes"), F.count(F.lit(1)).alias("seen")).toPandas()
+    yes, seen = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    yes[counts["f"]], seen[counts["f"]] = counts["yes"], counts["seen"]
+    wanted = spark.sparkContext.broadcast(np.packbits(informative(yes, seen, _base(share.to_numpy(float)))))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = np.unpackbits(wanted.value).astype(bool)
+        for batch in batches:
+            lists = batch.column(1)
+            size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = lists.flatten().to_numpy()
+            keep = mask[flat]
+            left = np.bincount(np.repeat(np.arange(len(size)), size)[keep], minlength=len(size))
+            some = left > 0
+            edges = np.append(0, np.cumsum(left[some])).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(some)), pa.ListArray.from_arrays(pa.array(edges), pa.array(flat[keep]))], ["d", "f"])
+
+    rows = sentences.mapInArrow(pick, "d long, f array<int>").toArrow().combine_chunks()
+    place = {int(d): k for k, d in enumerate(labelled)}
+    found = pd.DataFrame({"d": rows["d"].to_numpy(), "k": np.arange(len(rows))}).sort_values(["d", "k"], kind="stable")
+    own = np.searchsorted(labelled, found["d"].to_numpy(np.int64))
+    lists = rows["f"].combine_chunks().take(pa.array(found["k"].to_numpy())) if len(rows) else pa.array([], pa.list_(pa.int32()))
+    s = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    votes["text"] = [place[int(d)] for d in votes["d"]]
+    return fit_features(len(labelled), own.astype(np.int32), s.astype(np.int32), lists.flatten().to_numpy(), votes)
+
+
+def fit(texts: Sequence[str], votes: pd.DataFrame, epochs: int = 20) -> Model:
+    """train() of texts at hand; ``votes`` has text (index), reviewer and abusive (0 or 1)."""
+    found = list(_sentence_features(texts))
+    own = np.array([k for k, _ in found], np.int64)
+    size = np.array([len(f) for _, f in found], np.int64)
+    flat = np.concatenate([f for _, f in found]) if found else np.zeros(0, np.int32)
+    share = votes.dropna(subset=["abusive"]).groupby("text")["abusive"].mean()
+    pairs = np.unique(np.repeat(own, size) << BITS | flat) if len(flat) else np.zeros(0, np.int64)
+    pairs = pairs[np.isin(pairs >> BITS, share.index.to_numpy())]
+    feature = pairs & ((1 << BITS) - 1)
+    y = share.reindex(pairs >> BITS).to_numpy(float)
+    mask = informative(np.bincount(feature, y, minlength=1 << BITS), np.bincount(feature, minlength=1 << BITS), _base(share.to_numpy(float)))
+    keep = mask[flat]
+    s = np.repeat(np.arange(len(own)), size)[keep]
+    _, s = np.unique(s, return_inverse=True)
+    return fit_features(len(texts), own[np.unique(np.repeat(np.arange(len(own)), size)[keep])], s, flat[keep], votes, epochs)
 
 
 def _broadcast(spark: SparkSession, model: Model):

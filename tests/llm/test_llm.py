@@ -23,7 +23,8 @@ def test_sql(spark, data, name):
 @pytest.mark.parametrize("name", sorted(queries.QUERIES.keys() - queries.SQL.keys()))
 def test_runs_on_whole_tables(spark, data, name):
     df = queries.QUERIES[name](spark, data)
-    assert df.columns and df.count() >= 0
+    rows = df.collect()
+    assert rows and len(rows) == len(set(rows)), name
 
 
 # --- Codes ------------------------------------------------------------------------------------------------------
@@ -417,9 +418,24 @@ def test_abuse_held_out(spark):
     assert abuse.scores(df.limit(0), model).count() == 0
 
 
-def test_abuse_without_labels():
+def test_abuse_without_labels(spark):
     model = abuse.fit([], pd.DataFrame(columns=["text", "reviewer", "abusive"]))
     assert model.scores(["nice lamps", None]).max() < 0.5
+    docs, labels = spark.createDataFrame([(1, "nice lamps"), (2, None)], "doc_id long, text string"), spark.createDataFrame([(2, "r", 1), (9, "r", 1), (None, "r", 1), (1, None, None)], "doc_id long, reviewer string, abusive int")
+    for few in (labels, labels.limit(0)):
+        assert abuse.train(docs, few).scores(["nice lamps", None]).max() < 0.5
+
+
+def test_training_on_executors_is_the_same_fit(spark):
+    texts, labels = corpus(300, 3)
+    votes = pd.DataFrame([(i, f"r{i % 3}", y) for i, y in enumerate(labels)], columns=["text", "reviewer", "abusive"])
+    at_hand = abuse.fit(texts, votes)
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] * 2, "doc_id long, text string, d string")
+    many = [(i, f"r{i % 3}", y) for i, y in enumerate(labels)] + [(0, "r0", labels[0])] * 400  # a hot document
+    trained = abuse.train(docs.repartition(3), spark.createDataFrame(many, "doc_id long, reviewer string, abusive int"))
+    held, _ = corpus(50, 4)
+    assert np.abs(trained.scores(held) - at_hand.scores(held)).max() < 1e-3
+    assert abuse.train(docs, spark.createDataFrame(many, "doc_id long, reviewer string, abusive int"), sample_labels=120).scores(held).max() > 0.5
 
 
 def test_disguises_give_the_same_word():
