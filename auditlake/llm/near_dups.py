@@ -18,8 +18,10 @@ _U = np.uint64
 TABLE = 1 << 22
 #: Expected records on an inverted list; a longer list is met only together with further words.
 SHORT_LIST = 100.0
-#: Words that a merged list is keyed by at most.
+#: Words that a merged list is keyed by at most; a list that is long even then is met in blocks.
 MOST_WORDS = 5
+#: Records of a list that one task compares with each other; longer lists are dealt out as pairs of such blocks.
+BLOCK = 4096
 #: Bits of a word's id.
 WORD_BITS = 48
 
@@ -148,8 +150,12 @@ def _sketch(flat: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduceat(bits, edges[:-1]) if len(flat) else np.zeros(0, _U)
 
 
-def _met(sig: np.ndarray, rid: np.ndarray, sketch: np.ndarray, size: np.ndarray, small: np.ndarray, threshold: float) -> np.ndarray:
-    """Pairs of ids that meet under a key and may be similar by size and sketch; rows are sorted by key."""
+def _met(sig: np.ndarray, side: np.ndarray, rid: np.ndarray, sketch: np.ndarray, packed: np.ndarray, threshold: float) -> np.ndarray:
+    """Pairs of ids that meet under a key and may be similar by size and sketch; rows are sorted by key.
+
+    ``side`` is 0 for lists met whole; rows of sides 1 and 2 meet only each other.
+    """
+    sketch, size, small = sketch.view(_U), (packed >> 1).astype(np.int64), (packed & 1) > 0
     new = np.append(True, sig[1:] != sig[:-1])
     end = np.append(np.flatnonzero(new)[1:], len(sig))[np.cumsum(new) - 1]
     differ = (1 - threshold) / (1 + threshold) + 1e-9
@@ -163,7 +169,8 @@ def _met(sig: np.ndarray, rid: np.ndarray, sketch: np.ndarray, size: np.ndarray,
         na, nb = size[at], size[to]
         low, high = np.minimum(na, nb), np.maximum(na, nb)
         role = np.where(na < nb, small[at], np.where(nb < na, small[to], small[at] & small[to]))
-        ok = role & (low >= threshold * high - 1e-9) & (np.bitwise_count(sketch[at] ^ sketch[to]) <= differ * (na + nb)) & (rid[at] != rid[to])
+        apart = (side[at] == 0) | (side[at] != side[to])
+        ok = role & apart & (low >= threshold * high - 1e-9) & (np.bitwise_count(sketch[at] ^ sketch[to]) <= differ * (na + nb)) & (rid[at] != rid[to])
         if ok.any():
             a, b = rid[at[ok]], rid[to[ok]]
             found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
@@ -176,14 +183,67 @@ def _met(sig: np.ndarray, rid: np.ndarray, sketch: np.ndarray, size: np.ndarray,
     return pairs[np.append(True, (pairs[1:] != pairs[:-1]).any(1))]
 
 
+#: What meets: pairs (a, b); and rows of lists longer than BLOCK, with the number of their block in the list.
+_MET = "a long, b long, sig long, block long, id long, sketch long, packed int"
+
+
+def _meet(threshold: float, block_rows: int):
+    """Merges sorted lists as they stream by; a task holds one block of a list at most."""
+
+    def found(rows: list[np.ndarray]) -> pa.RecordBatch:
+        p = _met(*rows, threshold)
+        none = pa.nulls(len(p), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), none, none, none, none, pa.nulls(len(p), pa.int32())], _MET.replace(" long", "").replace(" int", "").split(", "))
+
+    def dealt(rows: list[np.ndarray], block: int) -> pa.RecordBatch:
+        sig, _, rid, sketch, packed = rows
+        none = pa.nulls(len(sig), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, pa.array(sig), pa.array(np.full(len(sig), block)), pa.array(rid), pa.array(sketch), pa.array(packed)], _MET.replace(" long", "").replace(" int", "").split(", "))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] | None = None
+        block, going = 0, None  # blocks dealt out of the list that is going on
+        for batch in batches:
+            rows = [c.to_numpy() for c in batch.columns]
+            if not len(rows[0]):
+                continue
+            if rest is not None:
+                rows = [np.concatenate(x) for x in zip(rest, rows, strict=True)]
+            new = np.append(True, rows[0][1:] != rows[0][:-1])
+            starts = np.flatnonzero(new)
+            # The last key may go on in the next batch.
+            ends = starts[1:]
+            size = np.diff(starts)
+            long_ = (size > block_rows) | (rows[0][starts[:-1]] == going if going is not None else False)
+            keep = np.repeat(~long_, size)
+            if keep.any():
+                yield found([r[: len(keep)][keep] for r in rows])
+            for a, b in zip(starts[:-1][long_].tolist(), ends[long_].tolist(), strict=True):
+                block = block if rows[0][a] == going else 0
+                for i in range(a, b, block_rows):
+                    yield dealt([r[i : min(b, i + block_rows)] for r in rows], block)
+                    block += 1
+            a = int(starts[-1])
+            if rows[0][a] != going:
+                block, going = 0, None
+            while len(rows[0]) - a > block_rows or (going is not None and len(rows[0]) - a >= block_rows):
+                yield dealt([r[a : a + block_rows] for r in rows], block)
+                block, going, a = block + 1, rows[0][a], a + block_rows
+            rest = [r[a:] for r in rows]
+        if rest is not None and len(rest[0]):
+            yield dealt(rest, block) if rest[0][0] == going else found(rest)
+
+    return run
+
+
 class NearDuplicates:
     """Near-duplicate records of a table.
 
     Records whose texts are null or empty, or that have fewer than ``least_words`` distinct words of at least
     ``least_chars`` letters or digits, don't count. Records of equal word sets are one class, represented by its
     smallest id, and only classes are compared; repeated rows with one id are one record. No pair at or above the
-    threshold is lost: keys and sketches never part similar records, and word sets decide in the end. Word sets are
-    written to the shared folder once.
+    threshold is lost: keys and sketches never part similar records, and word sets decide in the end. Lists of more than
+    BLOCK records are met block by block, each pair of blocks in a task of its own. Word sets are written to the shared folder once.
     """
 
     def __init__(self, records: DataFrame, id_col: str = "webpage_id", texts: Sequence[str] = ("title", "meta_description"), threshold: float = 0.6, least_chars: int = 4, least_words: int = 12) -> None:
@@ -238,31 +298,20 @@ class NearDuplicates:
                 sketch = _sketch(flat, edges)[doc]
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(sketch.view(np.int64)), pa.array(packed)], ["sig", "id", "sketch", "packed"])
 
-        keyed = classes.mapInArrow(sign, "sig long, id long, sketch long, packed int")
-
-        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rest: list[np.ndarray] | None = None
-
-            def pairs(rows: list[np.ndarray]) -> pa.RecordBatch:
-                sig, rid, sketch, packed = rows
-                p = _met(sig, rid, sketch.view(_U), (packed >> 1).astype(np.int64), (packed & 1) > 0, threshold)
-                return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
-
-            for batch in batches:
-                rows = [c.to_numpy() for c in batch.columns]
-                if not len(rows[0]):
-                    continue
-                if rest is not None:
-                    rows = [np.concatenate(x) for x in zip(rest, rows, strict=True)]
-                # The last key may go on in the next batch.
-                cut = int(np.searchsorted(rows[0], rows[0][-1], "left"))
-                if cut:
-                    yield pairs([r[:cut] for r in rows])
-                rest = [r[cut:] for r in rows]
-            if rest is not None:
-                yield pairs(rest)
-
-        return keyed.repartition("sig").sortWithinPartitions("sig").mapInArrow(meet, "a long, b long").distinct()
+        keyed = classes.mapInArrow(sign, "sig long, id long, sketch long, packed int").withColumn("side", F.lit(0)).select("sig", "side", "id", "sketch", "packed")
+        met = written(keyed.repartition("sig").sortWithinPartitions("sig").mapInArrow(_meet(threshold, BLOCK), _MET), "met")
+        hot = met.where("sig is not null")
+        pairs = met.where("sig is null").select("a", "b")
+        if not hot.isEmpty():
+            # Every pair of a long list's blocks is a list of its own, of two blocks at most.
+            blocks = hot.groupBy("sig").agg((F.max("block") + 1).alias("blocks"))
+            other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+            dealt = hot.join(blocks, "sig").select("sig", "id", "sketch", "packed", "block", other.alias("other"))
+            low, high = F.least("block", "other"), F.greatest("block", "other")
+            side = F.when(low == high, 0).when(F.col("block") == low, 1).otherwise(2)
+            lists = dealt.select(F.xxhash64("sig", low, high).alias("sig"), side.alias("side"), "id", "sketch", "packed")
+            pairs = pairs.unionByName(lists.repartition("sig").sortWithinPartitions("sig").mapInArrow(_meet(threshold, 1 << 40), _MET).select("a", "b"))
+        return pairs.distinct()
 
     def _verified(self, candidates: DataFrame) -> DataFrame:
         pairs = written(candidates, "candidates")

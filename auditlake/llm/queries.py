@@ -119,19 +119,29 @@ g AS (SELECT raw_id, min(raw_id) OVER p AS first_raw_id, count(*) OVER p AS copi
       WINDOW p AS (PARTITION BY regexp_replace(lower(w), '[^\p{L}\p{N}]', '', 'g'), regexp_replace(lower(u), '[^\p{L}\p{N}]', '', 'g'), list_sort(l)))
 """
 
-SQL = {
-    "p3_found": _P3 + "SELECT first_raw_id, raw_id FROM g WHERE raw_id > first_raw_id",
-    "p3_copies": _P3 + "SELECT raw_id, copies FROM g WHERE raw_id = first_raw_id",
-    "p6_found": r"""
-WITH w AS (SELECT webpage_id AS id, list_sort(list_distinct(regexp_extract_all(lower(title || ' ' || meta_description), '[\p{L}\p{N}]{4,}'))) AS l
+_P6 = r"""
+WITH RECURSIVE w AS (SELECT webpage_id AS id, list_sort(list_distinct(regexp_extract_all(lower(title || ' ' || meta_description), '[\p{L}\p{N}]{4,}'))) AS l
            FROM webpages WHERE title <> '' AND meta_description <> ''),
 d AS (SELECT id, l, len(l) AS n FROM w WHERE len(l) >= 12),
 t AS (SELECT id, n, unnest(l) AS x FROM d),
 f AS (SELECT x, count(*) AS c FROM t GROUP BY 1),
 p AS (SELECT id, n, x FROM (SELECT t.id, t.n, t.x, row_number() OVER (PARTITION BY t.id ORDER BY f.c, t.x) AS r FROM t JOIN f USING (x)) WHERE r <= n - ceil(0.6 * n) + 1),
 c AS (SELECT DISTINCT a.id AS a, b.id AS b FROM p a JOIN p b ON a.x = b.x AND a.id < b.id AND a.n >= 0.6 * b.n AND b.n >= 0.6 * a.n)
+"""
+
+SQL = {
+    "p3_found": _P3 + "SELECT first_raw_id, raw_id FROM g WHERE raw_id > first_raw_id",
+    "p3_copies": _P3 + "SELECT raw_id, copies FROM g WHERE raw_id = first_raw_id",
+    "p6_found": _P6 + r"""
 SELECT c.a AS webpage_id_a, c.b AS webpage_id_b FROM c JOIN d u ON u.id = c.a JOIN d v ON v.id = c.b
 WHERE 5 * len(list_intersect(u.l, v.l)) >= 3 * (u.n + v.n - len(list_intersect(u.l, v.l)))""",
+    "p6_groups": _P6 + r""",
+k AS (SELECT id, min(id) OVER (PARTITION BY l) AS class_id FROM d),
+e AS (SELECT DISTINCT x.class_id AS a, y.class_id AS b FROM c JOIN d u ON u.id = c.a JOIN d v ON v.id = c.b JOIN k x ON x.id = c.a JOIN k y ON y.id = c.b
+      WHERE x.class_id <> y.class_id AND 5 * len(list_intersect(u.l, v.l)) >= 3 * (u.n + v.n - len(list_intersect(u.l, v.l)))),
+b AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT a, b FROM b UNION SELECT r.a, b.b FROM r JOIN b ON r.b = b.a)
+SELECT k.id AS webpage_id, k.class_id, coalesce((SELECT min(least(r.a, r.b)) FROM r WHERE r.a = k.class_id), k.class_id) AS group_id, (SELECT count(*) FROM b WHERE b.a = k.class_id) AS links FROM k""",
     "p9_found": r"""
 WITH w AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS l FROM documents),
 d AS (SELECT id, unnest(list_transform(range(1, len(l) - 10), lambda k: hash(list_slice(l, k, k + 11)))) AS h FROM w WHERE len(l) >= 12),

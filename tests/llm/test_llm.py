@@ -260,9 +260,10 @@ def brute(sets, t):
     return {(a, b) for a, x in sets.items() for b, y in sets.items() if a < b and len(x & y) >= t * len(x | y) - 1e-9}
 
 
-@pytest.mark.parametrize(("seed", "short"), [(1, 100.0), (2, 0.5), (3, 4.0)])
-def test_near_duplicates_against_brute_force(spark, monkeypatch, seed, short):
+@pytest.mark.parametrize(("seed", "short", "block"), [(1, 100.0, 4096), (2, 0.5, 4096), (3, 4.0, 4096), (4, 100.0, 7), (5, 1000.0, 40)])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, seed, short, block):
     monkeypatch.setattr(near_dups, "SHORT_LIST", short)
+    monkeypatch.setattr(near_dups, "BLOCK", block)
     rnd = random.Random(seed)
     vocabulary = [f"word{chr(97 + i % 26)}{i}" for i in range(60)]
     bases = [rnd.sample(vocabulary, rnd.randrange(12, 22)) for _ in range(25)]
@@ -296,6 +297,24 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, seed, short):
     assert groups == {i: root(i) for i in sets}
 
 
+def test_lists_are_dealt_out_in_blocks_whatever_the_batches():
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(3)
+    sizes = rnd.integers(1, 12, 60)
+    sig = np.repeat(np.arange(60), sizes)
+    rows = [sig, np.zeros(len(sig), np.int32), np.arange(len(sig)), np.zeros(len(sig), np.int64), np.full(len(sig), 12 * 2 + 1, np.int32)]
+    for step in (1, 3, 7, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(r[i : i + step]) for r in rows], ["sig", "side", "id", "sketch", "packed"]) for i in range(0, len(sig), step)]
+        out = pd.concat([b.to_pandas() for b in near_dups._meet(0.6, 4)(iter(batches))])
+        pairs = {(int(a), int(b)) for a, b in out[out.sig.isna()][["a", "b"]].to_numpy()}
+        assert pairs == {(i, j) for i in range(len(sig)) for j in range(i + 1, len(sig)) if sig[i] == sig[j] and sizes[sig[i]] <= 4}, step
+        hot = out[out.sig.notna()]
+        assert sorted(hot.id) == [i for i in range(len(sig)) if sizes[sig[i]] > 4]
+        per = hot.groupby(["sig", "block"]).size()
+        assert per.max() <= 4 and all(set(g.block) == set(range(len(set(g.block)))) for _, g in hot.groupby("sig"))
+
+
 def test_near_duplicates_edges(spark):
     df = spark.createDataFrame([], "webpage_id long, title string, meta_description string")
     found = near_dups.NearDuplicates(df)
