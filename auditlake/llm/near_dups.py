@@ -144,20 +144,26 @@ class Signer:
         step(0, 0, np.arange(len(docs)), np.zeros(len(docs)), np.zeros(len(docs), _U))
 
 
+#: Low bits of a signature: a record's size and, in the last one, whether it may be the smaller one; the others are the key.
+LOW_BITS = 12
+#: Sizes from this on are one size; such records are told apart by their words only.
+LARGE = (1 << (LOW_BITS - 1)) - 1
+
+
 def _sketch(flat: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """64 bits of each record's words; two records differ in at least as many words as bits."""
     bits = _U(1) << (mix(flat.view(_U) + _U(99)) & _U(63))
     return np.bitwise_or.reduceat(bits, edges[:-1]) if len(flat) else np.zeros(0, _U)
 
 
-def _met(sig: np.ndarray, side: np.ndarray, rid: np.ndarray, sketch: np.ndarray, packed: np.ndarray, threshold: float) -> np.ndarray:
-    """Pairs of ids that meet under a key and may be similar by size and sketch; rows are sorted by key.
+def _met(sig: np.ndarray, rid: np.ndarray, sketch: np.ndarray, side: np.ndarray | None, threshold: float) -> np.ndarray:
+    """Pairs of ids that meet under a key and may be similar by size and sketch; rows are sorted by signature.
 
-    ``side`` is 0 for lists met whole; rows of sides 1 and 2 meet only each other.
+    With ``side``, rows of sides 1 and 2 meet only each other.
     """
-    sketch, size, small = sketch.view(_U), (packed >> 1).astype(np.int64), (packed & 1) > 0
-    new = np.append(True, sig[1:] != sig[:-1])
-    end = np.append(np.flatnonzero(new)[1:], len(sig))[np.cumsum(new) - 1]
+    sketch, size, small, key = sketch.view(_U), sig >> 1 & LARGE, (sig & 1) > 0, sig >> LOW_BITS
+    new = np.append(True, key[1:] != key[:-1])
+    end = np.append(np.flatnonzero(new)[1:], len(key))[np.cumsum(new) - 1]
     differ = (1 - threshold) / (1 + threshold) + 1e-9
     found = []
     at, step = np.arange(len(sig)), 1
@@ -169,8 +175,10 @@ def _met(sig: np.ndarray, side: np.ndarray, rid: np.ndarray, sketch: np.ndarray,
         na, nb = size[at], size[to]
         low, high = np.minimum(na, nb), np.maximum(na, nb)
         role = np.where(na < nb, small[at], np.where(nb < na, small[to], small[at] & small[to]))
-        apart = (side[at] == 0) | (side[at] != side[to])
-        ok = role & apart & (low >= threshold * high - 1e-9) & (np.bitwise_count(sketch[at] ^ sketch[to]) <= differ * (na + nb)) & (rid[at] != rid[to])
+        ok = role & (low >= threshold * high - 1e-9) & (np.bitwise_count(sketch[at] ^ sketch[to]) <= differ * (na + nb))
+        ok = (ok | (high == LARGE)) & (rid[at] != rid[to])
+        if side is not None:
+            ok &= (side[at] == 0) | (side[at] != side[to])
         if ok.any():
             a, b = rid[at[ok]], rid[to[ok]]
             found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
@@ -184,21 +192,22 @@ def _met(sig: np.ndarray, side: np.ndarray, rid: np.ndarray, sketch: np.ndarray,
 
 
 #: What meets: pairs (a, b); and rows of lists longer than BLOCK, with the number of their block in the list.
-_MET = "a long, b long, sig long, block long, id long, sketch long, packed int"
+_MET = "a long, b long, sig long, block long, id long, sketch long"
+_MET_NAMES = [c.split()[0] for c in _MET.split(", ")]
 
 
 def _meet(threshold: float, block_rows: int):
     """Merges sorted lists as they stream by; a task holds one block of a list at most."""
 
     def found(rows: list[np.ndarray]) -> pa.RecordBatch:
-        p = _met(*rows, threshold)
+        p = _met(*rows[:3], rows[3] if len(rows) > 3 else None, threshold)
         none = pa.nulls(len(p), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), none, none, none, none, pa.nulls(len(p), pa.int32())], _MET.replace(" long", "").replace(" int", "").split(", "))
+        return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), none, none, none, none], _MET_NAMES)
 
     def dealt(rows: list[np.ndarray], block: int) -> pa.RecordBatch:
-        sig, _, rid, sketch, packed = rows
+        sig, rid, sketch = rows
         none = pa.nulls(len(sig), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, pa.array(sig), pa.array(np.full(len(sig), block)), pa.array(rid), pa.array(sketch), pa.array(packed)], _MET.replace(" long", "").replace(" int", "").split(", "))
+        return pa.RecordBatch.from_arrays([none, none, pa.array(sig), pa.array(np.full(len(sig), block)), pa.array(rid), pa.array(sketch)], _MET_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
@@ -209,29 +218,30 @@ def _meet(threshold: float, block_rows: int):
                 continue
             if rest is not None:
                 rows = [np.concatenate(x) for x in zip(rest, rows, strict=True)]
-            new = np.append(True, rows[0][1:] != rows[0][:-1])
+            key = rows[0] >> LOW_BITS
+            new = np.append(True, key[1:] != key[:-1])
             starts = np.flatnonzero(new)
             # The last key may go on in the next batch.
             ends = starts[1:]
             size = np.diff(starts)
-            long_ = (size > block_rows) | (rows[0][starts[:-1]] == going if going is not None else False)
+            long_ = (size > block_rows) | (key[starts[:-1]] == going if going is not None else False)
             keep = np.repeat(~long_, size)
             if keep.any():
                 yield found([r[: len(keep)][keep] for r in rows])
             for a, b in zip(starts[:-1][long_].tolist(), ends[long_].tolist(), strict=True):
-                block = block if rows[0][a] == going else 0
+                block = block if key[a] == going else 0
                 for i in range(a, b, block_rows):
                     yield dealt([r[i : min(b, i + block_rows)] for r in rows], block)
                     block += 1
             a = int(starts[-1])
-            if rows[0][a] != going:
+            if key[a] != going:
                 block, going = 0, None
             while len(rows[0]) - a > block_rows or (going is not None and len(rows[0]) - a >= block_rows):
                 yield dealt([r[a : a + block_rows] for r in rows], block)
-                block, going, a = block + 1, rows[0][a], a + block_rows
+                block, going, a = block + 1, key[a], a + block_rows
             rest = [r[a:] for r in rows]
         if rest is not None and len(rest[0]):
-            yield dealt(rest, block) if rest[0][0] == going else found(rest)
+            yield dealt(rest, block) if rest[0][0] >> LOW_BITS == going else found(rest)
 
     return run
 
@@ -292,25 +302,23 @@ class NearDuplicates:
                 edges = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)))
                 flat = lists.flatten().to_numpy()
                 key, doc, small = signer.value.keys(flat, edges)
-                n = np.diff(edges)[doc]
-                packed = (np.minimum(n, (1 << 30) - 1) * 2 + small).astype(np.int32)
-                ids = batch.column(0).to_numpy()[doc]
-                sketch = _sketch(flat, edges)[doc]
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(sketch.view(np.int64)), pa.array(packed)], ["sig", "id", "sketch", "packed"])
-
-        keyed = classes.mapInArrow(sign, "sig long, id long, sketch long, packed int").withColumn("side", F.lit(0)).select("sig", "side", "id", "sketch", "packed")
-        met = written(keyed.repartition("sig").sortWithinPartitions("sig").mapInArrow(_meet(threshold, BLOCK), _MET), "met")
+                sig = key << LOW_BITS | np.minimum(np.diff(edges), LARGE)[doc] << 1 | small
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(batch.column(0).to_numpy()[doc]), pa.array(_sketch(flat, edges)[doc].view(np.int64))], ["sig", "id", "sketch"])
+
+        keyed = classes.mapInArrow(sign, "sig long, id long, sketch long")
+        met = written(keyed.repartition(F.shiftright("sig", LOW_BITS)).sortWithinPartitions("sig").mapInArrow(_meet(threshold, BLOCK), _MET), "met")
         hot = met.where("sig is not null")
         pairs = met.where("sig is null").select("a", "b")
         if not hot.isEmpty():
             # Every pair of a long list's blocks is a list of its own, of two blocks at most.
-            blocks = hot.groupBy("sig").agg((F.max("block") + 1).alias("blocks"))
+            key = F.shiftright("sig", LOW_BITS).alias("key")
+            blocks = hot.groupBy(key).agg((F.max("block") + 1).alias("blocks"))
             other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-            dealt = hot.join(blocks, "sig").select("sig", "id", "sketch", "packed", "block", other.alias("other"))
+            dealt = hot.withColumn("key", key).join(blocks, "key").select("key", "sig", "id", "sketch", "block", other.alias("other"))
             low, high = F.least("block", "other"), F.greatest("block", "other")
             side = F.when(low == high, 0).when(F.col("block") == low, 1).otherwise(2)
-            lists = dealt.select(F.xxhash64("sig", low, high).alias("sig"), side.alias("side"), "id", "sketch", "packed")
-            pairs = pairs.unionByName(lists.repartition("sig").sortWithinPartitions("sig").mapInArrow(_meet(threshold, 1 << 40), _MET).select("a", "b"))
+            lists = dealt.select(F.shiftleft(F.xxhash64("key", low, high), LOW_BITS).bitwiseOR(F.col("sig").bitwiseAND((1 << LOW_BITS) - 1)).alias("sig"), "id", "sketch", side.alias("side"))
+            pairs = pairs.unionByName(lists.repartition(F.shiftright("sig", LOW_BITS)).sortWithinPartitions("sig").mapInArrow(_meet(threshold, 1 << 40), _MET).select("a", "b"))
         return pairs.distinct()
 
     def _verified(self, candidates: DataFrame) -> DataFrame:

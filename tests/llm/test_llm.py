@@ -303,9 +303,9 @@ def test_lists_are_dealt_out_in_blocks_whatever_the_batches():
     rnd = np.random.default_rng(3)
     sizes = rnd.integers(1, 12, 60)
     sig = np.repeat(np.arange(60), sizes)
-    rows = [sig, np.zeros(len(sig), np.int32), np.arange(len(sig)), np.zeros(len(sig), np.int64), np.full(len(sig), 12 * 2 + 1, np.int32)]
+    rows = [sig << near_dups.LOW_BITS | 12 << 1 | 1, np.arange(len(sig)), np.zeros(len(sig), np.int64)]
     for step in (1, 3, 7, 1000):
-        batches = [pa.RecordBatch.from_arrays([pa.array(r[i : i + step]) for r in rows], ["sig", "side", "id", "sketch", "packed"]) for i in range(0, len(sig), step)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(r[i : i + step]) for r in rows], ["sig", "id", "sketch"]) for i in range(0, len(sig), step)]
         out = pd.concat([b.to_pandas() for b in near_dups._meet(0.6, 4)(iter(batches))])
         pairs = {(int(a), int(b)) for a, b in out[out.sig.isna()][["a", "b"]].to_numpy()}
         assert pairs == {(i, j) for i in range(len(sig)) for j in range(i + 1, len(sig)) if sig[i] == sig[j] and sizes[sig[i]] <= 4}, step
@@ -315,6 +315,14 @@ def test_lists_are_dealt_out_in_blocks_whatever_the_batches():
         assert per.max() <= 4 and all(set(g.block) == set(range(len(set(g.block)))) for _, g in hot.groupby("sig"))
 
 
+def test_large_records_are_told_apart_by_their_words(spark):
+    words = [f"wort{i}" for i in range(4000)]
+    rows = [(1, "t", " ".join(words)), (2, "t", " ".join(words[:2500])), (3, "t", " ".join(words[:2300])), (4, "t", " ".join(words[:2600] + [f"x{w}" for w in words[:900]])), (5, "t", " ".join(words[:1200]))]
+    df = spark.createDataFrame(rows, "webpage_id long, title string, meta_description string")
+    sets = {i: set(d.split()) for i, _, d in rows}
+    assert {tuple(r) for r in near_dups.NearDuplicates(df).record_pairs().collect()} == brute(sets, 0.6) != set()
+
+
 def test_near_duplicates_edges(spark):
     df = spark.createDataFrame([], "webpage_id long, title string, meta_description string")
     found = near_dups.NearDuplicates(df)
