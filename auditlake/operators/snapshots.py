@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditlake.session import written
+
 _OUT = "snapshot_no int, row_key string, change string"
+_LOW = (1 << 32) - 1
 
 
 def row_digest(columns: Sequence[str], seed: int) -> Column:
@@ -18,76 +19,50 @@ def row_digest(columns: Sequence[str], seed: int) -> Column:
     return F.xxhash64(F.lit(seed), mask, *[F.col(c) for c in columns])
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """The splitmix64 finaliser."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _compare(rows: pa.Table, numbers: np.ndarray) -> pa.RecordBatch | None:
-    """Changes within whole chunks; ``rows`` is sorted by key, snapshot and delivery."""
-    k1, k2, d1, d2 = (rows[c].to_numpy().view(np.uint64) for c in ("k1", "k2", "d1", "d2"))
-    at = np.searchsorted(numbers, rows["snapshot_no"].to_numpy())
-    same_next = (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1])
-    # Of several deliveries of a row the last one counts.
-    last = np.append(~(same_next & (at[1:] == at[:-1])), True)
-    where = np.flatnonzero(last)
-    k1, k2, d1, d2, at = k1[where], k2[where], d1[where], d2[where], at[where]
-    new_key = np.append(True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]))
-    chunk = np.cumsum(new_key & rows["cut"].to_numpy(zero_copy_only=False)[where])
-    # Digest of every (chunk, snapshot): order-free sums over mixed rows, so row order and batch borders don't matter.
-    width = len(numbers)
-    cell = chunk.astype(np.int64) * width + at
-    cells, inverse = np.unique(cell, return_inverse=True)
-    sums = []
-    for d, key in ((d1, k1), (d2, k2)):
-        total = np.zeros(len(cells), np.uint64)
-        np.add.at(total, inverse, _mix(d ^ _mix(key)))
-        sums.append(total)
-
-    def unmatched(pair_new: np.ndarray) -> np.ndarray:
-        """Of cells (chunk, later snapshot): whether the chunk differs from the snapshot before."""
-        found = []
-        for c in (pair_new, pair_new - 1):
-            i = np.minimum(np.searchsorted(cells, c), len(cells) - 1)
-            hit = cells[i] == c
-            found.append([np.where(hit, s[i], np.uint64(0)) for s in sums])
-        return (found[0][0] != found[1][0]) | (found[0][1] != found[1][1])
-
-    as_new = (at > 0) & unmatched(cell)  # only rows of unmatched chunks are joined
-    as_old = (at < width - 1) & unmatched(cell + 1)
-    # Rows of a key are adjacent, so the join of both snapshots is a comparison with the neighbour.
-    before = np.append(False, ~new_key[1:] & (at[1:] == at[:-1] + 1))
-    differs = np.append(False, (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1]))
-    after = np.append(before[1:], False)
-    picks = [
-        (np.flatnonzero(as_new & ~before), 0, "added"),
-        (np.flatnonzero(as_old & ~after), 1, "removed"),
-        (np.flatnonzero(as_new & before & differs), 0, "changed"),
-    ]
-    index = np.concatenate([p for p, _, _ in picks])
-    if not len(index):
-        return None
-    number = np.concatenate([numbers[at[p] + step] for p, step, _ in picks]).astype(np.int32)
-    change = np.concatenate([np.full(len(p), name, object) for p, _, name in picks])
-    keys = rows["row_key"].combine_chunks().take(pa.array(where[index]))
-    return pa.RecordBatch.from_arrays([pa.array(number), keys, pa.array(change, pa.string())], ["snapshot_no", "row_key", "change"])
-
-
-def snapshot_changes(snapshots: DataFrame, key: str, number: str = "snapshot_no", delivered: str = "delivered_at", chunk_keys: int = 64) -> DataFrame:
+def chunk_digests(rows: DataFrame) -> DataFrame:
+    """(chunk, snapshot_no, digest, once): digest of the multiset of a chunk's rows; once is true if all were delivered at one time.
+
+    A digest is the number of rows and the sums of the halves of their 128-bit digests, so it is combined where rows
+    are read and doesn't depend on their order.
+    """
+    halves = [F.sum(h).alias(f"s{i}{k}") for i, c in enumerate((F.xxhash64(F.lit(5), "k1", "k2", "d1", "d2"), F.xxhash64(F.lit(6), "k2", "d2", "k1", "d1"))) for k, h in enumerate((c.bitwiseAND(_LOW), F.shiftrightunsigned(c, 32)))]
+    summed = rows.groupBy("chunk", "snapshot_no").agg(*halves, F.count(F.lit(1)).alias("n"), F.count("delivered").alias("timed"), F.min("delivered").alias("low"), F.max("delivered").alias("high"))
+    once = (F.col("timed") == 0) | ((F.col("timed") == F.col("n")) & (F.col("low") == F.col("high")))
+    return summed.select("chunk", "snapshot_no", F.struct("n", "s00", "s01", "s10", "s11").alias("digest"), once.alias("once"))
+
+
+def unmatched_chunks(digests: DataFrame, numbers: Sequence[int]) -> DataFrame:
+    """(chunk, snapshot_no, at, as_new, as_old): the chunks of each snapshot that differ from the snapshot before (as_new) or after (as_old)."""
+    places = F.array(*[F.lit(n) for n in numbers])
+    gathered = digests.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct(F.array_position(places, F.col("snapshot_no")).cast("int").alias("at"), "snapshot_no", "digest", "once"))).alias("all"))
+
+    def differs(x: Column, step: int) -> Column:
+        return ~F.exists("all", lambda y: (y.at == x.at + step) & (y.digest == x.digest) & y.once & x.once)
+
+    flagged = gathered.select("chunk", F.explode(F.transform("all", lambda x: F.struct(x.snapshot_no.alias("snapshot_no"), x.at.alias("at"), ((x.at > 1) & differs(x, -1)).alias("as_new"), ((x.at < len(numbers)) & differs(x, 1)).alias("as_old")))).alias("c"))
+    return flagged.select("chunk", "c.*").where("as_new or as_old")
+
+
+def snapshot_changes(snapshots: DataFrame, key: str, number: str = "snapshot_no", delivered: str = "delivered_at", chunk_keys: int = 16) -> DataFrame:
     """(snapshot_no, row_key, change) between each delivered snapshot and the delivered one before it.
 
-    Rows are sorted by the hash of their key in partitions that all snapshots share, and cut into chunks at keys
-    whose hash says so (about every ``chunk_keys`` keys), so a chunk's borders depend on keys alone. Chunks of
-    equal digest in both snapshots are discarded; only rows of the others are joined. Equality is by 128-bit
-    digests of all columns but ``number`` and ``delivered``, null being a value. Of rows delivered again the
-    last delivery counts (ties: the larger digest). A null key is a key of its own, rows of a null number are
+    Snapshots are thought of as sorted by the hash of their key and cut into chunks where the leading bits of that hash change (about
+    every ``chunk_keys`` keys), so a chunk's borders depend on keys alone. Chunk digests are aggregated where rows
+    are read, before any row is shuffled; chunks of equal digest in both snapshots are discarded, and only rows of
+    the others are joined by key. Where few chunks differ their list is broadcast by its size, and rows of matching chunks never
+    leave their task. Equality is by 128-bit digests of all columns but ``number`` and ``delivered``, null being a
+    value. Of rows delivered again the last delivery counts (ties: the larger digest); a chunk with several delivery times is
+    always looked into. A null key is a key of its own, rows of a null number are
     ignored, extra columns count as values, and an empty table or a single snapshot gives no rows. The distinct
-    snapshot numbers (one a delivery of the whole table) are the only data sent to the driver.
+    snapshot numbers with their row counts (one a delivery of the whole table) are the only data sent to the driver.
     """
     names = [c for c in snapshots.columns if c not in (number, delivered)]
     values = [c for c in names if c != key]
+    sizes = snapshots.where(F.col(number).isNotNull()).groupBy(F.col(number).cast("int").alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()
+    numbers = sorted(r.s for r in sizes)
+    if len(numbers) < 2:
+        return snapshots.sparkSession.createDataFrame([], _OUT)
+    bits = max(0, (max(r.n for r in sizes) // max(1, chunk_keys)).bit_length())
     rows = snapshots.where(F.col(number).isNotNull()).select(
         F.col(number).cast("int").alias("snapshot_no"),
         F.col(key).cast("string").alias("row_key"),
@@ -97,28 +72,20 @@ def snapshot_changes(snapshots: DataFrame, key: str, number: str = "snapshot_no"
         row_digest(values or [key], 4).alias("d2"),
         F.col(delivered).cast("timestamp_ntz").alias("delivered"),
     )
+    rows = rows.withColumn("chunk", F.shiftrightunsigned("k1", 64 - bits) if bits else F.lit(0).cast("long"))
+    unmatched = written(unmatched_chunks(chunk_digests(rows), numbers), "chunks")
     # Copies collapse before the shuffle, so a key delivered very often stays small.
-    once = rows.groupBy("snapshot_no", "row_key", "k1", "k2", "d1", "d2").agg(F.max("delivered").alias("delivered"))
-    numbers = np.array(sorted(r[0] for r in rows.select("snapshot_no").distinct().collect()), np.int32)
-    mask = max(1, 1 << (chunk_keys - 1).bit_length()) - 1
-    columns = ["snapshot_no", "row_key", "k1", "k2", "d1", "d2", F.col("k1").bitwiseAND(mask).eqNullSafe(0).alias("cut")]
-    ordered = once.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "row_key", "snapshot_no", F.col("delivered").asc_nulls_first(), "d1", "d2").select(*columns)
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = table if rest is None else pa.concat_tables([rest, table])
-            k1, k2 = table["k1"].to_numpy(), table["k2"].to_numpy()
-            starts = np.flatnonzero(table["cut"].to_numpy(zero_copy_only=False)[1:] & ((k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]))) + 1
-            if not len(starts):
-                rest = table
-                continue
-            end = int(starts[-1])
-            rest = table.slice(end)
-            if (out := _compare(table.slice(0, end).combine_chunks(), numbers)) is not None:
-                yield out
-        if rest is not None and rest.num_rows and (out := _compare(rest.combine_chunks(), numbers)) is not None:
-            yield out
-
-    return ordered.mapInArrow(compare, _OUT)
+    last = rows.join(unmatched, ["chunk", "snapshot_no"]).groupBy("row_key", "k1", "k2", "at").agg(F.max(F.struct("delivered", "d1", "d2")).alias("last"), F.any_value("as_new").alias("as_new"), F.any_value("as_old").alias("as_old"))
+    keyed = last.groupBy("row_key", "k1", "k2").agg(F.array_sort(F.collect_list(F.struct("at", F.col("last.d1").alias("d1"), F.col("last.d2").alias("d2"), "as_new", "as_old"))).alias("all"))
+
+    def classified(x: Column, i: Column) -> Column:
+        before, after = F.get("all", i - 1), F.get("all", i + 1)
+        follows = F.coalesce(before.at == x.at - 1, F.lit(False))
+        return F.array(
+            F.when(x.as_new & ~follows, F.struct(x.at.alias("at"), F.lit("added").alias("change"))),
+            F.when(x.as_new & follows & ((before.d1 != x.d1) | (before.d2 != x.d2)), F.struct(x.at.alias("at"), F.lit("changed").alias("change"))),
+            F.when(x.as_old & F.coalesce(after.at != x.at + 1, F.lit(True)), F.struct((x.at + 1).alias("at"), F.lit("removed").alias("change"))),
+        )
+
+    changes = keyed.select("row_key", F.explode(F.array_compact(F.flatten(F.transform("all", classified)))).alias("c"))
+    return changes.select(F.element_at(F.array(*[F.lit(n) for n in numbers]), F.col("c.at")).alias("snapshot_no"), "row_key", "c.change")

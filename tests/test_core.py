@@ -9,6 +9,7 @@ from auditlake.functions import html, text, urls
 from auditlake.functions.rounding import half_even, half_up
 from auditlake.operators import duplicates, page_scores, records, timeline
 from auditlake.operators.skew import State, hot_keys, rounds_for, site_profile, tree_aggregate
+from auditlake.operators import snapshots
 from auditlake.operators.snapshots import snapshot_changes
 
 
@@ -88,6 +89,20 @@ def test_snapshot_against_brute_force(spark, chunk):
     assert {tuple(r) for r in snapshot_changes(df, "url", chunk_keys=chunk).collect()} == want
 
 
+def test_matching_chunks_are_discarded(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(snapshots, "written", lambda df, label: kept.append(df.cache()) or kept[-1])
+    rows = [(no, f"u{i}", "T", i + (no == 5 and i == 77), 10 * no) for no in (4, 5, 6) for i in range(2000)]
+    changes = snapshot_changes(spark.createDataFrame(snap(rows), SNAP), "url")
+    assert sorted(tuple(r) for r in changes.collect()) == [(5, "u77", "changed"), (6, "u77", "changed")]
+    assert kept[0].select("chunk").distinct().count() == 1
+
+
+def test_versions_that_swap_their_order_are_a_change(spark):
+    rows = [(1, "a", "A", 1, 0), (1, "a", "B", 1, 2), (2, "a", "B", 1, 10), (2, "a", "A", 1, 12), (1, "b", "A", 1, 0), (1, "b", "A", 1, 0), (2, "b", "A", 1, 10)]
+    assert [tuple(r) for r in snapshot_changes(spark.createDataFrame(snap(rows), SNAP), "url").collect()] == [(2, "a", "changed")]
+
+
 def test_rounding(spark):
     r = one(spark, half_up(F.lit(-0.5)).alias("a"), half_up(F.lit(2.5)).alias("b"), half_even(F.lit(2.5)).alias("c"), half_even(F.lit(0.125), 2).alias("d"))
     assert (r.a, r.b, r.c, float(r.d)) == (0, 3, 2, 0.12)
