@@ -110,14 +110,16 @@ def _matches(node: Node, kind: str, value: str) -> bool:
 
 
 def main_content(root: Node) -> str:
-    """The longest text of the first place that has more than a little; else the body's, else all."""
+    """The longest text of the first place that has more than a little; else the body's, else all; nothing if all is little."""
     nodes = list(root.walk())
     for kind, value in CONTENT_PLACES:
         texts = [n.text() for n in nodes if _matches(n, kind, value)]
         if texts and len(best := max(texts, key=len)) > LEAST_CONTENT:
             return best
-    body = next((n for n in nodes if n.tag == "body"), root)
-    return body.text()
+    for node in (*[n for n in nodes if n.tag == "body"][:1], root):
+        if len(text := node.text()) > LEAST_CONTENT:
+            return text
+    return ""
 
 
 def _meta(nodes: list[Node], key: str, value: str) -> str | None:
@@ -146,14 +148,14 @@ SCHEMA = (
     "title_tag string, og_title string, tw_title string, h1_text string, description string, og_description string, tw_description string, content string, "
     "headings array<struct<level:int,text:string>>, links array<struct<href:string,text:string,rel:string>>, "
     "images array<struct<src:string,has_alt:boolean,has_title:boolean,width:int,height:int,sized:boolean,lazy:boolean,responsive:boolean>>, "
-    "canonical string, robots string, hreflang array<struct<lang:string,url:string>>, ld_types array<string>, viewport string, has_charset boolean, stylesheets int, print_stylesheets int, html_bytes long, error string"
+    "canonical string, robots string, hreflang array<struct<lang:string,url:string>>, ld_types array<string>, viewport string, has_charset boolean, stylesheets int, print_stylesheets int, has_viewport boolean, has_media_queries boolean, compressed boolean, html_bytes long, error string"
 )
 
 
 def facts(html: str | None, pruned: bool = True) -> dict:
     """The facts of one page; never raises, ``error`` tells what went wrong."""
     out: dict = dict.fromkeys(("title_tag", "og_title", "tw_title", "h1_text", "description", "og_description", "tw_description", "canonical", "robots", "viewport", "error"))
-    out |= {"content": "", "headings": [], "links": [], "images": [], "hreflang": [], "ld_types": [], "has_charset": False, "stylesheets": 0, "print_stylesheets": 0, "html_bytes": len((html or "").encode("utf-8", "surrogatepass"))}
+    out |= {"content": "", "headings": [], "links": [], "images": [], "hreflang": [], "ld_types": [], "has_charset": False, "stylesheets": 0, "print_stylesheets": 0, "has_viewport": False, "has_media_queries": False, "compressed": False, "html_bytes": len((html or "").encode("utf-8", "surrogatepass"))}
     if not html or not html.strip():
         return out | {"error": "empty page"}
     try:
@@ -172,7 +174,7 @@ def facts(html: str | None, pruned: bool = True) -> dict:
             {
                 "src": a.get("src") or a.get("data-src") or a.get("data-lazy-src") or "", "has_alt": bool(a.get("alt", "").strip()), "has_title": bool(a.get("title", "").strip()),
                 "width": _size(a.get("width")), "height": _size(a.get("height")), "sized": bool(a.get("width")) and bool(a.get("height")),
-                "lazy": a.get("loading") == "lazy" or "lazy" in n.classes() or "data-src" in a, "responsive": bool(a.get("srcset") or a.get("sizes")),
+                "lazy": a.get("loading") == "lazy" or "lazy" in n.classes(), "responsive": bool(a.get("srcset") or a.get("sizes")),
             }
             for n in nodes if n.tag == "img" for a in [n.attrs]
         ]
@@ -181,9 +183,12 @@ def facts(html: str | None, pruned: bool = True) -> dict:
         out["canonical"] = next((n.attrs.get("href") for n in links if "canonical" in rel(n)), None)
         out["hreflang"] = [{"lang": n.attrs["hreflang"], "url": n.attrs.get("href", "")} for n in links if "alternate" in rel(n) and n.attrs.get("hreflang")]
         out |= {"robots": _meta(nodes, "name", "robots"), "viewport": _meta(nodes, "name", "viewport"), "ld_types": _linked_types(nodes)}
+        out["has_viewport"] = any(n.tag == "meta" and n.attrs.get("name", "").lower() == "viewport" for n in nodes)
+        raw = html.lower()
+        out["has_media_queries"], out["compressed"] = "@media" in raw, "gzip" in raw or "deflate" in raw
         out["has_charset"] = any(n.tag == "meta" and ("charset" in n.attrs or n.attrs.get("http-equiv", "").lower() == "content-type") for n in nodes)
         sheets = [n for n in links if "stylesheet" in rel(n)]
-        out["stylesheets"], out["print_stylesheets"] = len(sheets), sum("print" in n.attrs.get("media", "") for n in sheets)
+        out["stylesheets"], out["print_stylesheets"] = len(sheets), sum("print" in n.attrs.get("media", "").lower() for n in sheets)
     except Exception as e:  # a broken page must not end the batch
         out["error"] = f"{type(e).__name__}: {e}"[:200]
     return out

@@ -12,7 +12,7 @@ from pyspark.sql.types import BooleanType
 
 from auditlake.functions.rounding import clamp, when
 
-WORD = r"(?U)\b\w+\b"
+WORD = r"[\p{L}\p{N}_]+"
 
 #: Patterns of grammar errors in the order in which they are tried (case is ignored).
 GRAMMAR = (
@@ -74,7 +74,7 @@ def low_density(text: pa.Array) -> pa.Array:
 
 
 def content_score(words: Column, low_density: Column, ease: Column) -> Column:
-    return clamp(F.lit(10.0) - when(words < 300, 5) - when(low_density, 2) - when(ease < 30, 1), 0.0, 10.0)
+    return clamp(F.lit(10.0) - when(words < 300, 5) - when(ease < 30, 2) - when(low_density, 1), 0.0, 10.0)
 
 
 def quality_score(words: Column, spelling: Column, grammar: Column, ease: Column) -> Column:

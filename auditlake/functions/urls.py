@@ -52,26 +52,36 @@ def sitemap_kind(url: Column) -> Column:
 
 
 def link_is_checked(link: Column) -> Column:
-    """Whether a link could be a page: long enough, no other scheme or anchor, no file ending in its path."""
-    bare = F.regexp_replace(F.lower(F.trim(link)), r"[?#].*$", "")
-    other = F.lower(F.trim(link)).rlike(r"^(mailto:|tel:|javascript:|ftp:|#|data:)")
-    return F.coalesce((F.length(F.trim(link)) >= 4) & ~other & ~bare.rlike(r"\.(" + "|".join(FILE_ENDINGS) + r")$"), F.lit(False))
+    """Whether a link could be a page: long enough, no other scheme or anchor, no file ending in its path (in any case)."""
+    bare = F.regexp_replace(F.lower(link), r"[?#].*$", "")
+    other = link.rlike(r"^(mailto:|tel:|javascript:|ftp:|#|data:)")
+    return F.coalesce((F.length(link) >= 4) & ~other & ~bare.rlike(r"\.(" + "|".join(FILE_ENDINGS) + r")$"), F.lit(False))
+
+
+def _joined_path(base_path: Column, link_path: Column) -> Column:
+    """A relative or rooted path against a base's: a relative one takes the place of the base's last segment, and empty ones in between fall out; dot segments are resolved."""
+    folder = F.split(base_path, "/")
+    folder = F.when(F.element_at(folder, -1) == "", folder).otherwise(F.slice(folder, 1, F.size(folder) - 1))
+    relative = F.concat(folder, F.split(link_path, "/"))
+    relative = F.filter(relative, lambda x, i: (x != "") | (i == 0) | (i == F.size(relative) - 1))
+    parts = F.when(link_path.startswith("/"), F.split(link_path, "/")).otherwise(relative)
+    up = lambda done: F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+    done = F.aggregate(parts, F.array().cast("array<string>"), lambda done, x: F.when(x == "..", up(done)).when(x == ".", done).otherwise(F.concat(done, F.array(x))))
+    done = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(done, F.array(F.lit("")))).otherwise(done)
+    joined = F.array_join(done, "/")
+    return F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
 
 
 def resolve(base: Column, link: Column) -> Column:
-    """A link as an absolute URL: absolute, protocol-relative, rooted, query, fragment or relative to the base's folder.
-
-    Dot segments are kept as they are.
-    """
+    """A link as an absolute URL: absolute, protocol-relative, rooted, query, fragment or relative to the base's folder; dot segments are resolved."""
     href = F.trim(link)
-    folder = F.regexp_replace(F.regexp_replace(base, r"[?#].*$", ""), r"^([a-zA-Z]+://[^/]+.*/)[^/]*$", "$1")
-    folder = F.when(path(base) == "", F.concat(origin(base), F.lit("/"))).otherwise(folder)
+    tail = F.regexp_extract(href, r"^[^?#]*([?#].*)?$", 1)
+    relative = F.concat(origin(base), _joined_path(path(base), F.regexp_replace(href, r"[?#].*$", "")), tail)
     return (
         F.when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), href)
         .when(href.startswith("//"), F.concat(F.regexp_extract(base, r"^([a-zA-Z]+:)", 1), href))
-        .when(href.startswith("/"), F.concat(origin(base), href))
         .when(href.startswith("?"), F.concat(F.regexp_replace(base, r"[?#].*$", ""), href))
         .when(href.startswith("#"), F.concat(F.regexp_replace(base, r"#.*$", ""), href))
         .when(href == "", base)
-        .otherwise(F.concat(folder, href))
+        .otherwise(relative)
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions import urls
@@ -11,6 +11,7 @@ from auditlake.functions.rounding import clamp, first_nonblank, half_even, when
 #: Page widths, sizes and times of the rules.
 WIDE_IMAGE = 2000
 LISTED_LINKS = 150
+LISTED_IMAGES = 20
 LONG_LINK = 100
 
 
@@ -38,7 +39,7 @@ def technical_score(f: str = "facts") -> Column:
     missing = lambda c: c.isNull() | (c == "")
     score = (
         F.lit(10.0) - when(missing(F.col(f"{f}.canonical")), 3) - when(missing(F.col(f"{f}.robots")), 1) - when(F.size(f"{f}.ld_types") == 0, 2)
-        - when(missing(F.col(f"{f}.viewport")), 1) - when(~F.col(f"{f}.has_charset"), 2)
+        - when(~F.col(f"{f}.has_viewport"), 2) - when(~F.col(f"{f}.has_charset"), 1)
     )
     return clamp(score, 0.0, 10.0)
 
@@ -52,34 +53,69 @@ def image_measures(f: str = "facts") -> Column:
         count(lambda i: i.sized).alias("with_dimensions"),
         count(lambda i: i.lazy).alias("lazy"),
         count(lambda i: i.responsive).alias("responsive"),
-        count(lambda i: F.coalesce((i.width > WIDE_IMAGE) | (i.height > WIDE_IMAGE), F.lit(False))).alias("oversized"),
-        count(lambda i: F.lower(i.src).rlike(r"\.(webp|avif)$")).alias("next_gen"),
+        count(lambda i: i.has_title).alias("with_title"),
+        count(lambda i: F.coalesce(i.sized & i.width.isNotNull() & i.height.isNotNull() & ((i.width > WIDE_IMAGE) | (i.height > WIDE_IMAGE)), F.lit(False))).alias("oversized"),
+        count(lambda i: F.lower(i.src).rlike(r"\.(webp|avif)")).alias("next_gen"),
+        count(lambda i: (i.src != "") & ~F.lower(i.src).rlike("optimized|compressed|webp|avif")).alias("unoptimized"),
     )
 
 
+def image_score(m: Column) -> Column:
+    """Of image_measures(): points off for shares of images without a text, of oversized and of fixed ones."""
+    share = lambda n: F.try_divide(n, m.total)
+    bare = share(m.total - m.with_alt)
+    off = F.when(bare > 0.7, 6.0).when(bare > 0.5, 4.0).when(bare > 0.3, 2.0).otherwise(0.0) + when(share(m.oversized) > 0.3, 2) + when(share(m.responsive) < 0.3, 1)
+    return F.when(m.total == 0, 10.0).otherwise(clamp(F.lit(10.0) - off, 0.0, 10.0))
+
+
+def page_links(base: Column, f: str = "facts") -> Column:
+    """The links of a page that lead to pages or files, absolute, in their order: array of (url, rel)."""
+    web = F.filter(F.col(f"{f}.links"), lambda a: (a.href != "") & ~a.href.rlike("^(#|javascript:|mailto:|tel:)"))
+    return F.transform(web, lambda a: F.struct(F.when(a.href.rlike("^https?://"), a.href).otherwise(urls.resolve(base, a.href)).alias("url"), a.rel.alias("rel")))
+
+
 def link_measures(base: Column, f: str = "facts") -> Column:
     """Counts of links by kind; empty ones, anchors and scripts don't count, mail and phone links are in the total only."""
     host = F.lower(F.regexp_extract(base, r"^[a-zA-Z]+://([^/?#]+)", 1))
-    real = F.filter(F.col(f"{f}.links"), lambda a: (a.href != "") & ~a.href.startswith("#") & ~F.lower(a.href).startswith("javascript:"))
-    contact = lambda a: F.lower(a.href).rlike("^(mailto|tel):")
-    pages = F.transform(F.filter(real, lambda a: ~contact(a)), lambda a: F.struct(urls.resolve(base, a.href).alias("url"), a.rel.alias("rel")))
+    links, pages = F.col(f"{f}.links"), page_links(base, f)
     netloc = lambda a: F.lower(F.regexp_extract(a.url, r"^[a-zA-Z]+://([^/?#]+)", 1))
-    count = lambda test: F.size(F.filter(pages, test)).cast("long")
+    size = lambda array, test: F.size(F.filter(array, test)).cast("long")
     social = lambda a: F.exists(F.array(*[F.lit(h) for h in urls.SOCIAL_HOSTS]), lambda h: netloc(a).contains(h))
+    email, phone = size(links, lambda a: a.href.startswith("mailto:")), size(links, lambda a: a.href.startswith("tel:"))
     return F.struct(
-        F.size(real).cast("long").alias("total"),
-        count(lambda a: (netloc(a) == host) | (netloc(a) == "")).alias("internal"),
-        count(lambda a: (netloc(a) != host) & (netloc(a) != "")).alias("external"),
-        count(social).alias("social"),
-        count(lambda a: a.rel.contains("nofollow")).alias("no_follow"),
-        count(lambda a: F.lower(a.url).rlike(r"\.(" + "|".join(urls.FILE_ENDINGS) + ")")).alias("downloads"),
-        count(lambda a: F.length(a.url) > LONG_LINK).alias("long"),
-        F.size(F.filter(real, lambda a: F.lower(a.href).startswith("mailto:"))).cast("long").alias("email"),
-        F.size(F.filter(real, lambda a: F.lower(a.href).startswith("tel:"))).cast("long").alias("phone"),
-        F.size(F.filter(F.col(f"{f}.links"), lambda a: a.href == "")).cast("long").alias("empty"),
+        (F.size(pages) + email + phone).cast("long").alias("total"),
+        size(pages, lambda a: (netloc(a) == host) | (netloc(a) == "")).alias("internal"),
+        size(pages, lambda a: (netloc(a) != host) & (netloc(a) != "")).alias("external"),
+        size(pages, social).alias("social"),
+        size(pages, lambda a: F.array_contains(F.split(a.rel, r"\s+"), "nofollow")).alias("no_follow"),
+        size(pages, lambda a: F.lower(a.url).rlike(r"\.(" + "|".join(urls.FILE_ENDINGS) + ")")).alias("downloads"),
+        size(pages, lambda a: F.length(a.url) > LONG_LINK).alias("long"),
+        email.alias("email"),
+        phone.alias("phone"),
+        size(links, lambda a: a.href == "").alias("empty"),
     )
 
 
+def link_score(m: Column, broken: Column) -> Column:
+    """Of link_measures(): points off for the share of broken links, for no links inside and for many outside."""
+    share = F.try_divide(broken, m.total)
+    off = F.when(share > 0.15, 8.0).when(share > 0.1, 6.0).when(share > 0.05, 3.0).when(share > 0, 1.0).otherwise(0.0)
+    off = off + when((m.internal == 0) & (m.external > 0), 2) + when(m.external > m.internal * 3, 1)
+    return F.when(m.total == 0, 10.0).otherwise(clamp(F.lit(10.0) - off, 0.0, 10.0))
+
+
+def checked_links(pages: DataFrame, key: str, links: str) -> DataFrame:
+    """(key, place, link): of each page the links among its first LISTED_LINKS that are worth a look; ``links`` is an array of page_links()."""
+    listed = pages.select(key, F.posexplode(F.slice(F.col(links), 1, LISTED_LINKS)).alias("place", "a"))
+    return listed.select(key, "place", F.col("a.url").alias("link")).where(urls.link_is_checked(F.col("link")))
+
+
+def link_results(checked: DataFrame, statuses: DataFrame) -> DataFrame:
+    """Checked links with the ``kind`` that a table (link, status, problem) of answers gives them; each link was asked once, wherever it stands."""
+    answers = statuses.dropDuplicates(["link"])
+    return checked.join(answers, "link", "left").withColumn("kind", link_status(F.col("link"), F.col("status"), F.col("problem")))
+
+
 def link_status(url: Column, status: Column, problem: Column) -> Column:
     """What a link is: plain http (never asked), redirect, broken by client or server, unreachable, or fine."""
     return (
@@ -93,12 +129,30 @@ def link_status(url: Column, status: Column, problem: Column) -> Column:
 
 
 def performance(f: str = "facts") -> Column:
-    """Size in KB, blocking style sheets, and the estimates of paint and shift that follow from them."""
+    """Size in KB, what mobile browsers get, blocking style sheets, the estimates that follow from them with their ratings, and the score.
+
+    Scripts and inline styles are pruned before, so they count 0.
+    """
     kb = F.col(f"{f}.html_bytes") / 1024
     blocking = F.col(f"{f}.stylesheets") - F.col(f"{f}.print_stylesheets")
+    viewport = F.coalesce(F.col(f"{f}.viewport"), F.lit(""))
+    responsive = viewport.contains("width=device-width")
+    paint, shift = clamp(kb / 100, 1.0, 5.0), clamp(blocking * 0.02, 0.0, 0.25)
+    rated = lambda c, good, fair: F.when(c <= good, "good").when(c <= fair, "needs_improvement").otherwise("poor")
+    score = (
+        F.lit(10.0) - when(~F.col(f"{f}.has_viewport"), 3) - when(~responsive, 2) - F.when(kb > 1000, 2.0).when(kb > 500, 1.0).otherwise(0.0)
+        - when(blocking > 5, 1) - when(~F.col(f"{f}.compressed"), 1)
+    )
     return F.struct(
         half_even(kb, 2).alias("page_kb"),
+        F.col(f"{f}.has_viewport").alias("has_viewport"),
+        responsive.alias("responsive"),
+        F.col(f"{f}.has_media_queries").alias("has_media_queries"),
+        F.col(f"{f}.compressed").alias("compressed"),
         blocking.cast("long").alias("blocking_stylesheets"),
-        half_even(clamp(kb / 100, 1.0, 5.0), 2).alias("largest_paint"),
-        half_even(clamp(blocking * 0.02, 0.0, 0.25), 2).alias("layout_shift"),
+        half_even(paint, 2).alias("largest_paint"),
+        half_even(shift, 2).alias("layout_shift"),
+        rated(paint, 2.5, 4.0).alias("paint_rating"),
+        rated(shift, 0.1, 0.25).alias("shift_rating"),
+        clamp(score, 0.0, 10.0).alias("score"),
     )

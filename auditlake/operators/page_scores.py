@@ -30,7 +30,7 @@ def audit_title(title: Column) -> Column:
     n = _len(title)
     shouting = (title == F.upper(title)) & title.rlike(r"\p{Lu}")
     crowded = (F.regexp_count(title, F.lit(r"\|")) > 2) | (F.regexp_count(title, F.lit("-")) > 3)
-    score = F.lit(10.0) - when((n > 0) & (n < TITLE[0]), 4) - when(n > TITLE[1], 3) - when(shouting, 1) - when(crowded, 1) - when(~title.rlike("[a-zA-Z]"), 2)
+    score = F.lit(10.0) - when((n > 0) & (n < TITLE[0]), 4) - when(n > TITLE[1], 3) - when(shouting, 1) - when(crowded, 1) - when(~title.rlike(r"\p{L}"), 2)
     return F.when(n == 0, 0.0).otherwise(clamp(score, 0.0, 10.0))
 
 
@@ -131,7 +131,7 @@ def grade(score: Column) -> Column:
     return chain.otherwise("F")
 
 
-def critical_issues(title: Column, description: Column, h1: Column, broken: Column, canonical: Column, words: Column) -> Column:
+def critical_issues(title: Column, description: Column, h1: Column, broken: Column, responsive: Column, speed: Column) -> Column:
     """Up to six messages, in a fixed order."""
     return F.array_compact(
         F.array(
@@ -139,7 +139,7 @@ def critical_issues(title: Column, description: Column, h1: Column, broken: Colu
             F.when(_len(description) == 0, "Missing meta description"),
             F.when(h1 == 0, "Missing H1 tag"),
             F.when(broken > 0, F.concat(broken.cast("string"), F.lit(" broken links"))),
-            F.when(~canonical, "Missing canonical tag"),
-            F.when(words < LEAST_WORDS, "Content too short"),
+            F.when(~responsive, "Not mobile responsive"),
+            F.when(speed < 50, "Very slow page speed"),
         )
     )

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.functions import text as T
-from auditlake.operators import duplicates, page_scores as S
+from auditlake.operators import duplicates, spelling
+from auditlake.operators import page_scores as S
 from auditlake.operators.skew import State, tree_aggregate
 from auditlake.plans.registry import Registry
-from auditlake.session import spread, table
+from auditlake.session import spread, table, written
 
 R = Registry()
-_WORDS = r"len(regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{N}}\p{{M}}_]+'))"
+WORDS = r"len(regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{N}}_]+'))"
 _LEN = "coalesce(length({0}), 0)"
 
 
@@ -24,43 +25,43 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
 
 
-_TITLE = r"""CASE WHEN coalesce(length(title), 0) = 0 THEN 0.0 ELSE greatest(0.0, least(10.0, 10.0
+TITLE = r"""CASE WHEN coalesce(length(title), 0) = 0 THEN 0.0 ELSE greatest(0.0, least(10.0, 10.0
   - CASE WHEN length(title) < 30 THEN 4 ELSE 0 END - CASE WHEN length(title) > 60 THEN 3 ELSE 0 END
   - CASE WHEN title = upper(title) AND regexp_matches(title, '\p{Lu}') THEN 1 ELSE 0 END
   - CASE WHEN length(title) - length(replace(title, '|', '')) > 2 OR length(title) - length(replace(title, '-', '')) > 3 THEN 1 ELSE 0 END
-  - CASE WHEN NOT regexp_matches(title, '[a-zA-Z]') THEN 2 ELSE 0 END)) END"""
-_DESCRIPTION = r"""CASE WHEN coalesce(length(meta_description), 0) = 0 THEN 0.0 ELSE greatest(0.0, least(10.0, 10.0
+  - CASE WHEN NOT regexp_matches(title, '\p{L}') THEN 2 ELSE 0 END)) END"""
+DESCRIPTION = r"""CASE WHEN coalesce(length(meta_description), 0) = 0 THEN 0.0 ELSE greatest(0.0, least(10.0, 10.0
   - CASE WHEN length(meta_description) < 80 THEN 4 ELSE 0 END - CASE WHEN length(meta_description) > 160 THEN 3 ELSE 0 END
   - CASE WHEN meta_description = upper(meta_description) THEN 1 ELSE 0 END - CASE WHEN NOT regexp_matches(meta_description, '[.!?]$') THEN 0.5 ELSE 0 END)) END"""
 _PATH = "regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1)"
-_URL = rf"""greatest(0.0, least(10.0, 10.0 - CASE WHEN length(url) > 75 THEN 3 ELSE 0 END
+URL = rf"""greatest(0.0, least(10.0, 10.0 - CASE WHEN length(url) > 75 THEN 3 ELSE 0 END
   - CASE WHEN regexp_matches(url, '[^a-zA-Z0-9\-._~:/?#\[\]@!$&''()*+,;=%]') THEN 3 ELSE 0 END - CASE WHEN contains(url, '?') THEN 1 ELSE 0 END
   - CASE WHEN length(string_split(regexp_replace({_PATH}, '/+$', ''), '/')[-1]) < 3 THEN 2 ELSE 0 END
   - CASE WHEN contains(url, ' ') THEN 2 ELSE 0 END - CASE WHEN contains({_PATH}, '_') THEN 1 ELSE 0 END
   - CASE WHEN len(list_filter(string_split({_PATH}, '/'), lambda s: s <> '')) > 5 THEN 1 ELSE 0 END))"""
-_STORED_URL = r"""greatest(0.0, least(10.0, 10.0 - CASE WHEN length(url) > 75 THEN 2 ELSE 0 END - CASE WHEN regexp_matches(url, '[^a-zA-Z0-9\-/.]') THEN 3 ELSE 0 END
+STORED_URL = r"""greatest(0.0, least(10.0, 10.0 - CASE WHEN length(url) > 75 THEN 2 ELSE 0 END - CASE WHEN regexp_matches(url, '[^a-zA-Z0-9\-/.]') THEN 3 ELSE 0 END
   - CASE WHEN contains(url, '?') THEN 2 ELSE 0 END - CASE WHEN length(string_split(url, '/')[-1]) < 3 THEN 2 ELSE 0 END))"""
-_EASE = rf"""CASE WHEN {_WORDS.format("text")} > 0 THEN greatest(0.0, least(100.0, 206.835 - 1.015 * ({_WORDS.format("text")} / greatest(len(regexp_extract_all(text, '[.!?]+')), 1))
-  - 84.6 * (greatest(len(regexp_extract_all(lower(text), '[aeiouy]+')), 1) / {_WORDS.format("text")}))) ELSE 50.0 END"""
+EASE = rf"""CASE WHEN {WORDS.format("text")} > 0 THEN greatest(0.0, least(100.0, 206.835 - 1.015 * ({WORDS.format("text")} / greatest(len(regexp_extract_all(text, '[.!?]+')), 1))
+  - 84.6 * (greatest(len(regexp_extract_all(lower(text), '[aeiouy]+')), 1) / {WORDS.format("text")}))) ELSE 50.0 END"""
 
 
-@R.query(f"SELECT webpage_id, CAST({_TITLE} AS DOUBLE) AS score, coalesce(length(title), 0) BETWEEN 1 AND 29 AS too_short, coalesce(length(title), 0) > 60 AS too_long FROM webpages")
+@R.query(f"SELECT webpage_id, CAST({TITLE} AS DOUBLE) AS score, coalesce(length(title), 0) BETWEEN 1 AND 29 AS too_short, coalesce(length(title), 0) > 60 AS too_long FROM webpages")
 def a1_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.coalesce(F.length("title"), F.lit(0))
     return _pages(spark, sf_dir).select("webpage_id", S.audit_title(F.col("title")).alias("score"), n.between(1, 29).alias("too_short"), (n > 60).alias("too_long"))
 
 
-@R.query(f"SELECT webpage_id, CAST({_DESCRIPTION} AS DOUBLE) AS score FROM webpages")
+@R.query(f"SELECT webpage_id, CAST({DESCRIPTION} AS DOUBLE) AS score FROM webpages")
 def a2_description(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("webpage_id", S.audit_description(F.col("meta_description")).alias("score"))
 
 
-@R.query(f"SELECT doc_id, CAST({_WORDS.format('text')} AS BIGINT) AS words FROM documents")
+@R.query(f"SELECT doc_id, CAST({WORDS.format('text')} AS BIGINT) AS words FROM documents")
 def a4_word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", T.word_count(F.col("text")).cast("long").alias("words"))
 
 
-@R.query(f"SELECT doc_id, round({_EASE}, 6) AS ease FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)")
+@R.query(f"SELECT doc_id, round({EASE}, 6) AS ease FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)")
 def a5_readability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", F.round(T.readability(F.col("text")), 6).alias("ease"))
 
@@ -76,41 +77,50 @@ def a8_keyword_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", T.low_density("text").alias("low_density"))
 
 
-@R.query(
-    "WITH c AS (SELECT doc_id, ["
-    + ", ".join(
-        f"len(regexp_extract_all(text, '(?i){p}'))"
-        for p in (r"\b(?:your)\s+(?:going|coming|doing)\b", r"\b(?:there)\s+(?:going|coming|doing)\b", r"\b(?:its)\s+a\b", r"\b(?:could|should|would)\s+of\b", r"\.\s*[a-z]", r"\bthen\s+[a-zA-Z]+er\b", r"\baffect\s+on\b", r"\bloose\s+(?:weight|money|game)\b", r"\bi\s", r"\s{2,}", r"[.!?]{2,}")
-    )
-    + "] AS k FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)) SELECT doc_id, CAST(list_sum(k) AS BIGINT) AS found, CAST(list_reduce(list_prepend(0, k), lambda s, c: s + CASE WHEN s < 50 THEN least(c, 50 - s) ELSE least(c, 1) END) AS BIGINT) AS kept FROM c"
-)
+GRAMMAR = "[" + ", ".join(
+    f"len(regexp_extract_all(text, '(?i){p}'))"
+    for p in (r"\b(?:your)\s+(?:going|coming|doing)\b", r"\b(?:there)\s+(?:going|coming|doing)\b", r"\b(?:its)\s+a\b", r"\b(?:could|should|would)\s+of\b", r"\.\s*[a-z]", r"\bthen\s+[a-zA-Z]+er\b", r"\baffect\s+on\b", r"\bloose\s+(?:weight|money|game)\b", r"\bi\s", r"\s{2,}", r"[.!?]{2,}")
+) + "]"
+GRAMMAR_KEPT = "list_reduce(list_prepend(0, k), lambda s, c: s + CASE WHEN s < 50 THEN least(c, 50 - s) ELSE least(c, 1) END)"
+
+
+@R.query(f"WITH c AS (SELECT doc_id, {GRAMMAR} AS k FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)) SELECT doc_id, CAST(list_sum(k) AS BIGINT) AS found, CAST({GRAMMAR_KEPT} AS BIGINT) AS kept FROM c")
 def a7_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = _documents(spark, sf_dir).select("doc_id", T.grammar_counts(F.col("text")).alias("k"))
     return counted.select("doc_id", F.aggregate("k", F.lit(0), lambda a, b: a + b).cast("long").alias("found"), T.soft_limit(F.col("k")).cast("long").alias("kept"))
 
 
-_SPELL = r"""
-w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(regexp_replace(coalesce(text, ''), '(https?://\S+)|(\S+@\S+)|[0-9]+', ' ', 'g')), '[a-z]{3,}'), lambda x: true) AS l FROM documents),
-t AS (SELECT doc_id, unnest(l) AS word, unnest(range(len(l))) AS pos FROM w),
-d AS (SELECT word FROM t GROUP BY word HAVING count(DISTINCT doc_id) >= 3)"""
+SPELL_WORDS = r"list_transform(list_filter(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, 'https?://(?:[a-zA-Z]|[0-9]|[$-_@.&+]|[!*\\(\\),]|(?:%[0-9a-fA-F][0-9a-fA-F]))+', '', 'g'), '\S+@\S+\.\S+', '', 'g'), '[0-9]+', '', 'g'), '[^\p{{L}}\p{{N}}_]', ' ', 'g'), '[\p{{L}}\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-zA-Z]{{3,}}')), lambda x: lower(x))"
+SPELL = rf"""
+sw AS (SELECT doc_id, {SPELL_WORDS.format("coalesce(text, '')")} AS l FROM documents),
+tok AS (SELECT doc_id, unnest(l) AS word, unnest(range(len(l))) AS pos FROM sw),
+known AS (SELECT word, count(DISTINCT doc_id) AS n FROM tok GROUP BY word HAVING count(DISTINCT doc_id) >= 3)"""
+_FOUND = rf"""{SPELL},
+bad AS (SELECT doc_id, batch, word FROM (SELECT doc_id, batch, word, row_number() OVER (PARTITION BY doc_id ORDER BY batch, word) AS r FROM (SELECT DISTINCT doc_id, pos // 100 AS batch, word FROM tok WHERE word NOT IN (SELECT word FROM known))) WHERE r <= 100),
+near AS (SELECT b.word, k.word AS suggestion, levenshtein(b.word, k.word) AS distance, k.n FROM (SELECT DISTINCT word FROM bad) b JOIN known k ON abs(length(b.word) - length(k.word)) <= 2 AND levenshtein(b.word, k.word) <= 2),
+best AS (SELECT word, suggestion, distance FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY distance, n DESC, suggestion) AS r FROM near) WHERE r = 1)"""
+
+
+def _spelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents, their words, and the dictionary: words that at least three documents have."""
+    docs = _documents(spark, sf_dir)
+    words = written(spelling.tokens(docs, "doc_id", "text"), "tokens")
+    return docs, words, written(spelling.dictionary(words, "doc_id"), "dictionary")
 
 
-@R.query(f"WITH {_SPELL} SELECT doc_id, pos // 100 AS batch, word FROM t WHERE word NOT IN (SELECT word FROM d) GROUP BY 1, 2, 3")
+@R.query(f"WITH {_FOUND} SELECT doc_id, batch, bad.word, coalesce(suggestion, '') AS suggestion FROM bad LEFT JOIN best ON best.word = bad.word")
 def a9_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that fewer than three documents have, once for every hundred words of a document: the corpus is the dictionary."""
-    clean = F.lower(F.regexp_replace("text", r"(https?://\S+)|(\S+@\S+)|[0-9]+", " "))
-    tokens = _documents(spark, sf_dir).select("doc_id", F.posexplode(F.regexp_extract_all(clean, F.lit("([a-z]{3,})"))).alias("pos", "word"))
-    seen = tokens.select("doc_id", F.floor(F.col("pos") / 100).cast("long").alias("batch"), "word").distinct()
-    dictionary = tokens.select("doc_id", "word").distinct().groupBy("word").count().where("count >= 3").select("word")
-    return seen.join(dictionary, "word", "left_anti").select("doc_id", "batch", "word")
+    """Unknown words, once for every hundred words of a document, with what was probably meant."""
+    _, words, known = _spelled(spark, sf_dir)
+    found = spelling.unknown_words(words, known, "doc_id")
+    return found.join(spelling.suggestions(found, known), "word", "left").select("doc_id", "batch", "word", F.coalesce("suggestion", F.lit("")).alias("suggestion"))
 
 
-@R.query("""WITH p AS (SELECT webpage_id, regexp_replace(coalesce(title, ''), '[^ -~]', '', 'g') AS t, regexp_replace(coalesce(meta_description, ''), '[^ -~]', '', 'g') AS d, coalesce(seo_grade, '') AS g FROM webpages)
-SELECT webpage_id, levenshtein(t, g || t) AS distance, levenshtein(left(t, 40), left(d, 40)) AS other FROM p""")
+@R.query(f"WITH {_FOUND} SELECT word, suggestion, distance FROM best")
 def a10_edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The SQL engine counts bytes, so both sides compare plain characters only.
-    t, d, g = (F.regexp_replace(F.coalesce(c, F.lit("")), "[^ -~]", "") for c in ("title", "meta_description", "seo_grade"))
-    return _pages(spark, sf_dir).select("webpage_id", F.levenshtein(t, F.concat(g, t)).cast("long").alias("distance"), F.levenshtein(F.substring(t, 1, 40), F.substring(d, 1, 40)).cast("long").alias("other"))
+    """The distance of every unknown word from what was probably meant."""
+    _, words, known = _spelled(spark, sf_dir)
+    return spelling.suggestions(spelling.unknown_words(words, known, "doc_id"), known)
 
 
 @R.query(None)
@@ -120,50 +130,43 @@ def a10_whole_edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("webpage_id", F.levenshtein(t, F.concat(g, t)).cast("long").alias("distance"), F.levenshtein(t, d).cast("long").alias("other"))
 
 
-@R.query("""SELECT webpage_id, CASE WHEN title IS NULL OR seo_grade IS NULL THEN 'low' WHEN abs(length(title) - 40) <= 1 THEN 'high' WHEN abs(length(title) - 40) <= 2 AND length(title) > 4 THEN 'medium' ELSE 'low' END AS confidence FROM webpages""")
+@R.query(f"WITH {_FOUND} SELECT DISTINCT bad.word, CASE WHEN suggestion IS NULL THEN 'low' WHEN distance <= 1 THEN 'high' WHEN distance <= 2 AND length(bad.word) > 4 THEN 'medium' ELSE 'low' END AS confidence FROM bad LEFT JOIN best ON best.word = bad.word")
 def a11_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    distance = F.abs(F.length("title") - 40)
-    known = F.col("title").isNotNull() & F.col("seo_grade").isNotNull()
-    return _pages(spark, sf_dir).select("webpage_id", F.when(~known, "low").when(distance <= 1, "high").when((distance <= 2) & (F.length("title") > 4), "medium").otherwise("low").alias("confidence"))
+    docs, words, known = _spelled(spark, sf_dir)
+    return spelling.errors(docs, "doc_id", "text", words, known).select("word", "confidence").distinct()
 
 
-@R.query("""
-WITH p AS (SELECT doc_id, coalesce(text, '') AS t, instr(lower(coalesce(text, '')), 'because') AS place FROM documents)
-SELECT doc_id, CASE WHEN place > 0 THEN CASE WHEN greatest(1, place - 40) > 1 THEN '...' ELSE '' END || substr(t, greatest(1, place - 40), least(length(t) + 1, place + 47) - greatest(1, place - 40)) || CASE WHEN least(length(t) + 1, place + 47) <= length(t) THEN '...' ELSE '' END END AS context FROM p""")
+@R.query(f"""
+WITH {_FOUND}, p AS (SELECT DISTINCT bad.doc_id, bad.word, text AS t, instr(lower(text), bad.word) AS place, length(bad.word) AS n FROM bad JOIN documents ON documents.doc_id = bad.doc_id)
+SELECT doc_id, word, place - 1 AS position, CASE WHEN place > 0 THEN CASE WHEN greatest(1, place - 40) > 1 THEN '...' ELSE '' END || substr(t, greatest(1, place - 40), least(length(t) + 1, place + n + 40) - greatest(1, place - 40))
+ || CASE WHEN least(length(t) + 1, place + n + 40) <= length(t) THEN '...' ELSE '' END END AS context FROM p""")
 def a12_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _documents(spark, sf_dir).select("doc_id", T.context(F.col("text"), F.lit("because")).alias("context"))
+    """Place and surroundings of every unknown word."""
+    docs, words, known = _spelled(spark, sf_dir)
+    return spelling.errors(docs, "doc_id", "text", words, known).select("doc_id", "word", "position", "context").distinct()
 
 
-@R.query(f"SELECT webpage_id, CAST({_URL} AS DOUBLE) AS score FROM webpages WHERE url IS NOT NULL")
+@R.query(f"SELECT webpage_id, CAST({URL} AS DOUBLE) AS score FROM webpages WHERE url IS NOT NULL")
 def a14_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).where("url is not null").select("webpage_id", S.audit_url(F.col("url")).alias("score"))
 
 
-@R.query(rf"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), b AS (SELECT doc_id, {_WORDS.format("text")} AS n, len(regexp_extract_all(text, '[0-9]+')) AS s, len(regexp_extract_all(text, '[.!?]{{2,}}')) AS g, {_EASE} AS e FROM d),
-r AS (SELECT *, CASE WHEN n > 0 THEN s * 100.0 / n ELSE 0 END AS ps, CASE WHEN n > 0 THEN g * 100.0 / n ELSE 0 END AS pg FROM b)
-SELECT doc_id, CAST(greatest(0.0, least(10.0, 10.0 - CASE WHEN ps > 2 THEN 5 WHEN ps > 1 THEN 3 WHEN ps > 0.5 THEN 2 WHEN ps > 0 THEN 1 ELSE 0 END - CASE WHEN pg > 1 THEN 4 WHEN pg > 0.5 THEN 2 WHEN pg > 0 THEN 1 ELSE 0 END
-  + CASE WHEN e >= 60 THEN 1 WHEN e < 30 THEN -2 ELSE 0 END - CASE WHEN n < 100 THEN 3 WHEN n < 300 THEN 1 ELSE 0 END)) AS DOUBLE) AS score FROM r""")
-def a20_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    return _documents(spark, sf_dir).select("doc_id", T.quality_score(T.word_count(t), F.regexp_count(t, F.lit("[0-9]+")), F.regexp_count(t, F.lit("[.!?]{2,}")), T.readability(t)).alias("score"))
-
-
-_GRADE = "CASE WHEN {0} >= 95 THEN 'A+' WHEN {0} >= 90 THEN 'A' WHEN {0} >= 85 THEN 'B+' WHEN {0} >= 80 THEN 'B' WHEN {0} >= 70 THEN 'C' WHEN {0} >= 60 THEN 'D' ELSE 'F' END"
-_CONTENT = "greatest(0.0, 10.0 - CASE WHEN word_count < 300 THEN 5 ELSE 0 END)"
+QUALITY = """CAST(greatest(0.0, least(10.0, 10.0 - CASE WHEN {words} = 0 THEN 0 WHEN {spelling} * 100.0 / {words} > 2 THEN 5 WHEN {spelling} * 100.0 / {words} > 1 THEN 3 WHEN {spelling} * 100.0 / {words} > 0.5 THEN 2 WHEN {spelling} > 0 THEN 1 ELSE 0 END
+  - CASE WHEN {words} = 0 THEN 0 WHEN {grammar} * 100.0 / {words} > 1 THEN 4 WHEN {grammar} * 100.0 / {words} > 0.5 THEN 2 WHEN {grammar} > 0 THEN 1 ELSE 0 END
+  + CASE WHEN {ease} >= 60 THEN 1 WHEN {ease} < 30 THEN -2 ELSE 0 END - CASE WHEN {words} < 100 THEN 3 WHEN {words} < 300 THEN 1 ELSE 0 END)) AS DOUBLE)"""
 
 
-@R.query(f"""
-WITH p AS (SELECT webpage_id, CAST({_TITLE} AS DOUBLE) AS t, CAST({_DESCRIPTION} AS DOUBLE) AS d, CAST({_URL} AS DOUBLE) AS u, CAST({_CONTENT} AS DOUBLE) AS c FROM (SELECT * REPLACE (coalesce(url, '') AS url) FROM webpages)),
-s AS (SELECT webpage_id, round((t * 0.1::DOUBLE + d * 0.1::DOUBLE + c * 0.15::DOUBLE + 0 + u * 0.05::DOUBLE) * 10, 9) AS x FROM p)
-SELECT webpage_id, CAST(round_even(x, 0) AS DOUBLE) AS score, {_GRADE.format("round_even(x, 0)")} AS grade FROM s""")
-def a21_score_and_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    url = F.coalesce("url", F.lit(""))
-    parts = {"title": S.audit_title(F.col("title")), "meta": S.audit_description(F.col("meta_description")), "content": T.content_score(F.col("word_count"), F.lit(False), F.lit(50.0)), "url": S.audit_url(url)}
-    scored = _pages(spark, sf_dir).select("webpage_id", S.total_score(parts, stored=False).alias("score"))
-    return scored.withColumn("grade", S.grade(F.col("score")))
+@R.query(rf"""WITH {_FOUND}, d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), c AS (SELECT doc_id, count(*) AS spelling FROM bad GROUP BY 1), m AS (SELECT doc_id, {WORDS.format("text")} AS words, {EASE} AS ease, {GRAMMAR} AS k FROM d),
+b AS (SELECT m.doc_id, words, ease, {GRAMMAR_KEPT} AS grammar, coalesce(spelling, 0) AS spelling FROM m LEFT JOIN c USING (doc_id)) SELECT doc_id, {QUALITY.format(words="words", spelling="spelling", grammar="grammar", ease="ease")} AS score FROM b""")
+def a20_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of documents by their spelling and grammar errors, readability and length."""
+    docs, words, known = _spelled(spark, sf_dir)
+    misspelt = spelling.unknown_words(words, known, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("spelling"))
+    t = F.col("text")
+    return docs.join(misspelt, "doc_id", "left").select("doc_id", T.quality_score(T.word_count(t), F.coalesce("spelling", F.lit(0)), T.soft_limit(T.grammar_counts(t)), T.readability(t)).alias("score"))
 
 
+GRADE = "CASE WHEN {0} >= 95 THEN 'A+' WHEN {0} >= 90 THEN 'A' WHEN {0} >= 85 THEN 'B+' WHEN {0} >= 80 THEN 'B' WHEN {0} >= 70 THEN 'C' WHEN {0} >= 60 THEN 'D' ELSE 'F' END"
 _DUPES = """
 t AS (SELECT lower(trim(title)) AS k, count(*) AS n FROM webpages WHERE trim(title) <> '' GROUP BY 1),
 e AS (SELECT lower(trim(meta_description)) AS k, count(*) AS n FROM webpages WHERE trim(meta_description) <> '' GROUP BY 1)"""
@@ -173,7 +176,7 @@ e AS (SELECT lower(trim(meta_description)) AS k, count(*) AS n FROM webpages WHE
 SELECT webpage_id,
   CAST(CASE WHEN coalesce(length(title), 0) = 0 THEN 0 ELSE greatest(0, 10 - CASE WHEN length(title) < 30 THEN 3 ELSE 0 END - CASE WHEN length(title) > 60 THEN 2 ELSE 0 END - CASE WHEN coalesce(t.n, 0) > 1 THEN 3 ELSE 0 END) END AS DOUBLE) AS title_score,
   CAST(CASE WHEN coalesce(length(meta_description), 0) = 0 THEN 0 ELSE greatest(0, 10 - CASE WHEN length(meta_description) < 80 THEN 3 ELSE 0 END - CASE WHEN length(meta_description) > 160 THEN 2 ELSE 0 END - CASE WHEN coalesce(e.n, 0) > 1 THEN 3 ELSE 0 END) END AS DOUBLE) AS description_score,
-  CAST({_STORED_URL} AS DOUBLE) AS url_score, CAST(greatest(0, 10 - CASE WHEN word_count < 300 THEN 4 ELSE 0 END) AS DOUBLE) AS content_score,
+  CAST({STORED_URL} AS DOUBLE) AS url_score, CAST(greatest(0, 10 - CASE WHEN word_count < 300 THEN 4 ELSE 0 END) AS DOUBLE) AS content_score,
   CAST(greatest(0, 10 - least(5, coalesce(t.n, 1) - 1) - least(5, coalesce(e.n, 1) - 1)) AS DOUBLE) AS duplicate_score
 FROM webpages w LEFT JOIN t ON t.k = lower(trim(title)) LEFT JOIN e ON e.k = lower(trim(meta_description))""")
 def m1_stored_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,12 +254,23 @@ def d4_similar_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.join(size, "b").where(F.col("jaccard") >= duplicates.content_threshold(F.col("n"))).select(F.col("a").alias("earlier"), F.col("b").alias("later"), F.round("jaccard", 6).alias("score"))
 
 
+_DENSITY = r"""
+dw AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS l FROM documents),
+dt AS (SELECT doc_id, len(l) AS n, unnest(l) AS word, unnest(range(len(l))) AS pos FROM dw),
+dc AS (SELECT doc_id, any_value(n) AS n, word, count(*) AS k, min(pos) AS first FROM dt GROUP BY doc_id, word),
+dr AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k DESC, first) AS rank FROM dc),
+df AS (SELECT doc_id, max(CASE WHEN rank <= 10 AND length(word) > 3 AND k * 100.0 / n > 5 THEN 1 ELSE 0 END) AS hit FROM dr GROUP BY 1),
+density AS (SELECT dw.doc_id, CASE WHEN length(text) < 100 OR len(l) < 50 THEN true ELSE coalesce(hit, 0) = 1 END AS low_density FROM dw LEFT JOIN df ON df.doc_id = dw.doc_id)"""
+
+
 @R.query(rf"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), b AS (SELECT doc_id, {_WORDS.format("text")} AS n, {_EASE} AS e FROM d)
-SELECT doc_id, n < 300 AS too_short, e < 30 AS hard_to_read, CAST(10 - CASE WHEN n < 300 THEN 5 ELSE 0 END - CASE WHEN e < 30 THEN 1 ELSE 0 END AS DOUBLE) AS score FROM b""")
+WITH {_DENSITY}, d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), b AS (SELECT doc_id, text, {WORDS.format("text")} AS n, {EASE} AS e FROM d)
+SELECT doc_id, n AS words, text = '' OR n < 300 AS too_short, text = '' OR e < 30 AS hard_to_read, text = '' OR low_density AS low_density, CASE WHEN text = '' THEN 0.0 ELSE CAST(10 - CASE WHEN n < 300 THEN 5 ELSE 0 END - CASE WHEN e < 30 THEN 2 ELSE 0 END - CASE WHEN low_density THEN 1 ELSE 0 END AS DOUBLE) END AS score FROM b JOIN density USING (doc_id)""")
 def a6_content_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, issues and score of contents; empty ones have every issue and score 0."""
     n, e = T.word_count(F.col("text")), T.readability(F.col("text"))
-    return _documents(spark, sf_dir).select("doc_id", (n < 300).alias("too_short"), (e < 30).alias("hard_to_read"), T.content_score(n, F.lit(False), e).alias("score"))
+    d, empty = _documents(spark, sf_dir).withColumn("low", T.low_density("text")), F.col("text") == ""
+    return d.select("doc_id", n.cast("long").alias("words"), (empty | (n < 300)).alias("too_short"), (empty | (e < 30)).alias("hard_to_read"), (empty | F.col("low")).alias("low_density"), F.when(empty, 0.0).otherwise(T.content_score(n, F.col("low"), e)).alias("score"))
 
 
 @R.query(None)
@@ -274,12 +288,4 @@ def a22_grades_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).rollup("website_url", "seo_grade").agg(F.count(F.lit(1)).alias("pages"), F.round(F.avg("seo_score"), 6).alias("avg_score"))
 
 
-@R.query("""SELECT webpage_id, list_filter([CASE WHEN coalesce(length(title), 0) = 0 THEN 'Missing title tag' END, CASE WHEN coalesce(length(meta_description), 0) = 0 THEN 'Missing meta description' END,
- CASE WHEN status_code >= 400 THEN CAST(status_code AS VARCHAR) || ' broken links' END, CASE WHEN content_type IS NULL THEN 'Missing canonical tag' END, CASE WHEN word_count < 300 THEN 'Content too short' END], lambda x: x IS NOT NULL)::VARCHAR AS issues FROM webpages""")
-def m13_critical_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    broken = F.when(F.col("status_code") >= 400, F.col("status_code")).otherwise(0)
-    issues = S.critical_issues(F.col("title"), F.col("meta_description"), F.lit(1), broken, F.col("content_type").isNotNull(), F.col("word_count"))
-    return _pages(spark, sf_dir).select("webpage_id", F.concat(F.lit("["), F.array_join(issues, ", "), F.lit("]")).alias("issues"))
-
-
 QUERIES, SQL = R.QUERIES, R.SQL

@@ -77,19 +77,16 @@ def s7_distinct_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "webpages").where("url is not null").groupBy("url").agg(F.min("webpage_id").alias("first_seen"))
 
 
-_HREFS = ("/a/b", "//cdn.example/x", "?p=2", "#top", "next.html", "https://other.example/y", "mailto:me@site.example")
+_HREFS = ("/a/b", "//cdn.example/x", "?p=2", "#top", "next.html", "https://other.example/y", "mailto:me@site.example", "/a/../b/./c?q=../x", "../up#f", "x/./y/..", "./", "../../../../../../../top")
+_HREF_LIST = ", ".join(f"'{h}'" for h in _HREFS)
 
 
-@R.query(r"""
-WITH h AS (SELECT webpage_id, url AS base, unnest(['/a/b', '//cdn.example/x', '?p=2', '#top', 'next.html', 'https://other.example/y', 'mailto:me@site.example']) AS href FROM webpages WHERE url IS NOT NULL)
-SELECT webpage_id, href, CASE
-  WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href
-  WHEN starts_with(href, '//') THEN regexp_extract(base, '^([a-zA-Z]+:)', 1) || href
-  WHEN starts_with(href, '/') THEN regexp_extract(base, '^([a-zA-Z]+://[^/?#]+)', 1) || href
-  WHEN starts_with(href, '?') THEN regexp_replace(base, '[?#].*$', '') || href
-  WHEN starts_with(href, '#') THEN regexp_replace(base, '#.*$', '') || href
-  ELSE CASE WHEN regexp_extract(base, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1) = '' THEN regexp_extract(base, '^([a-zA-Z]+://[^/?#]+)', 1) || '/'
-       ELSE regexp_replace(regexp_replace(base, '[?#].*$', ''), '^([a-zA-Z]+://[^/]+.*/)[^/]*$', '\1') END || href END AS link FROM h""")
+@R.query(rf"""
+WITH h AS (SELECT webpage_id, url AS base, {_ORIGIN.format("url")} AS o, coalesce(nullif(regexp_extract(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1), '^(.*/)[^/]*$', 1), ''), '/') AS folder, unnest([{_HREF_LIST}]) AS href FROM webpages WHERE url IS NOT NULL)
+SELECT webpage_id, href, CASE href
+  WHEN '/a/b' THEN o || href WHEN '//cdn.example/x' THEN regexp_extract(base, '^([a-zA-Z]+:)', 1) || href WHEN '?p=2' THEN regexp_replace(base, '[?#].*$', '') || href WHEN '#top' THEN regexp_replace(base, '#.*$', '') || href
+  WHEN 'next.html' THEN o || folder || href WHEN '/a/../b/./c?q=../x' THEN o || '/b/c?q=../x' WHEN '../up#f' THEN o || CASE WHEN folder = '/' THEN '/' ELSE regexp_replace(folder, '[^/]+/$', '') END || 'up#f'
+  WHEN 'x/./y/..' THEN o || folder || 'x/' WHEN './' THEN o || folder WHEN '../../../../../../../top' THEN o || '/top' ELSE href END AS link FROM h""")
 def s8_resolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     hrefs = table(spark, sf_dir, "webpages").where("url is not null").select("webpage_id", "url", F.explode(F.array(*[F.lit(h) for h in _HREFS])).alias("href"))
     return hrefs.select("webpage_id", "href", urls.resolve(F.col("url"), F.col("href")).alias("link"))
@@ -97,8 +94,8 @@ def s8_resolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query(
     r"""WITH l AS (SELECT webpage_id, url AS link FROM webpages UNION ALL SELECT webpage_id, regexp_replace(url, '[?#].*$', '') || '.PDF?x=1' FROM webpages UNION ALL SELECT webpage_id, 'mailto:' || webpage_id FROM webpages)
-SELECT webpage_id, link, coalesce(length(trim(link)) >= 4 AND NOT regexp_matches(lower(trim(link)), '^(mailto:|tel:|javascript:|ftp:|#|data:)')
-  AND NOT regexp_matches(regexp_replace(lower(trim(link)), '[?#].*$', ''), '\.("""
+SELECT webpage_id, link, coalesce(length(link) >= 4 AND NOT regexp_matches(link, '^(mailto:|tel:|javascript:|ftp:|#|data:)')
+  AND NOT regexp_matches(regexp_replace(lower(link), '[?#].*$', ''), '\.("""
     + "|".join(urls.FILE_ENDINGS)
     + r""")$'), false) AS checked FROM l"""
 )

@@ -1,10 +1,13 @@
 """Page queries that SQL can't follow, against brute force."""
 
 import random
+from urllib.parse import urljoin
 
 import pytest
+from pyspark.sql import functions as F
 
-from auditlake.operators import duplicates
+from auditlake.functions import html, urls
+from auditlake.operators import duplicates, page_facts, spelling
 from auditlake.plans import page_queries
 
 
@@ -51,3 +54,65 @@ def test_similar_texts_against_brute_force(spark, tmp_path, name, column, least)
     got = [tuple(r) for r in page_queries.QUERIES[name](spark, str(tmp_path)).select("website_url", "a", "b", "score").collect()]
     assert len(want) > 50 and len(got) == len(set(got))
     assert set(got) == want
+
+
+def test_links_resolve_as_the_standard_says(spark):
+    bases = ["https://a.example", "https://a.example/", "https://a.example/b/c/d", "https://a.example/b/c/", "http://a.example:8080/b//c?q=/x/y#f", "https://a.example/b/../c/d"]
+    hrefs = ["x", "./x", "../x", "../../x", "../../../x", "x/", "x/../y", "x/./y", "x/..", ".", "..", "./", "../", "/", "/x/../../y", "//c.example/z", "?n=1", "#f", "x?a=../b", "/x//y", "http://o.example/../q", "mailto:a@b.example", "a/b/c/../../d", "x#../y"]
+    rows = [(b, h) for b in bases for h in hrefs]
+    got = {(r.b, r.h): r.u for r in spark.createDataFrame(rows, "b string, h string").withColumn("u", urls.resolve(F.col("b"), F.col("h"))).collect()}
+    assert {k: v for k, v in got.items() if v != urljoin(*k)} == {}
+
+
+def test_content_falls_on_from_place_to_body_to_all():
+    read = lambda page: html.facts(page)["content"]
+    assert read("<title>A long enough title</title><article>Hi</article>") == "A long enough title Hi"
+    assert read("<article>Hi</article><body>Ho</body>") == ""
+    assert read("<body><article>Hi</article><p>and what follows</p></body>") == "Hi and what follows"
+    assert read("<body><p>first words of the body</p><main>ten letters</main></body>") == "ten letters"
+    assert html.facts(None)["error"] == html.facts("  ")["error"] == "empty page"
+
+
+def test_link_results(spark):
+    links = [("https://a.example/x%d" % i, "") for i in range(200)]
+    df = spark.createDataFrame([(1, links), (2, []), (3, None)], "k int, links array<struct<url:string,rel:string>>")
+    checked = page_facts.checked_links(df, "k", "links")
+    assert checked.count() == 150
+    answers = spark.createDataFrame([("https://a.example/x0", 404, None), ("https://a.example/x1", 302, None), ("https://a.example/x2", None, "timeout"), ("https://a.example/x2", None, "timeout")], "link string, status int, problem string")
+    kinds = {r.place: r.kind for r in page_facts.link_results(checked, answers).collect()}
+    assert len(kinds) == 150 and [kinds[i] for i in range(4)] == ["client_error", "redirect", "timeout", "unknown_error"]
+
+
+def test_suggestions_against_brute_force(spark):
+    rnd = random.Random(6)
+    letters = "abcde"
+    known = {"".join(rnd.choice(letters) for _ in range(rnd.choice([3, 5, 8, 23, 25, 30]))): rnd.randrange(3, 9) for _ in range(150)}
+    asked = set()
+    for word in sorted(known) * 2:
+        chars = list(word)
+        for _ in range(rnd.randrange(1, 4)):
+            at = rnd.randrange(len(chars))
+            chars[at : at + rnd.randrange(2)] = rnd.choice(["", "x", "ab"])
+        asked.add("".join(chars))
+    asked -= known.keys()
+    want = {}
+    for word in asked:
+        near = [(levenshtein(word, k), -n, k) for k, n in known.items() if abs(len(k) - len(word)) <= 2]
+        near = [x for x in near if x[0] <= 2]
+        if near:
+            want[word] = (min(near)[2], min(near)[0])
+    words = spark.createDataFrame([(w,) for w in sorted(asked)] * 2, "word string")
+    got = {r.word: (r.suggestion, r.distance) for r in spelling.suggestions(words, spark.createDataFrame(sorted(known.items()), "word string, n long")).collect()}
+    assert got == want and len(want) > 100
+    assert spelling.suggestions(words.limit(0), spark.createDataFrame([], "word string, n long")).count() == 0
+
+
+def test_spelling_edges(spark):
+    texts = [(1, None, 0), (2, "", 0), (3, "Lamps and lamps and lmaps, see https://x.example/lmaps or me@lmaps.example 12lmaps", 0), (4, "lmaps " * 250, 0), (5, " ".join("w" + a + b for a in "abcdefghijklmnopqrst" for b in "abcdefghij"), 0)]
+    df = spark.createDataFrame(texts, "k int, text string, word int")
+    words = spelling.tokens(df, "k", "text")
+    known = spark.createDataFrame([("lamps", 5), ("and", 9), ("see", 3)], "word string, n long")
+    rows = [tuple(r) for r in spelling.errors(df, "k", "text", words, known).orderBy("k", "batch").collect()]
+    assert rows[0] == (3, 0, "lmaps", "lamps", "medium", 20, "Lamps and lamps and lmaps, see https://x.example/lmaps or me@lmap...")
+    assert [(r[0], r[1]) for r in rows if r[0] == 4] == [(4, 0), (4, 1), (4, 2)]
+    assert sum(r[0] == 5 for r in rows) == 100 and {r[2] for r in rows if r[0] == 5 and r[4] == "high"} <= {"wee"}
