@@ -237,21 +237,25 @@ def d5_title_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SETS = r"""
-w AS (SELECT min(doc_id) AS id, l, len(l) AS n FROM (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS l FROM documents WHERE length(text) > 100) GROUP BY l HAVING len(l) > 0),
+r AS (SELECT doc_id, list_sort(list_distinct(v)) AS l, len(v) AS words FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS v FROM documents WHERE length(text) > 100)),
+m AS (SELECT doc_id, words, min(doc_id) OVER (PARTITION BY l) AS class_id, count(*) OVER (PARTITION BY l) AS copies FROM r WHERE len(l) > 0),
+w AS (SELECT min(doc_id) AS id, l, len(l) AS n FROM r GROUP BY l HAVING len(l) > 0),
 t AS (SELECT id, n, unnest(l) AS x FROM w), f AS (SELECT x, count(*) AS c FROM t GROUP BY 1),
 p AS (SELECT id, n, x FROM (SELECT t.id, t.n, t.x, row_number() OVER (PARTITION BY t.id ORDER BY f.c, t.x) AS r FROM t JOIN f USING (x)) WHERE r <= n - ceil(0.7 * n) + 1),
 c AS (SELECT DISTINCT a.id AS a, b.id AS b FROM p a JOIN p b ON a.x = b.x AND a.id < b.id AND a.n >= 0.7 * b.n AND b.n >= 0.7 * a.n),
-j AS (SELECT c.a, c.b, u.n AS na, v.n AS nb, len(list_intersect(u.l, v.l)) * 100.0::DOUBLE / (u.n + v.n - len(list_intersect(u.l, v.l))) AS s FROM c JOIN w u ON u.id = c.a JOIN w v ON v.id = c.b)"""
+j AS (SELECT c.a, c.b, len(list_intersect(u.l, v.l)) * 100.0::DOUBLE / (u.n + v.n - len(list_intersect(u.l, v.l))) AS s FROM c JOIN w u ON u.id = c.a JOIN w v ON v.id = c.b),
+k AS (SELECT a AS x, b AS y, s FROM j WHERE s >= 70 - 1e-9 UNION ALL SELECT b, a, s FROM j WHERE s >= 70 - 1e-9)"""
 
 
-@R.query(f"WITH {_SETS} SELECT a AS earlier, b AS later, round(s, 6) AS score FROM j WHERE s >= 70 - 1e-9 AND s >= CASE WHEN nb < 100 THEN 85 WHEN nb > 500 THEN 70 ELSE 75 END")
+@R.query(f"""WITH {_SETS}
+SELECT doc_id, class_id, copies, count(*) FILTER (s >= limit_) AS links, count(*) FILTER (s >= limit_ AND y < class_id) AS earlier, round(max(CASE WHEN s >= limit_ THEN s END), 6) AS best
+FROM (SELECT *, CASE WHEN words < 100 THEN 85 WHEN words > 500 THEN 70 ELSE 75 END - 1e-9 AS limit_ FROM m) m LEFT JOIN k ON k.x = m.class_id GROUP BY ALL""")
 def d4_similar_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents like an earlier one, by the threshold of the later one's length (its distinct words)."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)")))
-    docs = table(spark, sf_dir, "documents").where(F.length("text") > 100).select("doc_id", words.alias("w"))
-    pairs = duplicates.similar_sets(docs, "doc_id", "w", 70)
-    size = docs.select(F.col("doc_id").alias("b"), F.size("w").alias("n"))
-    return pairs.join(size, "b").where(F.col("jaccard") >= duplicates.content_threshold(F.col("n"))).select(F.col("a").alias("earlier"), F.col("b").alias("later"), F.round("jaccard", 6).alias("score"))
+    """One row a document of more than 100 characters: its class of equal word sets, and the other classes that it is like by the threshold of its own number of words; how many of those are earlier."""
+    every = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"))
+    docs = spread(table(spark, sf_dir, "documents").where(F.length("text") > 100).select("doc_id", "text"))
+    docs = written(docs.select("doc_id", F.size(every).alias("words"), F.array_sort(F.array_distinct(every)).alias("w")).where("words > 0"), "word_sets")
+    return duplicates.similar_contents(docs, "doc_id", "words", "w", duplicates.CONTENT_THRESHOLDS)
 
 
 _DENSITY = r"""

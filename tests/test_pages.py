@@ -116,3 +116,28 @@ def test_spelling_edges(spark):
     assert rows[0] == (3, 0, "lmaps", "lamps", "medium", 20, "Lamps and lamps and lmaps, see https://x.example/lmaps or me@lmap...")
     assert [(r[0], r[1]) for r in rows if r[0] == 4] == [(4, 0), (4, 1), (4, 2)]
     assert sum(r[0] == 5 for r in rows) == 100 and {r[2] for r in rows if r[0] == 5 and r[4] == "high"} <= {"wee"}
+
+
+def test_similar_contents_against_brute_force(spark):
+    rnd = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(160):
+        base = random.Random(rnd.randrange(12)).sample(vocabulary, 30)
+        for _ in range(rnd.randrange(6)):
+            base[rnd.randrange(30)] = rnd.choice(vocabulary)
+        rows.append((i, rnd.choice([40, 99, 100, 500, 501]), sorted(set(base)), "x"))
+    rows += [(200 + i, 30, rows[3][2], "copy") for i in range(20)] + [(300, 0, [], "")]
+    df = spark.createDataFrame(rows, "k long, n int, w array<string>, class_id string")
+    limit = lambda n: 85 if n < 100 else 70 if n > 500 else 75
+    first = {}
+    for k, _, w, _ in rows:
+        first.setdefault(tuple(w), k)
+    want = {}
+    for k, n, w, _ in rows:
+        if w:
+            scores = {c: 100 * len(set(w) & set(v)) / len(set(w) | set(v)) for v, c in first.items() if v and v != tuple(w)}
+            near = {c: s for c, s in scores.items() if s >= limit(n) - 1e-9}
+            want[k] = (first[tuple(w)], sum(r[2] == w for r in rows), len(near), sum(c < first[tuple(w)] for c in near), round(max(near.values()), 6) if near else None)
+    got = {r.k: (r.class_id, r.copies, r.links, r.earlier, r.best) for r in duplicates.similar_contents(df.where("size(w) > 0").drop("class_id"), "k", "n", "w", duplicates.CONTENT_THRESHOLDS).collect()}
+    assert got == want and sum(w[2] for w in want.values()) > 200
