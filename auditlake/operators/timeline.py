@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions.rounding import half_up
+from auditlake.operators.ordered import CHUNK, chunked, ranked, scan
 
 #: Milliseconds and factor of the back-off.
 BACKOFF = (2000, 2, 30000)
@@ -19,23 +20,27 @@ def remaining_seconds(elapsed_ms: Column, progress: Column) -> Column:
 
 
 def failure_runs(events: DataFrame, key: str, order: list[str], failed: Column) -> DataFrame:
-    """``events`` with consecutive failures so far, the back-off in ms that they cause, and whether the key is blocked."""
+    """``events`` with consecutive failures so far, the back-off in ms that they cause, and whether the key is blocked.
+
+    Failures since the last success are all failures so far less those up to that success; both are running values,
+    so no key is sorted in one task. An unknown outcome is a success.
+    """
     first, times, most = BACKOFF
-    w = Window.partitionBy(key).orderBy(*order)
-    # A run is what lies between two successes; its rows are counted within it.
-    marked = events.withColumn("__ok", F.when(failed, 0).otherwise(1)).withColumn("__run", F.sum("__ok").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = Window.partitionBy(key, "__run").orderBy(*order)
-    counted = marked.withColumn("failures", F.sum(1 - F.col("__ok")).over(inside.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
+    chunks = chunked(events.withColumn("__bad", F.coalesce(failed, F.lit(False))), key, order)
+    summed = scan(chunks, key, order, {"__sum": ("sum", F.col("__bad").cast("long"))})
+    since = scan(summed, key, order, {"__base": ("max", F.when(~F.col("__bad"), F.col("__sum")))})
+    counted = since.withColumn("failures", (F.col("__sum") - F.coalesce("__base", F.lit(0))).cast("long"))
     backoff = F.when(F.col("failures") > 0, F.least(F.lit(first) * F.pow(F.lit(times), F.least("failures", F.lit(10))), F.lit(most))).otherwise(0).cast("long")
-    return counted.withColumn("backoff_ms", backoff).withColumn("blocked", (F.col("failures") > 10) | (F.col("backoff_ms") >= most)).drop("__ok", "__run")
+    return counted.withColumn("backoff_ms", backoff).withColumn("blocked", (F.col("failures") > 10) | (F.col("backoff_ms") >= most)).drop("__bad", "__sum", "__base", CHUNK)
 
 
 def sessions(events: DataFrame, key: str, ts: str, idle_minutes: int = 30) -> DataFrame:
     """(key, session, began, ended, events): a session ends when nothing follows for more than ``idle_minutes``."""
-    w = Window.partitionBy(key).orderBy(ts)
-    gap = F.col(ts) - F.lag(ts).over(w) > F.expr(f"INTERVAL {idle_minutes} MINUTES")
-    numbered = events.withColumn("session", F.sum(F.when(gap, 1).otherwise(0)).over(w.rangeBetween(Window.unboundedPreceding, 0)).cast("long"))
-    return numbered.groupBy(key, "session").agg(F.min(ts).alias("began"), F.max(ts).alias("ended"), F.count(F.lit(1)).alias("events"))
+    moments = events.groupBy(key, ts).agg(F.count(F.lit(1)).alias("n"))
+    before = scan(chunked(moments, key, [ts]), key, [ts], {"__before": ("max", F.col(ts))}, exclusive=True)
+    gap = F.col(ts) - F.col("__before") > F.expr(f"INTERVAL {idle_minutes} MINUTES")
+    numbered = scan(before, key, [ts], {"session": ("sum", F.when(gap, 1).otherwise(0).cast("long"))})
+    return numbered.groupBy(key, "session").agg(F.min(ts).alias("began"), F.max(ts).alias("ended"), F.sum("n").alias("events"))
 
 
 def over_limit(events: DataFrame, key: str, ts: str, most: int, minutes: int = 15) -> DataFrame:
@@ -47,14 +52,14 @@ def concurrency(spans: DataFrame, began: str, ended: str, keys: list[str]) -> Da
     """(*keys, moment, active): how many spans are open after each change; spans without an end never close."""
     ups = spans.where(F.col(began).isNotNull()).select(*keys, F.col(began).alias("moment"), F.lit(1).alias("d"))
     downs = spans.where(F.col(began).isNotNull() & F.col(ended).isNotNull()).select(*keys, F.col(ended).alias("moment"), F.lit(-1).alias("d"))
-    changes = ups.unionByName(downs).groupBy(*keys, "moment").agg(F.sum("d").alias("d"))
-    return changes.select(*keys, "moment", F.sum("d").over(Window.partitionBy(*keys).orderBy("moment").rowsBetween(Window.unboundedPreceding, 0)).alias("active"))
+    changes = ups.unionByName(downs).groupBy(*keys, "moment").agg(F.sum("d").alias("d")).withColumn("__of", F.struct(*keys))
+    return scan(chunked(changes, "__of", ["moment"]), "__of", ["moment"], {"active": ("sum", F.col("d"))}).select(*keys, "moment", "active")
 
 
 def latest_state(events: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
     """``events`` with the last known value of each column so far (null values change nothing)."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return events.select(key, *order, *[F.last(c, ignorenulls=True).over(w).alias(c) for c in columns])
+    known = scan(chunked(events.select(key, *order, *columns), key, order), key, order, {f"__{c}": ("last", F.col(c)) for c in columns})
+    return known.select(key, *order, *[F.col(f"__{c}").alias(c) for c in columns])
 
 
 def error_class(message: Column) -> Column:
@@ -78,10 +83,8 @@ def paced(requests: DataFrame, domain: str, ts: str, gap_ms: int = 2000) -> Data
 
     scheduled_k = max over i <= k of (ts_i + (k - i) * gap), a running maximum; no sequential state is needed.
     """
-    w = Window.partitionBy(domain).orderBy(ts)
-    k = F.row_number().over(w) - 1
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
-    numbered = requests.select(domain, ts, us.alias("us"), k.alias("k"))
-    lead = F.max(F.col("us") - F.col("k") * (gap_ms * 1000)).over(Window.partitionBy(domain).orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
-    return numbered.select(domain, ts, F.timestamp_micros(lead + F.col("k") * (gap_ms * 1000)).cast("timestamp_ntz").alias("scheduled"))
-
+    chunks = chunked(requests.select(domain, ts), domain, [ts])
+    gap = gap_ms * 1000
+    numbered = ranked(chunks, domain, [ts]).withColumn("__k", F.col("k") - 1)
+    led = scan(numbered, domain, [ts], {"__lead": ("max", F.unix_micros(F.col(ts).cast("timestamp")) - F.col("__k") * gap)})
+    return led.select(domain, ts, F.timestamp_micros(F.col("__lead") + F.col("__k") * gap).cast("timestamp_ntz").alias("scheduled"))

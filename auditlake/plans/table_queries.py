@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions.rounding import half_even
 from auditlake.operators import records, timeline
+from auditlake.operators.ordered import chunked, ranked
 from auditlake.operators.skew import State, tree_aggregate
 from auditlake.plans.registry import Registry
 from auditlake.session import table
@@ -253,8 +254,8 @@ def t1_remaining_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH k AS (SELECT webpage_id, user_activity_id, row_number() OVER w AS k, count(*) OVER (PARTITION BY user_activity_id) AS n FROM webpages WINDOW w AS (PARTITION BY user_activity_id ORDER BY received_at, webpage_id))
 SELECT webpage_id, CAST(50 + floor(k * 1.0::DOUBLE / n * 50 + 0.5) AS BIGINT) AS progress FROM k WHERE k % 25 = 0 OR k = n""")
 def t2_progress_emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mine = Window.partitionBy("user_activity_id")
-    rows = table(spark, sf_dir, "webpages").select("webpage_id", F.row_number().over(mine.orderBy("received_at", "webpage_id")).alias("k"), F.count(F.lit(1)).over(mine).alias("n"))
+    order = ["received_at", "webpage_id"]
+    rows = ranked(chunked(table(spark, sf_dir, "webpages").select("webpage_id", "user_activity_id", "received_at"), "user_activity_id", order), "user_activity_id", order, "k", "n")
     return rows.where("k % 25 = 0 or k = n").select("webpage_id", (F.lit(50) + F.floor(F.col("k") / F.col("n") * 50 + 0.5)).alias("progress"))
 
 
@@ -310,7 +311,9 @@ def t13_concurrency(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.query("SELECT user_id, activity_id, row_number() OVER (PARTITION BY user_id ORDER BY crawl_count DESC NULLS LAST, activity_id) AS turn FROM (SELECT user_id, activity_id, max(crawl_count) AS crawl_count FROM activities GROUP BY 1, 2)")
 def t14_priority_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     once = table(spark, sf_dir, "activities").groupBy("user_id", "activity_id").agg(F.max("crawl_count").alias("c"))
-    return once.select("user_id", "activity_id", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc_nulls_last("c"), "activity_id")).alias("turn"))
+    order = ["__last", "activity_id"]
+    ordered = chunked(once.select("user_id", "activity_id", F.coalesce(-F.col("c"), F.lit(1)).alias("__last")), "user_id", order)
+    return ranked(ordered, "user_id", order, "turn").select("user_id", "activity_id", "turn")
 
 
 @R.query("""

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.functions import urls
 from auditlake.functions.rounding import first_nonblank
+from auditlake.operators.ordered import chunked, ranked
 from auditlake.plans.registry import Registry
 from auditlake.session import table
 from auditlake.sources import feeds
@@ -113,8 +114,7 @@ def s9_checked_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH r AS (SELECT webpage_id, website_url, row_number() OVER (PARTITION BY website_url ORDER BY webpage_id) AS k, count(*) OVER (PARTITION BY website_url) AS n FROM webpages)
 SELECT webpage_id, website_url, CAST(floor((k - 1) / least(100, ceil(n / 10.0))) AS BIGINT) AS batch FROM r""")
 def s10_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    site = Window.partitionBy("website_url")
-    rows = table(spark, sf_dir, "webpages").select("webpage_id", "website_url", F.row_number().over(site.orderBy("webpage_id")).alias("k"), F.count(F.lit(1)).over(site).alias("n"))
+    rows = ranked(chunked(table(spark, sf_dir, "webpages").select("webpage_id", "website_url"), "website_url", ["webpage_id"]), "website_url", ["webpage_id"], "k", "n")
     size = F.least(F.lit(100), F.ceil(F.col("n") / 10.0))
     return rows.select("webpage_id", "website_url", F.floor((F.col("k") - 1) / size).cast("long").alias("batch"))
 

@@ -59,8 +59,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: its lineage ends there and survives lost executors."""
+    """``df`` written to the shared folder and read again: its lineage ends there and survives lost executors.
+
+    Results may be read as long as the application runs; its folder is deleted when it ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/auditlake/{label}-{uuid.uuid4().hex}"
+    home = f"{shared_folder(spark)}/auditlake-{spark.sparkContext.applicationId}"
+    path = f"{home}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(home)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
