@@ -19,9 +19,12 @@ CHUNK = "__chunk__"
 _RUNNING = {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}
 
 
-def chunked(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """``rows`` with the number of their chunk; rows of equal key and order are in one chunk. Written once, as the borders must not move."""
-    ranged = rows.repartitionByRange(key, *order)
+def chunked(rows: DataFrame, key: str, order: Sequence[str], chunks: int | None = None) -> DataFrame:
+    """``rows`` with the number of their chunk; rows of equal key and order are in one chunk. Written once, as the borders must not move.
+
+    Spark sizes the chunks unless their number is given.
+    """
+    ranged = rows.repartitionByRange(*([chunks] if chunks else []), key, *order)
     return written(ranged.withColumn(CHUNK, F.spark_partition_id()), "chunked")
 
 

@@ -12,7 +12,7 @@ def test_scans_against_loops(spark):
     rows = [(rnd.choice(["hot"] * 6 + ["a", "b", None]), i // 2, i, rnd.choice([None, *range(50)])) for i in range(1500)]
     rnd.shuffle(rows)
     df = spark.createDataFrame(rows, "k string, t long, id long, v long").repartition(6)
-    chunks = ordered.chunked(df, "k", ["t", "id"])
+    chunks = ordered.chunked(df, "k", ["t", "id"], 7)
     assert chunks.where("k = 'hot'").select(ordered.CHUNK).distinct().count() > 1
     values = {"s": ("sum", F.col("v")), "m": ("max", F.col("v")), "l": ("last", F.col("v"))}
     got = {r.id: (r.s, r.m, r.l) for r in ordered.scan(chunks, "k", ["t", "id"], values).collect()}
