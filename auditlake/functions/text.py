@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
@@ -54,6 +55,48 @@ def soft_limit(counts: Column, limit: int = GRAMMAR_LIMIT) -> Column:
     return F.aggregate(counts, F.lit(0), lambda kept, c: kept + F.when(kept < limit, F.least(c, F.lit(limit) - kept)).otherwise(F.least(c, F.lit(1))))
 
 
+#: What is meant instead, and why, by pattern.
+GRAMMAR_MEANT = (
+    ("you're", "Contraction needed"),
+    ("they're", "Contraction needed"),
+    ("it's a", "Contraction needed"),
+    ("could/should/would have", "Incorrect preposition"),
+    (". [Capital]", "Sentence should start with capital"),
+    ("than", "Comparison word needed"),
+    ("effect", "Noun needed"),
+    ("lose", "Verb needed"),
+    ("I ", "Capital I needed"),
+    (" ", "Extra spaces"),
+    (".", "Multiple punctuation"),
+)
+GRAMMAR_CONTEXT = 50
+
+
+def grammar_matches(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, pattern, position, match, context, suggestion, description) of the errors that soft_limit() keeps; position counts characters from 0."""
+    kind = dict(texts.dtypes)[key]
+    patterns = [re.compile(p, re.IGNORECASE | re.ASCII) for p in GRAMMAR]
+    names = [key, "pattern", "position", "match", "context", "suggestion", "description"]
+
+    def kept(content: str) -> Iterator[tuple]:
+        found = 0
+        for number, pattern in enumerate(patterns):
+            for m in pattern.finditer(content):
+                yield number, m.start(), m.group(), content[max(0, m.start() - GRAMMAR_CONTEXT) : m.end() + GRAMMAR_CONTEXT].strip(), *GRAMMAR_MEANT[number]
+                found += 1
+                if found >= GRAMMAR_LIMIT:
+                    break
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, *r) for i, content in enumerate(batch.column(1).to_pylist()) for r in kept(content or "")]
+            index, *columns = zip(*rows, strict=True) if rows else [()] * 7
+            kinds = (pa.int32(), pa.int64(), *[pa.string()] * 4)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index, pa.int64())), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], names)
+
+    return texts.select(key, text).mapInArrow(run, f"`{key}` {kind}, pattern int, position long, match string, context string, suggestion string, description string")
+
+
 _RUN = re.compile(r"\w+")
 
 

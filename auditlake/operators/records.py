@@ -20,15 +20,125 @@ def safe_text(*values: Column) -> Column:
     return F.coalesce(*values, F.lit(""))
 
 
+def kind_of(record: Column, path: str) -> Column:
+    """What stands at a path of a parsed record: undefined, null, string, number, boolean, array or object."""
+    kind = F.schema_of_variant(F.try_variant_get(record, path, "variant"))
+    return (
+        F.when(kind.isNull(), "undefined").when(kind == "VOID", "null").when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean")
+        .when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object").otherwise("number")
+    )
+
+
+def record_text(record: Column, path: str) -> Column:
+    """The text at a path: a string as it is, an object's text or else content, a number or true as written, else empty."""
+    kind, at = kind_of(record, path), lambda p: F.nullif(F.try_variant_get(record, p, "string"), F.lit(""))
+    plain = F.try_variant_get(record, path, "string")
+    return (
+        F.when(kind == "string", plain)
+        .when(kind == "object", F.coalesce(at(f"{path}.text"), at(f"{path}.content"), F.lit("")))
+        .when((kind == "number") & (F.try_variant_get(record, path, "double") != 0), plain)
+        .when((kind == "boolean") & F.try_variant_get(record, path, "boolean"), "true")
+        .otherwise("")
+    )
+
+
+def record_number(record: Column, path: str) -> Column:
+    """The number at a path: as it is, or the integer a string starts with, else 0."""
+    kind = kind_of(record, path)
+    return F.when(kind == "number", F.try_variant_get(record, path, "double")).when(kind == "string", safe_number(F.try_variant_get(record, path, "string")).cast("double")).otherwise(0.0)
+
+
+def record_flag(record: Column, path: str) -> Column:
+    """Whether what stands at a path counts as true: all but nothing, null, false, 0 and the empty text."""
+    kind = kind_of(record, path)
+    return (
+        F.when(kind == "boolean", F.try_variant_get(record, path, "boolean"))
+        .when(kind == "number", F.try_variant_get(record, path, "double") != 0)
+        .when(kind == "string", F.try_variant_get(record, path, "string") != "")
+        .otherwise(kind.isin("array", "object"))
+    )
+
+
+def record_items(record: Column, path: str) -> Column:
+    """The array at a path, else an empty one."""
+    return F.when(kind_of(record, path) == "array", F.try_variant_get(record, path, "array<variant>")).otherwise(F.array().cast("array<variant>"))
+
+
+def has_object(record: Column, path: str) -> Column:
+    return kind_of(record, path).isin("object", "array")
+
+
+#: Fields that must be texts, numbers and objects, in the order in which they are looked at.
+TEXT_FIELDS = ("title", "metaDescription")
+NUMBER_FIELDS = ("titleLength", "metaDescriptionLength", "wordCount", "titleScore", "metaDescriptionScore", "contentScore", "readabilityScore", "urlScore")
+OBJECT_FIELDS = ("headingStructure", "images", "links", "technicalSeo", "performance", "contentQuality", "duplicates")
+
+
+def record_problems(record: Column) -> Column:
+    """What a record must have mended before it is scored: messages, in order; mending is what sanitised() does."""
+    named = lambda f: F.when(kind_of(record, f"$.{f}").isin("null", "array"), "object").otherwise(kind_of(record, f"$.{f}"))
+    wrong = lambda f, kind: F.when(kind_of(record, f"$.{f}") != kind, F.concat(F.lit(f"{f} is "), named(f), F.lit(f", expected {kind}")))
+    missing = [F.when(~has_object(record, f"$.{f}"), f"{f} missing or invalid") for f in OBJECT_FIELDS]
+    return F.array_compact(F.array(*[wrong(f, "string") for f in TEXT_FIELDS], *[wrong(f, "number") for f in NUMBER_FIELDS], *missing))
+
+
+def sanitised(record: Column) -> dict[str, Column]:
+    """Columns of a page record with every field typed and filled; issues that a record brings are kept as they are.
+
+    A record that is no JSON object counts as an empty one.
+    """
+    page = F.coalesce(F.nullif(record_text(record, "$.pageUrl"), F.lit("")), record_text(record, "$.url"))
+    site = F.regexp_replace(F.regexp_extract(page, r"^([a-zA-Z]+://[^/?#]+)", 1), r":\d+$", "")
+    title, description = record_text(record, "$.title"), record_text(record, "$.metaDescription")
+    words, number = record_number(record, "$.wordCount"), lambda path: record_number(record, path)
+
+    def issue(of: str, name: str, default: Column) -> Column:
+        return F.when(has_object(record, f"$.{of}"), F.try_variant_get(record, f"$.{of}.{name}", "boolean")).otherwise(default)
+
+    known = lambda c, default: F.coalesce(F.nullif(c, F.lit("")), F.lit(default))
+    h1 = number("$.headingStructure.h1Count")
+    return {
+        "website_url": F.coalesce(F.nullif(record_text(record, "$.websiteUrl"), F.lit("")), F.nullif(site, F.lit("")), F.nullif(page, F.lit("")), F.lit("unknown")), "page_url": known(page, "unknown"),
+        "title": title, "title_length": F.length(title), "title_score": number("$.titleScore"), "meta_description": description, "meta_description_length": F.length(description), "meta_description_score": number("$.metaDescriptionScore"),
+        "word_count": words, "content_score": number("$.contentScore"), "readability_score": number("$.readabilityScore"), "url_score": number("$.urlScore"),
+        "title_too_short": issue("titleIssues", "tooShort", F.length(title) < 30), "title_too_long": issue("titleIssues", "tooLong", F.length(title) > 60), "title_missing": issue("titleIssues", "missing", title == ""),
+        "description_too_short": issue("metaDescriptionIssues", "tooShort", F.length(description) < 120), "description_too_long": issue("metaDescriptionIssues", "tooLong", F.length(description) > 160),
+        "description_missing": issue("metaDescriptionIssues", "missing", description == ""),
+        "content_too_short": issue("contentIssues", "tooShort", words < 300), "low_density": issue("contentIssues", "lowKeywordDensity", F.lit(False)), "hard_to_read": issue("contentIssues", "poorReadability", number("$.readabilityScore") < 60),
+        **{f"h{n}": number(f"$.headingStructure.h{n}Count") for n in range(1, 7)}, "h1_missing": h1 == 0, "h1_multiple": h1 > 1,
+        "url_too_long": issue("urlIssues", "tooLong", F.length(page) > 100), "url_special": issue("urlIssues", "containsSpecialChars", page.rlike(r"[^a-zA-Z0-9\-_/.]")), "url_params": issue("urlIssues", "containsParams", page.contains("?")),
+        "canonical": record_text(record, "$.technicalSeo.canonicalUrl"), "robots": record_text(record, "$.technicalSeo.robotsDirectives"), "has_canonical": record_flag(record, "$.technicalSeo.canonicalTagExists"),
+        "images": number("$.images.count"), "bare_images": F.size(record_items(record, "$.images.altTextMissing")), "image_score": number("$.images.imageScore"),
+        "internal_links": number("$.links.internalCount"), "external_links": number("$.links.externalCount"), "broken_links": F.size(record_items(record, "$.links.brokenLinks")), "link_score": number("$.links.linkScore"),
+        "responsive": record_flag(record, "$.performance.mobileResponsive"), "page_speed": number("$.performance.pageSpeedScore"), "paint": number("$.performance.coreWebVitals.LCP"), "performance_score": number("$.performance.performanceScore"),
+        "duplicate_score": F.coalesce(F.nullif(number("$.duplicates.duplicateScore"), F.lit(0.0)), F.lit(10.0)), "seo_score": number("$.seoScore"), "seo_grade": known(record_text(record, "$.seoGrade"), "F"),
+    }
+
+
+#: Where the analyser has what the store names otherwise.
+INTENDED = {
+    "images": "$.images.totalCount", "image_score": "$.images.score", "link_score": "$.links.score", "paint": "$.performance.webVitals.estimatedLCP", "performance_score": "$.performance.score",
+}
+
+
+def mapped(record: Column, intended: bool) -> dict[str, Column]:
+    """sanitised() of an analyser's record; ``intended`` reads the fields that have another name there, which are 0 or false otherwise."""
+    columns = sanitised(record)
+    if intended:
+        columns |= {name: record_number(record, path) for name, path in INTENDED.items()}
+        columns["responsive"] = record_flag(record, "$.performance.mobileOptimized.isResponsive")
+    return columns
+
+
 def problems(checks: Sequence[tuple[str, Column]]) -> Column:
     """Names of the checks that fail, in order; a check that is null counts as failed."""
     return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks]))
 
 
-def clean_anchors(anchors: Column, most: int = 10, longest: int = 200) -> Column:
-    """The first ``most`` items, then trimmed, without blank ones, cut to ``longest`` characters."""
-    trimmed = F.transform(F.slice(anchors, 1, most), lambda a: F.struct(F.substring(F.trim(a.anchor), 1, longest).alias("anchor"), a.backlinks.alias("backlinks")))
-    return F.coalesce(F.filter(trimmed, lambda a: a.anchor != ""), F.array().cast("array<struct<anchor:string,backlinks:bigint>>"))
+def clean_items(items: Column, text: str, number: str, most: int = 10, longest: int = 200) -> Column:
+    """The first ``most`` items of an array of structs, then with texts trimmed, without blank ones, cut to ``longest`` characters, unknown numbers 0."""
+    trimmed = F.transform(F.slice(items, 1, most), lambda a: F.struct(F.substring(F.trim(a[text]), 1, longest).alias(text), F.coalesce(a[number], F.lit(0)).cast("long").alias(number)))
+    return F.coalesce(F.filter(trimmed, lambda a: a[text] != ""), F.array().cast(f"array<struct<{text}:string,{number}:bigint>>"))
 
 
 def diversity(domains: Column, links: Column) -> Column:

@@ -90,6 +90,12 @@ def a7_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", F.aggregate("k", F.lit(0), lambda a, b: a + b).cast("long").alias("found"), T.soft_limit(F.col("k")).cast("long").alias("kept"))
 
 
+@R.query(None)
+def a7_grammar_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every grammar error that is kept, with its text, place, surroundings and what was probably meant."""
+    return T.grammar_matches(_documents(spark, sf_dir), "doc_id", "text")
+
+
 SPELL_WORDS = r"list_transform(list_filter(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, 'https?://(?:[a-zA-Z]|[0-9]|[$-_@.&+]|[!*\\(\\),]|(?:%[0-9a-fA-F][0-9a-fA-F]))+', '', 'g'), '\S+@\S+\.\S+', '', 'g'), '[0-9]+', '', 'g'), '[^\p{{L}}\p{{N}}_]', ' ', 'g'), '[\p{{L}}\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-zA-Z]{{3,}}')), lambda x: lower(x))"
 SPELL = rf"""
 sw AS (SELECT doc_id, {SPELL_WORDS.format("coalesce(text, '')")} AS l FROM documents),

@@ -24,7 +24,7 @@ def _now():
 @R.query("""
 SELECT raw_id, coalesce(json_extract_string(fields, '$.title'), '') AS title, coalesce(try_cast(regexp_extract(json_extract_string(fields, '$.wordCount'), '^\\s*([+-]?\\d+)', 1) AS BIGINT), 0) AS word_count,
        coalesce(try_cast(regexp_extract(json_extract_string(fields, '$.statusCode'), '^\\s*([+-]?\\d+)', 1) AS BIGINT), 0) AS status_code, coalesce(json_extract_string(fields, '$.lang'), json_extract_string(fields, '$.contentType'), '') AS lang FROM raw_pages""")
-def n1_typed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def n2_typed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     field = lambda name: F.get_json_object("fields", f"$.{name}")
     return table(spark, sf_dir, "raw_pages").select(
         "raw_id",
@@ -35,19 +35,75 @@ def n1_typed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@R.query("""SELECT webpage_id, list_filter([CASE WHEN NOT coalesce(length(trim(title)) > 0, false) THEN 'title' END, CASE WHEN NOT coalesce(word_count >= 0, false) THEN 'word_count' END,
- CASE WHEN NOT coalesce(seo_score BETWEEN 0 AND 100, false) THEN 'seo_score' END, CASE WHEN NOT coalesce(status_code BETWEEN 100 AND 599, false) THEN 'status_code' END], lambda x: x IS NOT NULL)::VARCHAR AS problems FROM webpages""")
+def _loose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(webpage_id, record): every audit as a loosely typed record: texts in objects, numbers as texts, fields that are missing or of another kind."""
+    i = F.col("webpage_id")
+    inner = lambda c: F.nullif(F.substring(F.to_json(c), F.lit(2), F.length(F.to_json(c)) - 2), F.lit(""))
+    t = F.col("title")
+    pieces = [
+        F.when(i % 5 == 0, F.concat(F.lit('"title":'), F.to_json(F.struct(t.alias("text"))))).when(i % 5 == 1, F.concat(F.lit('"title":'), F.to_json(F.struct(F.lit("").alias("text"), t.alias("content"))))).otherwise(inner(F.struct("title"))),
+        F.when(i % 7 == 0, F.concat(F.lit('"metaDescription":'), (i % 3).cast("string"))).otherwise(inner(F.struct(F.col("meta_description").alias("metaDescription")))),
+        F.when(i % 3 == 0, F.concat(F.lit('"wordCount":" '), F.coalesce("word_count", F.lit(0)).cast("string"), F.lit(' words"'))).when(i % 3 == 1, inner(F.struct(F.col("word_count").alias("wordCount")))),
+        inner(F.struct(F.col("url").alias("pageUrl"))), F.when(i % 4 == 0, '"titleIssues":{"tooShort":true}'),
+        F.when(i % 3 > 0, F.concat(F.lit('"headingStructure":{"h1Count":'), (i % 4).cast("string"), F.lit(',"h2Count":"2x","h3Count":null}'))),
+        F.when(i % 6 == 0, '"links":{"brokenLinks":"none","score":7}').when(i % 6 == 1, '"links":{"brokenLinks":[1,{"url":"x"}],"score":3.5,"internalCount":true}').when(i % 6 == 2, '"links":[]'),
+        F.when(i % 2 == 1, '"performance":{"mobileResponsive":1,"mobileOptimized":{"isResponsive":false},"webVitals":{"estimatedLCP":2.75},"score":9}').otherwise('"performance":{"mobileResponsive":"","mobileOptimized":{"isResponsive":true}}'),
+        inner(F.struct(F.col("seo_grade").alias("seoGrade"))), F.when(i % 8 == 0, '"images":{"totalCount":4,"score":6,"count":1}'), F.when(i % 9 == 0, '"duplicates":{"duplicateScore":"4"}'),
+    ]
+    whole = F.concat(F.lit("{"), F.concat_ws(",", *pieces), F.lit("}"))
+    return table(spark, sf_dir, "webpages").select("webpage_id", F.try_parse_json(F.when(i % 50 == 49, "no record").otherwise(whole)).alias("record"))
+
+
+_LOOSE = r"""
+r AS (SELECT webpage_id, webpage_id AS i, webpage_id % 50 = 49 AS bad, * EXCLUDE (webpage_id) FROM webpages),
+l AS (SELECT webpage_id, i, bad, CASE WHEN bad THEN '' ELSE coalesce(title, '') END AS t, CASE WHEN bad THEN '' WHEN i % 7 = 0 THEN CASE WHEN i % 3 = 0 THEN '' ELSE CAST(i % 3 AS VARCHAR) END ELSE coalesce(meta_description, '') END AS d,
+  CASE WHEN bad OR i % 3 = 2 THEN 0 ELSE coalesce(word_count, 0) END AS w, CASE WHEN bad THEN '' ELSE coalesce(url, '') END AS u, CASE WHEN bad OR i % 3 = 0 THEN 0 ELSE i % 4 END AS h1, CASE WHEN bad THEN 'F' ELSE coalesce(nullif(seo_grade, ''), 'F') END AS g,
+  title IS NULL AS no_title, meta_description IS NULL AS no_description, word_count IS NULL AS no_words FROM r)"""
+_SAVED = """CASE WHEN u = '' THEN 'unknown' ELSE u END AS page_url, coalesce(nullif(regexp_replace(regexp_extract(u, '^([a-zA-Z]+://[^/?#]+)', 1), ':\\d+$', ''), ''), nullif(u, ''), 'unknown') AS website_url, t AS title, length(t) AS title_length, d AS meta_description, length(d) AS meta_description_length,
+ CAST(w AS DOUBLE) AS word_count, CASE WHEN NOT bad AND i % 4 = 0 THEN true ELSE length(t) < 30 END AS title_too_short, CASE WHEN NOT bad AND i % 4 = 0 THEN NULL ELSE t = '' END AS title_missing, length(d) < 120 AS description_too_short, length(d) > 160 AS description_too_long,
+ w < 300 AS content_too_short, true AS hard_to_read, CAST(h1 AS DOUBLE) AS h1, CASE WHEN bad OR i % 3 = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE END AS h2, h1 = 0 AS h1_missing, h1 > 1 AS h1_multiple, length(u) > 100 AS url_too_long, regexp_matches(u, '[^a-zA-Z0-9\\-_/.]') AS url_special, contains(u, '?') AS url_params,
+ CASE WHEN NOT bad AND i % 6 = 1 THEN 2 ELSE 0 END AS broken_links, 0.0::DOUBLE AS internal_links, CASE WHEN NOT bad AND i % 9 = 0 THEN 4.0::DOUBLE ELSE 10.0::DOUBLE END AS duplicate_score, g AS seo_grade"""
+_SAVED_NAMES = (
+    "page_url website_url title title_length meta_description meta_description_length word_count title_too_short title_missing description_too_short description_too_long content_too_short hard_to_read h1 h2 h1_missing h1_multiple "
+    "url_too_long url_special url_params broken_links internal_links duplicate_score seo_grade"
+).split()
+
+
+@R.query(f"WITH {_LOOSE} SELECT webpage_id, {_SAVED}, NOT bad AND i % 2 = 1 AS responsive FROM l")
+def n1_sanitised_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = records.sanitised(F.col("record"))
+    return _loose(spark, sf_dir).select("webpage_id", *[columns[n].alias(n) for n in (*_SAVED_NAMES, "responsive")])
+
+
+@R.query(f"""WITH {_LOOSE}, v AS (SELECT *, 'undefined' AS un FROM l)
+SELECT webpage_id, array_to_string(list_filter([CASE WHEN bad THEN 'title is undefined, expected string' WHEN i % 5 < 2 THEN 'title is object, expected string' WHEN no_title THEN 'title is undefined, expected string' END,
+ CASE WHEN bad THEN 'metaDescription is undefined, expected string' WHEN i % 7 = 0 THEN 'metaDescription is number, expected string' WHEN no_description THEN 'metaDescription is undefined, expected string' END,
+ 'titleLength is undefined, expected number', 'metaDescriptionLength is undefined, expected number', CASE WHEN bad OR i % 3 = 2 OR (i % 3 = 1 AND no_words) THEN 'wordCount is undefined, expected number' WHEN i % 3 = 0 THEN 'wordCount is string, expected number' END,
+ {", ".join(f"'{n} is undefined, expected number'" for n in ("titleScore", "metaDescriptionScore", "contentScore", "readabilityScore", "urlScore"))}, CASE WHEN bad OR i % 3 = 0 THEN 'headingStructure missing or invalid' END, CASE WHEN bad OR i % 8 > 0 THEN 'images missing or invalid' END,
+ CASE WHEN bad OR i % 6 > 2 THEN 'links missing or invalid' END, 'technicalSeo missing or invalid', CASE WHEN bad THEN 'performance missing or invalid' END, 'contentQuality missing or invalid', CASE WHEN bad OR i % 9 > 0 THEN 'duplicates missing or invalid' END], lambda x: x IS NOT NULL), '; ') AS problems FROM v""")
 def n5_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checks = [("title", F.length(F.trim("title")) > 0), ("word_count", F.col("word_count") >= 0), ("seo_score", F.col("seo_score").between(0, 100)), ("status_code", F.col("status_code").between(100, 599))]
-    return table(spark, sf_dir, "webpages").select("webpage_id", F.concat(F.lit("["), F.array_join(records.problems(checks), ", "), F.lit("]")).alias("problems"))
+    return _loose(spark, sf_dir).select("webpage_id", F.array_join(records.record_problems(F.col("record")), "; ").alias("problems"))
 
 
-@R.query("""
-WITH a AS (SELECT summary_id, unnest(list_transform(list_slice(top_anchors_by_backlinks, 1, 10), lambda x: {'anchor': left(trim(x.anchor), 200), 'backlinks': x.backlinks})) AS x FROM backlink_summaries)
-SELECT summary_id, count(*) AS anchors, CAST(sum(x.backlinks) AS BIGINT) AS backlinks FROM a WHERE x.anchor <> '' GROUP BY 1""")
-def n7_clean_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = table(spark, sf_dir, "backlink_summaries").select("summary_id", records.clean_anchors(F.col("top_anchors_by_backlinks")).alias("a")).where(F.size("a") > 0)
-    return kept.select("summary_id", F.size("a").cast("long").alias("anchors"), F.aggregate("a", F.lit(None).cast("long"), lambda s, x: F.when(x.backlinks.isNull(), s).otherwise(F.coalesce(s, F.lit(0)) + x.backlinks)).alias("backlinks"))
+@R.query(f"""WITH {_LOOSE} SELECT webpage_id, CASE WHEN NOT bad AND i % 8 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS stored_images, CASE WHEN NOT bad AND i % 8 = 0 THEN 4.0::DOUBLE ELSE 0.0::DOUBLE END AS images, CASE WHEN NOT bad AND i % 8 = 0 THEN 6.0::DOUBLE ELSE 0.0::DOUBLE END AS image_score,
+ 0.0::DOUBLE AS stored_link_score, CASE WHEN bad THEN 0.0::DOUBLE WHEN i % 6 = 0 THEN 7.0::DOUBLE WHEN i % 6 = 1 THEN 3.5::DOUBLE ELSE 0.0::DOUBLE END AS link_score, NOT bad AND i % 2 = 1 AS stored_responsive, NOT bad AND i % 2 = 0 AS responsive, CASE WHEN NOT bad AND i % 2 = 1 THEN 2.75::DOUBLE ELSE 0.0::DOUBLE END AS paint, CASE WHEN NOT bad AND i % 2 = 1 THEN 9.0::DOUBLE ELSE 0.0::DOUBLE END AS performance_score FROM l""")
+def n6_mapped_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Analysers' records as the store keeps them, and as they were meant to be kept."""
+    stored, meant = (records.mapped(F.col("record"), intended) for intended in (False, True))
+    return _loose(spark, sf_dir).select("webpage_id", *[stored[n].alias(f"stored_{n}") for n in ("images", "link_score", "responsive")], *[meant[n].alias(n) for n in ("images", "image_score", "link_score", "responsive", "paint", "performance_score")])
+
+
+_INTEGERS = ("backlinks", "refdomains", "subnets", "ips", "nofollow_backlinks", "dofollow_backlinks", "inlink_rank", "anchors")
+_LISTS = (("top_anchors_by_backlinks", "anchor", "backlinks", 200), ("top_pages_by_backlinks", "url", "backlinks", 500), ("top_pages_by_refdomains", "url", "refdomains", 500))
+
+
+@R.query("SELECT summary_id, " + ", ".join(f"coalesce({n}, 0) AS {n}" for n in _INTEGERS) + ", " + ", ".join(
+    f"coalesce(array_to_string(list_transform(list_filter(list_transform(list_slice({c}, 1, 10), lambda x: {{'t': left(trim(x.{t}), {most}), 'n': coalesce(x.{n}, 0)}}), lambda x: x.t <> ''), lambda x: x.t || '=' || x.n), '|'), '') AS {c}" for c, t, n, most in _LISTS
+) + " FROM backlink_summaries")
+def n7_clean_backlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Backlink answers with whole numbers and the three lists cleaned."""
+    listed = lambda c, t, n, most: F.array_join(F.transform(records.clean_items(F.col(c), t, n, 10, most), lambda x: F.concat(x[t], F.lit("="), x[n].cast("string"))), "|").alias(c)
+    return table(spark, sf_dir, "backlink_summaries").select("summary_id", *[F.coalesce(n, F.lit(0)).alias(n) for n in _INTEGERS], *[listed(*x) for x in _LISTS])
 
 
 @R.query("""SELECT summary_id, top_anchors_by_backlinks[1].anchor AS dominating_anchor, top_pages_by_backlinks[1].url AS dominating_page,
@@ -85,14 +141,6 @@ def u3_url_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.unionByName(raw).where("url is not null").groupBy("url").agg(F.countDistinct("website_url").alias("parents"), F.max("received_at").alias("last_seen"))
 
 
-@R.query("""
-SELECT raw_id, url AS page_url, coalesce(json_extract_string(fields, '$.title'), '') AS title, length(coalesce(json_extract_string(fields, '$.title'), '')) < 30 AS too_short, json_extract_string(fields, '$.h1') IS NULL AS h1_missing FROM raw_pages""")
-def n6_mapped_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    title = records.safe_text(F.get_json_object("fields", "$.title"))
-    issues = F.struct((F.length(title) < 30).alias("too_short"), F.get_json_object("fields", "$.h1").isNull().alias("h1_missing"))
-    return table(spark, sf_dir, "raw_pages").select("raw_id", F.col("url").alias("page_url"), title.alias("title"), issues.alias("issues")).select("raw_id", "page_url", "title", "issues.too_short", "issues.h1_missing")
-
-
 @R.query(f"""SELECT DISTINCT website_url, user_id FROM backlink_summaries b WHERE website_url IS NOT NULL AND user_id IS NOT NULL
  AND NOT EXISTS (SELECT 1 FROM backlink_summaries k WHERE k.website_url = b.website_url AND k.user_id = b.user_id AND k.last_fetched >= TIMESTAMP '{NOW}' - INTERVAL 7 DAYS)""")
 def u4_stale_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,6 +103,16 @@ def test_versions_that_swap_their_order_are_a_change(spark):
     assert [tuple(r) for r in snapshot_changes(spark.createDataFrame(snap(rows), SNAP), "url").collect()] == [(2, "a", "changed")]
 
 
+def test_loose_records(spark):
+    rows = ['{"title":{"text":"","content":"c"},"n":"12px","b":0,"a":[1],"o":{}}', '{"title":true,"n":3.5,"b":"x","a":{"0":1}}', '{"title":0,"n":null,"b":[]}', '{"title":["x"],"n":"px","b":{}}', "[1]", '"text"', "broken {", None, "{}", '{"title":7}']
+    parsed = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, r string").withColumn("r", F.try_parse_json("r"))
+    r = F.col("r")
+    got = [tuple(x) for x in parsed.orderBy("i").select(records.record_text(r, "$.title"), records.record_number(r, "$.n"), records.record_flag(r, "$.b"), F.size(records.record_items(r, "$.a")), records.has_object(r, "$.o"), records.kind_of(r, "$.n")).collect()]
+    assert got == [("c", 12.0, False, 1, True, "string"), ("true", 3.5, True, 0, False, "number"), ("", 0.0, True, 0, False, "null"), ("", 0.0, True, 0, False, "string")] + [("", 0.0, False, 0, False, "undefined")] * 5 + [("7", 0.0, False, 0, False, "undefined")]
+    whole = parsed.select(*[c.alias(n) for n, c in records.sanitised(r).items()]).collect()
+    assert len(whole) == len(rows) and whole[7].page_url == "unknown" and whole[7].seo_grade == "F" and whole[7].duplicate_score == 10.0
+
+
 def test_rounding(spark):
     r = one(spark, half_up(F.lit(-0.5)).alias("a"), half_up(F.lit(2.5)).alias("b"), half_even(F.lit(2.5)).alias("c"), half_even(F.lit(0.125), 2).alias("d"))
     assert (r.a, r.b, r.c, float(r.d)) == (0, 3, 2, 0.12)

@@ -6,7 +6,7 @@ from urllib.parse import urljoin
 import pytest
 from pyspark.sql import functions as F
 
-from auditlake.functions import html, urls
+from auditlake.functions import html, text, urls
 from auditlake.operators import duplicates, page_facts, spelling
 from auditlake.plans import page_queries
 
@@ -141,3 +141,13 @@ def test_similar_contents_against_brute_force(spark):
             want[k] = (first[tuple(w)], sum(r[2] == w for r in rows), len(near), sum(c < first[tuple(w)] for c in near), round(max(near.values()), 6) if near else None)
     got = {r.k: (r.class_id, r.copies, r.links, r.earlier, r.best) for r in duplicates.similar_contents(df.where("size(w) > 0").drop("class_id"), "k", "n", "w", duplicates.CONTENT_THRESHOLDS).collect()}
     assert got == want and sum(w[2] for w in want.values()) > 200
+
+
+def test_grammar_matches(spark):
+    texts = [(1, "Its a fact.  your going , then faster i am!!"), (2, None), (3, "wait.. " * 90), (4, "")]
+    df = spark.createDataFrame(texts, "k long, text string")
+    rows = text.grammar_matches(df, "k", "text").collect()
+    assert [(r.pattern, r.position, r.match) for r in rows if r.k == 1] == [(0, 13, "your going"), (2, 0, "Its a"), (4, 10, ".  y"), (5, 26, "then"), (8, 38, "i "), (9, 11, "  "), (10, 42, "!!")]
+    counts = {r.k: r.n for r in df.select("k", text.soft_limit(text.grammar_counts(F.coalesce("text", F.lit("")))).alias("n")).collect()}
+    assert {k: sum(r.k == k for r in rows) for k in counts} == counts and counts[3] > 50
+    assert next(r for r in rows if r.k == 1).suggestion == "you're" and text.grammar_matches(df.limit(0), "k", "text").count() == 0
