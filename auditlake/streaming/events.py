@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import json
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -65,36 +66,70 @@ def backoff_state(events: DataFrame, key: str, ts: str, event_id: str, failed: s
     )
 
 
-def upsert_sink(path: str, keys: Sequence[str], by: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: keeps the last version of every key in a parquet table of one folder a batch.
+def routed(events: DataFrame, key: str, sent: Column | None = None) -> DataFrame:
+    """(key, value): events as messages of their user's channel, ready for a keyed log, with the time of sending; events of nobody go nowhere."""
+    stamped = events.where(F.col(key).isNotNull()).withColumn("sent_at", F.current_timestamp() if sent is None else sent)
+    return stamped.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct("*")).alias("value"))
 
-    A batch writes a whole new version and then names it as the current one, so a batch that runs again (or ends
-    half-way) leaves a table that is right.
-    """
-    import json
 
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        where = jvm.org.apache.hadoop.fs.Path(f"{path}/current.json")
-        files = where.getFileSystem(conf)
-        rows = batch
-        if files.exists(where):
-            current = json.loads(spark.read.text(f"{path}/current.json").first()[0])
-            if current["batch"] >= number:
-                return
-            rows = spark.read.parquet(current["folder"]).unionByName(batch)
-        folder = f"{path}/version-{number}"
-        latest(rows, keys, by).write.mode("overwrite").parquet(folder)
-        stream = files.create(where, True)
-        stream.write(bytearray(json.dumps({"batch": number, "folder": folder}).encode()))
-        stream.close()
-
-    return write
+class KeyedTable:
+    """The last version of every key in a parquet table that batches bring up to date.
 
+    Keys are hashed into buckets; a batch rewrites the buckets that it touches and nothing else. Which folder holds
+    a bucket says a manifest, which a rename replaces as a whole, so a batch that runs again or ends half-way
+    leaves a table that is right. Folders that a batch has replaced are deleted by the next one, when no reader of the old
+    manifest should be left.
+    """
 
-def current_table(spark, path: str) -> DataFrame:
-    """The table that upsert_sink() keeps."""
-    import json
+    def __init__(self, path: str, keys: Sequence[str], by: Sequence[str], buckets: int = 64) -> None:
+        self.path, self.keys, self.by, self.buckets = path, list(keys), list(by), buckets
+
+    def _manifest(self, spark) -> dict:
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest.json")
+        if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            return {"batch": -1, "folders": {}, "replaced": []}
+        return json.loads(spark.read.text(f"{self.path}/manifest.json", wholetext=True).first()[0])
+
+    def _publish(self, spark, manifest: dict) -> None:
+        fs = spark._jvm.org.apache.hadoop.fs
+        conf = spark._jsc.hadoopConfiguration()
+        draft, final = fs.Path(f"{self.path}/draft.json"), fs.Path(f"{self.path}/manifest.json")
+        stream = draft.getFileSystem(conf).create(draft, True)
+        stream.write(bytearray(json.dumps(manifest).encode()))
+        stream.close()
+        rename = getattr(fs, "Options$Rename")
+        options = spark.sparkContext._gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE
+        fs.FileContext.getFileContext(draft.getFileSystem(conf).getUri(), conf).rename(draft, final, options)
 
-    return spark.read.parquet(json.loads(spark.read.text(f"{path}/current.json").first()[0])["folder"])
+    def write(self, batch: DataFrame, number: int) -> None:
+        """For foreachBatch: takes a batch in, once."""
+        spark = batch.sparkSession
+        manifest = self._manifest(spark)
+        if manifest["batch"] >= number:
+            return
+        rows = batch.withColumn("__bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")).persist()
+        touched = sorted(r[0] for r in rows.select("__bucket").distinct().collect())
+        if not touched:
+            rows.unpersist()
+            self._publish(spark, manifest | {"batch": number})
+            return
+        old = [manifest["folders"][str(b)] for b in touched if str(b) in manifest["folders"]]
+        merged = rows
+        for part in ([spark.read.parquet(*old)] if old else []):
+            merged = merged.unionByName(part.withColumn("__bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")))
+        folder = f"{self.path}/version-{number}"
+        latest(merged, ["__bucket", *self.keys], self.by).write.mode("overwrite").partitionBy("__bucket").parquet(folder)
+        rows.unpersist()
+        folders = manifest["folders"] | {str(b): f"{folder}/__bucket={b}" for b in touched}
+        self._publish(spark, {"batch": number, "folders": folders, "replaced": old})
+        for gone in manifest["replaced"]:
+            where = spark._jvm.org.apache.hadoop.fs.Path(gone)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    def read(self, spark, ttl: str | None = None, now: Column | None = None) -> DataFrame:
+        """The table as it is; with ``ttl``, an interval, only keys whose first ``by`` column is younger than that."""
+        rows = spark.read.parquet(*sorted(self._manifest(spark)["folders"].values()))
+        if ttl is None:
+            return rows
+        return rows.where(F.col(self.by[0]) > (F.current_timestamp() if now is None else now) - F.expr(f"INTERVAL {ttl}"))
