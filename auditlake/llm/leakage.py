@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.llm.codes import BASES, codepoints, fold_table, mix, powers
-from auditlake.session import spread
+from auditlake.session import spread, written
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -19,8 +19,10 @@ _SPACE = np.uint32(32)
 _TABLE_BITS = 22
 #: Characters that are handled at once; a longer text is cut into overlapping windows of this size.
 WINDOW_CHARS = 1 << 20
-#: Items that one pass over the documents looks for; larger sets take several passes.
-ITEM_BLOCK = 4096
+#: Characters of items that one pass over the documents looks for; larger sets take several passes.
+ITEM_CHARS = 1 << 23
+#: Folded characters of an item that are searched for at once; a longer item is several overlapping ones.
+PIECE_CHARS = 1 << 16
 
 
 def normalised(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -189,9 +191,8 @@ class Items:
         fewest = int(best.min())
         return fewest if fewest <= self.edits else None
 
-    def search(self, texts: Sequence[str | None]) -> list[tuple[int, int, int, int]]:
-        """(text, item_id, edits, consecutive equal word windows) of verified regions."""
-        cp, starts, words, owner = normalised(texts)
+    def search(self, cp: np.ndarray, starts: np.ndarray, words: np.ndarray, owner: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(text, item_id, edits, consecutive equal word windows) of verified regions of normalised() texts."""
         out: dict[tuple[int, int], tuple[int, int]] = {}
         grams: dict[int, np.ndarray] = {}
         for t, i, low, high, kept in self.candidates(cp, starts):
@@ -209,25 +210,75 @@ class Items:
         return [(t, i, e, w) for (t, i), (e, w) in out.items()]
 
 
-def _pieces(texts: Sequence[str | None], overlap: int) -> Iterator[tuple[list[int], list[str]]]:
-    """Slices of bounded size; the windows of a very long text overlap."""
+def _folded(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """normalised() of one long text, slice by slice: code points and starts of words."""
+    parts, words, at, before = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 0, 0
+    while at < len(text):
+        stop = min(len(text), at + WINDOW_CHARS)
+        while stop < len(text) and text[stop].isalnum():  # a word is never cut
+            stop += 1
+        cp, _, starts, _ = normalised([text[at:stop]])
+        parts.append(cp)
+        words.append(starts + before)
+        before += len(cp)
+        at = stop
+    return np.concatenate(parts), np.concatenate(words)
+
+
+Piece = tuple[list[int], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+
+def _pieces(texts: Sequence[str | None], overlap: int) -> Iterator[Piece]:
+    """Normalised texts in slices of bounded size. The windows of a very long one overlap by more than the longest passage has, counted in folded characters, so nothing lies across them."""
     owners: list[int] = []
     parts: list[str] = []
     size = 0
     for k, text in enumerate(texts):
         if not text:
             continue
-        step = max(WINDOW_CHARS - overlap, WINDOW_CHARS // 2)
-        for at in range(0, max(1, len(text) - overlap if len(text) > WINDOW_CHARS else 1), step):
-            part = text[at : at + max(WINDOW_CHARS, step + overlap)] if len(text) > WINDOW_CHARS else text
-            if size + len(part) > WINDOW_CHARS and parts:
-                yield owners, parts
-                owners, parts, size = [], [], 0
-            owners.append(k)
-            parts.append(part)
-            size += len(part)
+        if len(text) > WINDOW_CHARS:
+            cp, words = _folded(text)
+            step = max(WINDOW_CHARS, overlap)
+            for at in range(0, max(1, len(cp) - overlap), step):
+                # A window begins and ends with whole words.
+                first, last = np.searchsorted(words, [at, at + step + overlap])
+                begin = int(words[first]) - 1 if first < len(words) else len(cp)
+                end = int(words[last]) - 1 if last < len(words) else len(cp)
+                if begin < end:
+                    yield [k], (cp[begin:end], np.array([0, end - begin]), words[first:last] - begin, np.zeros(last - first, np.int64))
+            continue
+        if size + len(text) > WINDOW_CHARS and parts:
+            yield owners, normalised(parts)
+            owners, parts, size = [], [], 0
+        owners.append(k)
+        parts.append(text)
+        size += len(text)
     if parts:
-        yield owners, parts
+        yield owners, normalised(parts)
+
+
+def _item_pieces(min_words: int):
+    """Items as they are, long ones as overlapping pieces of whole words: every passage of ``min_words`` words lies in one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, str]] = []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if len(text) <= PIECE_CHARS:
+                    out.append((item, text))
+                    continue
+                cp, words = _folded(text)
+                first = 0
+                while first < len(words):
+                    last = max(int(np.searchsorted(words, words[first] + PIECE_CHARS)), first + min_words)
+                    end = int(words[last]) - 1 if last < len(words) else len(cp)
+                    out.append((item, cp[words[first] : end].tobytes().decode("utf-32-le", "surrogatepass")))
+                    if last >= len(words):
+                        break
+                    first = last - min_words + 1
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int64()), pa.array([t for _, t in out], pa.string())], ["i", "t"])
+
+    return run
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", min_words: int = 12, edits: int = 1, q: int = 16) -> DataFrame:
@@ -238,29 +289,27 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
     band. ``edits`` is the fewest characters by which a passage differs, ``windows`` the number of the
     document's runs of ``min_words`` words that the item has word for word (0: only with edits).
 
-    Items are held-out tests, collected in blocks of ITEM_BLOCK; each block is one pass over the documents, and
+    Items are held-out tests, collected in blocks of about ITEM_CHARS characters; each block is one pass over the documents, and
     nothing of the documents is shuffled, sampled or cut. Null and empty texts and items of fewer words have no
-    passages; very long texts are searched in overlapping windows (there, an item whose copy is spread over far
-    more characters than it has, by long runs of marks, might be missed only if it spans over half a window);
-    repeated rows give equal result rows once; extra columns are ignored.
+    passages; very long texts are searched whole, in windows of folded words that overlap by more than an item; repeated rows give equal result rows once; extra columns are ignored.
     """
     rows = items.where(F.col(text).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).distinct()
     spark = docs.sparkSession
     source = spread(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where(F.length("text") > 0))
     schema = "doc_id long, item_id long, edits int, windows int"
-    n = rows.count()
-    blocks = max(1, -(-n // ITEM_BLOCK))
+    rows = written(rows.mapInArrow(_item_pieces(min_words), "i long, t string"), "items")
+    blocks = max(1, -(-(rows.agg(F.sum(F.length("t").cast("long"))).first()[0] or 0) // ITEM_CHARS))
     result = None
     for b in range(blocks):
-        mine = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b)
+        mine = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
         index = spark.sparkContext.broadcast(Items([(r.i, r.t) for r in mine.orderBy("i").collect()], min_words, edits, q))
 
         def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             block = index.value
-            overlap = min(WINDOW_CHARS // 2, 64 * (block.longest + 1))
+            overlap = 2 * (block.longest + edits + 2)
             for batch in batches:
                 ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                found = [(ids[owners[t]], i, e, w) for owners, parts in _pieces(texts, overlap) for t, i, e, w in block.search(parts)]
+                found = [(ids[owners[t]], i, e, w) for owners, piece in _pieces(texts, overlap) for t, i, e, w in block.search(*piece)]
                 columns = list(zip(*found, strict=True)) or [(), (), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(columns[k], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["doc_id", "item_id", "edits", "windows"])
 

@@ -401,11 +401,14 @@ def test_leaks_against_brute_force(spark, monkeypatch):
             words[len(words) // 2 : len(words) // 2] = [w.upper() + rnd.choice(["", ",", " –", "!\n"]) for w in source[at : at + n]]
         docs.append((d, " ".join(words)))
     docs += [(500, None), (501, ""), (502, "x " * 30000 + items[0][1] + " y" * 30000)]
+    # A passage that marks spread over many windows, and one after a word that is longer than any window.
+    docs += [(503, "z " * 3000 + ("-" * 3000).join(next(t for _, t in items if t and len(t.split()) > 20).split()) + " z" * 3000), (504, "q" * 9000 + " " + items[1][1]), (505, " ".join(next(t for _, t in items if t and len(t.split()) > 15).split() * 200))]
     D, I = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     want = leak_truth(docs, items)
     assert len(want) > 15
     assert {tuple(r) for r in leakage.leaked(D, I).collect()} == want
-    monkeypatch.setattr(leakage, "ITEM_BLOCK", 7)
+    monkeypatch.setattr(leakage, "ITEM_CHARS", 900)
+    monkeypatch.setattr(leakage, "PIECE_CHARS", 90)
     assert {tuple(r) for r in leakage.leaked(D.union(D), I).collect()} == want
     assert leakage.leaked(D.limit(0), I).count() == 0 and leakage.leaked(D, I.limit(0)).count() == 0
 
