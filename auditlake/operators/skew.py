@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A column name no input has; clashing names of the input don't matter as inputs are first projected.
 _NODE = "__node__"
+#: Chunks that an input task is reckoned with: tasks read files of bounded size, so more than this many times ``chunk_rows`` rows don't occur.
+_CHUNKS_A_TASK = 32
 
 
 @dataclass(frozen=True)
@@ -44,19 +46,19 @@ def tree_aggregate(df: DataFrame, keys: Sequence[str], states: Sequence[State],
     Every input task is a chunk, and one of more than ``chunk_rows`` rows is several; a chunk is combined where
     it is read (one state a key and chunk). States then merge in rounds: round r groups by (key, chunk //
     fan_in^r), so a reducer gets at most ``fan_in`` states of a key, and the logarithmic number of rounds follows
-    from the number of input tasks alone. Keys are null-safe (null is a group of its own), an empty input gives
+    from the number of input tasks alone (a task counts as _CHUNKS_A_TASK chunks). Keys are null-safe (null is a group of its own), an empty input gives
     no rows, repeated rows count each, and the other columns' names don't matter. ``tasks`` is the number of input
     tasks, for inputs that come out of a shuffle (asking Spark for it would run that shuffle).
     """
     if fan_in < 2:
         raise ValueError("fan_in must be 2 or more")
     row_in_task = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    chunk = F.spark_partition_id().cast("long") + F.floor(row_in_task / F.lit(chunk_rows)).cast("long") * 1_000_003
+    chunk = F.spark_partition_id().cast("long") * _CHUNKS_A_TASK + F.floor(row_in_task / F.lit(chunk_rows)).cast("long") % _CHUNKS_A_TASK
     level = df.withColumn(_NODE, chunk).groupBy(*keys, _NODE).agg(*[s.local.alias(s.name) for s in states])
     merged = [_MERGES[s.merge](s.name).alias(s.name) for s in states]
     if tasks is None:
         tasks = df.rdd.getNumPartitions()
-    for _ in range(rounds_for(max(1, tasks), fan_in)):
+    for _ in range(rounds_for(max(1, tasks) * _CHUNKS_A_TASK, fan_in)):
         level = level.withColumn(_NODE, F.floor(F.col(_NODE) / F.lit(fan_in))).groupBy(*keys, _NODE).agg(*merged)
     result = level.groupBy(*keys).agg(*merged)
     return result.select(*keys, *[(F.expr(s.final) if s.final else F.col(s.name)).alias(s.name) for s in states])

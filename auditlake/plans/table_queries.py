@@ -141,11 +141,11 @@ def u3_url_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.unionByName(raw).where("url is not null").groupBy("url").agg(F.countDistinct("website_url").alias("parents"), F.max("received_at").alias("last_seen"))
 
 
-@R.query(f"""SELECT DISTINCT website_url, user_id FROM backlink_summaries b WHERE website_url IS NOT NULL AND user_id IS NOT NULL
+@R.query(f"""SELECT DISTINCT website_url, user_id FROM activities b WHERE website_url IS NOT NULL AND user_id IS NOT NULL
  AND NOT EXISTS (SELECT 1 FROM backlink_summaries k WHERE k.website_url = b.website_url AND k.user_id = b.user_id AND k.last_fetched >= TIMESTAMP '{NOW}' - INTERVAL 7 DAYS)""")
 def u4_stale_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = table(spark, sf_dir, "backlink_summaries").where("website_url is not null and user_id is not null")
-    return records.stale(links, links, ["website_url", "user_id"], "last_fetched", _now())
+    wanted = table(spark, sf_dir, "activities").where("website_url is not null and user_id is not null")
+    return records.stale(wanted, table(spark, sf_dir, "backlink_summaries"), ["website_url", "user_id"], "last_fetched", _now())
 
 
 @R.query("""
@@ -336,10 +336,14 @@ def t10_request_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.over_limit(table(spark, sf_dir, "events"), "user_id", "ts", 1)
 
 
-@R.query("SELECT event_id, attempt, CASE WHEN attempt <= 3 THEN CAST(5000 * pow(2, attempt) * CASE WHEN event_type = 'error' THEN 2 ELSE 1 END AS BIGINT) END AS delay_ms FROM (SELECT event_id, event_type, event_id % 5 AS attempt FROM events)")
+@R.query("""
+WITH r AS (SELECT user_id, event_id, ts, event_type, value, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM events),
+c AS (SELECT event_id, value, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, run ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS attempt FROM r)
+SELECT event_id, attempt, CASE WHEN attempt <= 3 THEN CAST(5000 * pow(2, attempt) * CASE WHEN value > 50 THEN 2 ELSE 1 END AS BIGINT) END AS delay_ms FROM c WHERE attempt > 0""")
 def t11_retry_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select("event_id", "event_type", (F.col("event_id") % 5).alias("attempt"))
-    return rows.select("event_id", "attempt", timeline.retry_delay(F.col("attempt"), F.col("event_type") == "error").alias("delay_ms"))
+    """The delay after every failure of a user, by how many there were in a row."""
+    runs = timeline.failure_runs(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "error").where("failures > 0")
+    return runs.select("event_id", F.col("failures").alias("attempt"), timeline.retry_delay(F.col("failures"), F.coalesce(F.col("value") > 50, F.lit(False))).alias("delay_ms"))
 
 
 @R.query("""SELECT summary_id, CASE WHEN contains(lower(error_message), 'rate limit') OR contains(lower(error_message), '429') OR contains(lower(error_message), 'too many requests') THEN 'rate_limit'

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.functions import urls
-from auditlake.functions.rounding import first_nonblank
 from auditlake.operators.ordered import chunked, ranked
 from auditlake.plans.registry import Registry
 from auditlake.session import table
@@ -119,9 +118,15 @@ def s10_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("webpage_id", "website_url", F.floor((F.col("k") - 1) / size).cast("long").alias("batch"))
 
 
-@R.query("SELECT webpage_id, coalesce(nullif(trim(title), ''), nullif(trim(meta_description), ''), nullif(trim(url), '')) AS html FROM webpages")
+@R.query("""
+WITH a AS (SELECT webpage_id, CASE WHEN webpage_id % 3 = 0 THEN title END AS b, CASE WHEN status_code IN (429, 500, 502, 503, 504) THEN CASE WHEN webpage_id % 2 = 0 THEN meta_description END WHEN status_code < 400 THEN meta_description END AS r, url AS p FROM webpages)
+SELECT webpage_id, coalesce(nullif(b, ''), nullif(r, ''), nullif(p, '')) AS html, CASE WHEN nullif(b, '') IS NOT NULL THEN 'browser' WHEN nullif(r, '') IS NOT NULL THEN 'request' WHEN nullif(p, '') IS NOT NULL THEN 'plain' END AS how FROM a""")
 def src1_fetch_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "webpages").select("webpage_id", first_nonblank(F.col("title"), F.col("meta_description"), F.col("url")).alias("html"))
+    """Answers to three ways of asking for a page; a server that asks for patience is better at the third time for every other page, at the fifth for the rest."""
+    i, answer = F.col("webpage_id"), lambda status: F.struct(status.alias("status"), F.col("meta_description").alias("html"))
+    later = F.when(i % 2 == 0, F.array(answer(F.col("status_code")), answer(F.lit(503)), answer(F.lit(200)))).otherwise(F.array(*[answer(F.col("status_code"))] * 4, answer(F.lit(200))))
+    pages = table(spark, sf_dir, "webpages").select("webpage_id", feeds.fetched(F.when(i % 3 == 0, F.col("title")), later, F.col("url")).alias("f"))
+    return pages.select("webpage_id", "f.html", "f.how")
 
 
 @R.query("""

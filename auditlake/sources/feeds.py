@@ -65,3 +65,19 @@ def backlink_response(responses: DataFrame, key: str, body: str) -> DataFrame:
 def json_records(rows: DataFrame, key: str) -> DataFrame:
     """(key, record): every row as a JSON object; null values are kept as missing names."""
     return rows.select(key, F.to_json(F.struct("*")).alias("record"))
+
+
+#: Answers after which a page is asked for again, and how often.
+RETRIED, RETRIES = (429, 500, 502, 503, 504), 3
+
+
+def fetched(browser: Column, answers: Column, plain: Column) -> Column:
+    """The page and how it was got: the browser's if it isn't empty, else that of the first answer that isn't to be retried, else a plain request's.
+
+    ``answers`` is an array of (status, html) in the order of asking; those after the last retry don't count. Null is empty.
+    """
+    first = F.get(F.filter(F.slice(answers, 1, RETRIES + 1), lambda a: ~F.coalesce(a.status.isin(*RETRIED), F.lit(False))), F.lit(0))
+    full = lambda c: F.nullif(c, F.lit(""))
+    requested = F.when(first.status < 400, full(first.html))
+    how = F.when(full(browser).isNotNull(), "browser").when(requested.isNotNull(), "request").when(full(plain).isNotNull(), "plain")
+    return F.struct(F.coalesce(full(browser), requested, full(plain)).alias("html"), how.alias("how"))
