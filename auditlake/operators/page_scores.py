@@ -51,14 +51,19 @@ def audit_url(url: Column) -> Column:
     return clamp(score, 0.0, 10.0)
 
 
-def stored_title(title: Column, duplicate: Column) -> Column:
-    n = _len(title)
-    return F.when(n == 0, 0.0).otherwise(clamp(F.lit(10.0) - when(n < TITLE[0], 3) - when(n > TITLE[1], 2) - when(duplicate, 3), 0.0, 10.0))
+def _stored_text(text: Column, limits: tuple[int, int], duplicate: Column, multiple: Column | None) -> Column:
+    n = _len(text)
+    several = F.lit(0.0) if multiple is None else when(multiple, 4)
+    return F.when(n == 0, 0.0).otherwise(clamp(F.lit(10.0) - when(n < limits[0], 3) - when(n > limits[1], 2) - several - when(duplicate, 3), 0.0, 10.0))
 
 
-def stored_description(text: Column, duplicate: Column) -> Column:
-    n = _len(text)
-    return F.when(n == 0, 0.0).otherwise(clamp(F.lit(10.0) - when(n < DESCRIPTION[0], 3) - when(n > DESCRIPTION[1], 2) - when(duplicate, 3), 0.0, 10.0))
+def stored_title(title: Column, duplicate: Column, multiple: Column | None = None) -> Column:
+    """Points off for a title that is short, long, on other pages as well, or not the page's only one."""
+    return _stored_text(title, TITLE, duplicate, multiple)
+
+
+def stored_description(text: Column, duplicate: Column, multiple: Column | None = None) -> Column:
+    return _stored_text(text, DESCRIPTION, duplicate, multiple)
 
 
 def stored_url(url: Column) -> Column:

@@ -20,13 +20,15 @@ def safe_text(*values: Column) -> Column:
     return F.coalesce(*values, F.lit(""))
 
 
+#: Kinds by the name that the schema of a value begins with; all others are numbers.
+_KINDS = {"VOID": "null", "STRING": "string", "BOOLEAN": "boolean", "ARRAY": "array", "OBJECT": "object"}
+
+
 def kind_of(record: Column, path: str) -> Column:
     """What stands at a path of a parsed record: undefined, null, string, number, boolean, array or object."""
-    kind = F.schema_of_variant(F.try_variant_get(record, path, "variant"))
-    return (
-        F.when(kind.isNull(), "undefined").when(kind == "VOID", "null").when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean")
-        .when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object").otherwise("number")
-    )
+    schema = F.schema_of_variant(F.try_variant_get(record, path, "variant"))
+    names = F.create_map(*[F.lit(x) for pair in _KINDS.items() for x in pair])
+    return F.coalesce(F.nvl2(schema, F.coalesce(F.try_element_at(names, F.regexp_extract(schema, "^[A-Z]+", 0)), F.lit("number")), F.lit("undefined")), F.lit("undefined"))
 
 
 def record_text(record: Column, path: str) -> Column:
@@ -82,30 +84,41 @@ def record_problems(record: Column) -> Column:
     return F.array_compact(F.array(*[wrong(f, "string") for f in TEXT_FIELDS], *[wrong(f, "number") for f in NUMBER_FIELDS], *missing))
 
 
-def sanitised(record: Column) -> dict[str, Column]:
-    """Columns of a page record with every field typed and filled; issues that a record brings are kept as they are.
+#: Where the analyser has what the store names otherwise.
+INTENDED = {
+    "images": "$.images.totalCount", "image_score": "$.images.score", "link_score": "$.links.score", "paint": "$.performance.webVitals.estimatedLCP", "performance_score": "$.performance.score",
+}
+
+
+def sanitised(rows: DataFrame, record_name: str, keep: Sequence[str], intended: bool = False) -> DataFrame:
+    """(*keep, fields): page records with every field typed and filled; issues that a record brings are kept as they are.
 
-    A record that is no JSON object counts as an empty one.
+    ``record_name`` is the column of parsed records; one that is no JSON object counts as an empty one. ``intended`` reads an analyser's
+    record as it was meant: fields that have another name there, which are 0 or false otherwise.
     """
+    record = F.col("__record")
+    parsed = rows.select(*keep, F.col(record_name).alias("__record"))
     page = F.coalesce(F.nullif(record_text(record, "$.pageUrl"), F.lit("")), record_text(record, "$.url"))
+    # What others are derived from is a projection of its own, so it is read from the record once.
+    staged = {"__page": page, "__title": record_text(record, "$.title"), "__description": record_text(record, "$.metaDescription"), "__words": record_number(record, "$.wordCount"), "__ease": record_number(record, "$.readabilityScore"), "__h1": record_number(record, "$.headingStructure.h1Count")}
+    parsed = parsed.withColumns(staged)
+    page, title, description, words, ease, h1 = (F.col(c) for c in staged)
+    number = lambda path: record_number(record, path)
     site = F.regexp_replace(F.regexp_extract(page, r"^([a-zA-Z]+://[^/?#]+)", 1), r":\d+$", "")
-    title, description = record_text(record, "$.title"), record_text(record, "$.metaDescription")
-    words, number = record_number(record, "$.wordCount"), lambda path: record_number(record, path)
 
     def issue(of: str, name: str, default: Column) -> Column:
         return F.when(has_object(record, f"$.{of}"), F.try_variant_get(record, f"$.{of}.{name}", "boolean")).otherwise(default)
 
     known = lambda c, default: F.coalesce(F.nullif(c, F.lit("")), F.lit(default))
-    h1 = number("$.headingStructure.h1Count")
-    return {
+    columns = {
         "website_url": F.coalesce(F.nullif(record_text(record, "$.websiteUrl"), F.lit("")), F.nullif(site, F.lit("")), F.nullif(page, F.lit("")), F.lit("unknown")), "page_url": known(page, "unknown"),
         "title": title, "title_length": F.length(title), "title_score": number("$.titleScore"), "meta_description": description, "meta_description_length": F.length(description), "meta_description_score": number("$.metaDescriptionScore"),
-        "word_count": words, "content_score": number("$.contentScore"), "readability_score": number("$.readabilityScore"), "url_score": number("$.urlScore"),
+        "word_count": words, "content_score": number("$.contentScore"), "readability_score": ease, "url_score": number("$.urlScore"),
         "title_too_short": issue("titleIssues", "tooShort", F.length(title) < 30), "title_too_long": issue("titleIssues", "tooLong", F.length(title) > 60), "title_missing": issue("titleIssues", "missing", title == ""),
         "description_too_short": issue("metaDescriptionIssues", "tooShort", F.length(description) < 120), "description_too_long": issue("metaDescriptionIssues", "tooLong", F.length(description) > 160),
         "description_missing": issue("metaDescriptionIssues", "missing", description == ""),
-        "content_too_short": issue("contentIssues", "tooShort", words < 300), "low_density": issue("contentIssues", "lowKeywordDensity", F.lit(False)), "hard_to_read": issue("contentIssues", "poorReadability", number("$.readabilityScore") < 60),
-        **{f"h{n}": number(f"$.headingStructure.h{n}Count") for n in range(1, 7)}, "h1_missing": h1 == 0, "h1_multiple": h1 > 1,
+        "content_too_short": issue("contentIssues", "tooShort", words < 300), "low_density": issue("contentIssues", "lowKeywordDensity", F.lit(False)), "hard_to_read": issue("contentIssues", "poorReadability", ease < 60),
+        "h1": h1, **{f"h{n}": number(f"$.headingStructure.h{n}Count") for n in range(2, 7)}, "h1_missing": h1 == 0, "h1_multiple": h1 > 1,
         "url_too_long": issue("urlIssues", "tooLong", F.length(page) > 100), "url_special": issue("urlIssues", "containsSpecialChars", page.rlike(r"[^a-zA-Z0-9\-_/.]")), "url_params": issue("urlIssues", "containsParams", page.contains("?")),
         "canonical": record_text(record, "$.technicalSeo.canonicalUrl"), "robots": record_text(record, "$.technicalSeo.robotsDirectives"), "has_canonical": record_flag(record, "$.technicalSeo.canonicalTagExists"),
         "images": number("$.images.count"), "bare_images": F.size(record_items(record, "$.images.altTextMissing")), "image_score": number("$.images.imageScore"),
@@ -113,26 +126,10 @@ def sanitised(record: Column) -> dict[str, Column]:
         "responsive": record_flag(record, "$.performance.mobileResponsive"), "page_speed": number("$.performance.pageSpeedScore"), "paint": number("$.performance.coreWebVitals.LCP"), "performance_score": number("$.performance.performanceScore"),
         "duplicate_score": F.coalesce(F.nullif(number("$.duplicates.duplicateScore"), F.lit(0.0)), F.lit(10.0)), "seo_score": number("$.seoScore"), "seo_grade": known(record_text(record, "$.seoGrade"), "F"),
     }
-
-
-#: Where the analyser has what the store names otherwise.
-INTENDED = {
-    "images": "$.images.totalCount", "image_score": "$.images.score", "link_score": "$.links.score", "paint": "$.performance.webVitals.estimatedLCP", "performance_score": "$.performance.score",
-}
-
-
-def mapped(record: Column, intended: bool) -> dict[str, Column]:
-    """sanitised() of an analyser's record; ``intended`` reads the fields that have another name there, which are 0 or false otherwise."""
-    columns = sanitised(record)
     if intended:
-        columns |= {name: record_number(record, path) for name, path in INTENDED.items()}
+        columns |= {name: number(path) for name, path in INTENDED.items()}
         columns["responsive"] = record_flag(record, "$.performance.mobileOptimized.isResponsive")
-    return columns
-
-
-def problems(checks: Sequence[tuple[str, Column]]) -> Column:
-    """Names of the checks that fail, in order; a check that is null counts as failed."""
-    return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks]))
+    return parsed.select(*keep, *[c.alias(name) for name, c in columns.items()])
 
 
 def clean_items(items: Column, text: str, number: str, most: int = 10, longest: int = 200) -> Column:

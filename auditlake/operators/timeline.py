@@ -11,6 +11,8 @@ from auditlake.operators.ordered import CHUNK, chunked, ranked, scan
 #: Milliseconds and factor of the back-off.
 BACKOFF = (2000, 2, 30000)
 RETRY = (5000, 2, 3)
+#: Fixed value: requests of a client that a window of a quarter of an hour takes.
+REQUEST_LIMIT = 200
 
 
 def remaining_seconds(elapsed_ms: Column, progress: Column) -> Column:
@@ -19,6 +21,22 @@ def remaining_seconds(elapsed_ms: Column, progress: Column) -> Column:
     return F.when(elapsed_ms.isNull() | (progress >= 100), 0).otherwise(half_up((elapsed_ms * 100.0 / p - elapsed_ms) / 1000)).cast("long")
 
 
+#: Percent at which the phases of a crawl begin, and how many they have.
+PHASES = {"sitemaps": (0, 30), "children": (30, 20), "saving": (50, 20), "pages": (50, 50)}
+
+
+def phase_progress(phase: str, done: Column, total: Column) -> Column:
+    """Percent of a crawl after ``done`` of a phase's ``total`` steps, halves up; the phase's begin where it has none."""
+    begin, share = PHASES[phase]
+    return F.when(total > 0, F.lit(begin) + half_up(done / total * share)).otherwise(F.lit(begin)).cast("long")
+
+
+def emitted(place: Column, total: Column) -> Column:
+    """Whether a page's progress is told: every 25th page, and the first and the last of its batch."""
+    size = F.least(F.lit(100), F.ceil(total / 10.0))
+    return (place % 25 == 0) | ((place - 1) % size == 0) | (place % size == 0) | (place == total)
+
+
 def failure_runs(events: DataFrame, key: str, order: list[str], failed: Column) -> DataFrame:
     """``events`` with consecutive failures so far, the back-off in ms that they cause, and whether the key is blocked.
 

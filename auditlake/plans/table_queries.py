@@ -71,8 +71,7 @@ _SAVED_NAMES = (
 
 @R.query(f"WITH {_LOOSE} SELECT webpage_id, {_SAVED}, NOT bad AND i % 2 = 1 AS responsive FROM l")
 def n1_sanitised_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = records.sanitised(F.col("record"))
-    return _loose(spark, sf_dir).select("webpage_id", *[columns[n].alias(n) for n in (*_SAVED_NAMES, "responsive")])
+    return records.sanitised(_loose(spark, sf_dir), "record", ["webpage_id"]).select("webpage_id", *_SAVED_NAMES, "responsive")
 
 
 @R.query(f"""WITH {_LOOSE}, v AS (SELECT *, 'undefined' AS un FROM l)
@@ -89,8 +88,10 @@ def n5_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
  0.0::DOUBLE AS stored_link_score, CASE WHEN bad THEN 0.0::DOUBLE WHEN i % 6 = 0 THEN 7.0::DOUBLE WHEN i % 6 = 1 THEN 3.5::DOUBLE ELSE 0.0::DOUBLE END AS link_score, NOT bad AND i % 2 = 1 AS stored_responsive, NOT bad AND i % 2 = 0 AS responsive, CASE WHEN NOT bad AND i % 2 = 1 THEN 2.75::DOUBLE ELSE 0.0::DOUBLE END AS paint, CASE WHEN NOT bad AND i % 2 = 1 THEN 9.0::DOUBLE ELSE 0.0::DOUBLE END AS performance_score FROM l""")
 def n6_mapped_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Analysers' records as the store keeps them, and as they were meant to be kept."""
-    stored, meant = (records.mapped(F.col("record"), intended) for intended in (False, True))
-    return _loose(spark, sf_dir).select("webpage_id", *[stored[n].alias(f"stored_{n}") for n in ("images", "link_score", "responsive")], *[meant[n].alias(n) for n in ("images", "image_score", "link_score", "responsive", "paint", "performance_score")])
+    loose = _loose(spark, sf_dir)
+    stored = records.sanitised(loose, "record", ["webpage_id"]).select("webpage_id", *[F.col(n).alias(f"stored_{n}") for n in ("images", "link_score", "responsive")])
+    meant = records.sanitised(loose, "record", ["webpage_id"], intended=True).select("webpage_id", "images", "image_score", "link_score", "responsive", "paint", "performance_score")
+    return stored.join(meant, "webpage_id")
 
 
 _INTEGERS = ("backlinks", "refdomains", "subnets", "ips", "nofollow_backlinks", "dofollow_backlinks", "inlink_rank", "anchors")
@@ -132,13 +133,14 @@ def u2_sitemap_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.query(r"""
-SELECT url, parents, last_seen FROM (SELECT url, CAST(count(DISTINCT website_url) AS BIGINT) AS parents, max(received_at) AS last_seen FROM (SELECT url, website_url, received_at FROM webpages UNION ALL SELECT regexp_replace(url, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), regexp_replace(website_url, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), received_at FROM raw_pages) WHERE url IS NOT NULL GROUP BY 1)""")
+WITH n AS (SELECT url, 1 AS url_type, website_url, received_at AS seen FROM webpages UNION ALL SELECT regexp_replace(url, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), 1, regexp_replace(website_url, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), received_at FROM raw_pages)
+SELECT url, url_type, website_url, seen FROM (SELECT *, row_number() OVER (PARTITION BY url, url_type ORDER BY seen DESC NULLS LAST, website_url DESC NULLS LAST) AS r FROM n WHERE url IS NOT NULL) WHERE r = 1""")
 def u3_url_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page nodes of the sitemap graph from both deliveries, with the number of sites that list them."""
-    stored = table(spark, sf_dir, "webpages").select("url", "website_url", "received_at")
+    """Page nodes of the sitemap graph: those of stored pages, brought up to date by those of raw ones, by address and type."""
     bare = lambda c: F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "").alias(c)
-    raw = table(spark, sf_dir, "raw_pages").select(bare("url"), bare("website_url"), "received_at")
-    return stored.unionByName(raw).where("url is not null").groupBy("url").agg(F.countDistinct("website_url").alias("parents"), F.max("received_at").alias("last_seen"))
+    node = lambda rows, *columns: rows.where("url is not null").select(columns[0], F.lit(1).alias("url_type"), columns[1], F.col("received_at").alias("seen"))
+    stored = node(table(spark, sf_dir, "webpages"), "url", "website_url")
+    return records.upsert(stored, node(table(spark, sf_dir, "raw_pages"), bare("url"), bare("website_url")), ["url", "url_type"], ["seen", "website_url"])
 
 
 @R.query(f"""SELECT DISTINCT website_url, user_id FROM activities b WHERE website_url IS NOT NULL AND user_id IS NOT NULL
@@ -298,13 +300,34 @@ def t1_remaining_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "activities").select("activity_id", timeline.remaining_seconds(elapsed, F.col("progress")).alias("remaining"))
 
 
-@R.query("""
-WITH k AS (SELECT webpage_id, user_activity_id, row_number() OVER w AS k, count(*) OVER (PARTITION BY user_activity_id) AS n FROM webpages WINDOW w AS (PARTITION BY user_activity_id ORDER BY received_at, webpage_id))
-SELECT webpage_id, CAST(50 + floor(k * 1.0::DOUBLE / n * 50 + 0.5) AS BIGINT) AS progress FROM k WHERE k % 25 = 0 OR k = n""")
-def t2_progress_emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+_PLACED = """WITH k AS (SELECT webpage_id, user_activity_id, row_number() OVER w AS k, count(*) OVER (PARTITION BY user_activity_id) AS n FROM webpages WINDOW w AS (PARTITION BY user_activity_id ORDER BY received_at, webpage_id)),
+s AS (SELECT *, least(100, ceil(n / 10.0)) AS size FROM k)"""
+
+
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with their place among those of their activity, and the number of those."""
     order = ["received_at", "webpage_id"]
-    rows = ranked(chunked(table(spark, sf_dir, "webpages").select("webpage_id", "user_activity_id", "received_at"), "user_activity_id", order), "user_activity_id", order, "k", "n")
-    return rows.where("k % 25 = 0 or k = n").select("webpage_id", (F.lit(50) + F.floor(F.col("k") / F.col("n") * 50 + 0.5)).alias("progress"))
+    rows = table(spark, sf_dir, "webpages").select("webpage_id", "user_activity_id", "received_at")
+    return ranked(chunked(rows, "user_activity_id", order), "user_activity_id", order, "k", "n")
+
+
+@R.query(f"{_PLACED} SELECT webpage_id, CAST(50 + floor(k * 1.0::DOUBLE / n * 50 + 0.5) AS BIGINT) AS progress FROM s WHERE k % 25 = 0 OR (k - 1) % size = 0 OR k % size = 0 OR k = n")
+def t2_progress_emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _placed(spark, sf_dir).where(timeline.emitted(F.col("k"), F.col("n"))).select("webpage_id", timeline.phase_progress("pages", F.col("k"), F.col("n")).alias("progress"))
+
+
+@R.query(f"{_PLACED} SELECT webpage_id, CAST(50 + floor(k * 1.0::DOUBLE / n * 20 + 0.5) AS BIGINT) AS progress FROM s WHERE k % 10 = 0")
+def t3_saved_emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Progress while addresses are saved: told at every tenth."""
+    return _placed(spark, sf_dir).where("k % 10 = 0").select("webpage_id", timeline.phase_progress("saving", F.col("k"), F.col("n")).alias("progress"))
+
+
+@R.query("""SELECT activity_id, CASE WHEN sitemap_count > 0 THEN CAST(floor(least(sitemap_count, crawl_count) * 1.0::DOUBLE / sitemap_count * 30 + 0.5) AS BIGINT) ELSE 0 END AS sitemaps,
+ 30 + CASE WHEN sitemap_count > 0 THEN CAST(floor(least(sitemap_count, crawl_count) * 1.0::DOUBLE / sitemap_count * 20 + 0.5) AS BIGINT) ELSE 0 END AS children FROM activities""")
+def t2_sitemap_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Progress of the sitemap phases, a sitemap done for every crawl so far; an unknown number of crawls gives none."""
+    done = F.when(F.col("crawl_count").isNull(), F.col("sitemap_count")).otherwise(F.least("sitemap_count", "crawl_count"))
+    return table(spark, sf_dir, "activities").select("activity_id", *[timeline.phase_progress(p, done, F.col("sitemap_count")).alias(p) for p in ("sitemaps", "children")])
 
 
 @R.query("""SELECT user_id, ts, event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER w AS value, last_value(CASE WHEN event_type = 'view' THEN event_type END IGNORE NULLS) OVER w AS event_type
@@ -336,6 +359,12 @@ def t10_request_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.over_limit(table(spark, sf_dir, "events"), "user_id", "ts", 1)
 
 
+@R.query("SELECT event_type, time_bucket(INTERVAL 2880 MINUTES, ts, TIMESTAMP '1970-01-01') AS began, count(*) AS requests FROM events GROUP BY 1, 2 HAVING count(*) > 200")
+def t10_limited_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The limit of 200 requests, with kinds of events as clients and windows of two days, as no user comes near it in a quarter of an hour."""
+    return timeline.over_limit(table(spark, sf_dir, "events"), "event_type", "ts", timeline.REQUEST_LIMIT, 2880)
+
+
 @R.query("""
 WITH r AS (SELECT user_id, event_id, ts, event_type, value, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM events),
 c AS (SELECT event_id, value, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, run ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS attempt FROM r)

@@ -149,6 +149,16 @@ def src4_probed_sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.probed_sitemaps(sites, "website_url", answers)
 
 
+@R.query(
+    "SELECT DISTINCT website_url, website_url || p AS sitemap FROM (SELECT DISTINCT website_url FROM activities WHERE website_url IS NOT NULL) a, unnest(["
+    + ", ".join(f"'{p}'" for p in (*urls.SITEMAP_PATHS, "/news.xml"))
+    + "]) t(p) WHERE starts_with(website_url, 'http') AND p IN ('/sitemap.xml', '/news.xml') OR p <> '/news.xml' AND length(website_url || p) % 3 = 0"
+)
+def src4_all_sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sitemaps that a robots file names or that a probe has found, each once."""
+    return src3_robots_sitemaps(spark, sf_dir).unionByName(src4_probed_sitemaps(spark, sf_dir)).distinct()
+
+
 @R.query("SELECT website_url || '/sitemap.xml' AS sitemap_url, url AS loc FROM (SELECT DISTINCT website_url, url FROM webpages WHERE url IS NOT NULL)")
 def src5_sitemap_locs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "webpages").where("url is not null").select("website_url", "url").distinct()

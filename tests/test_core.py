@@ -89,6 +89,13 @@ def test_snapshot_against_brute_force(spark, chunk):
     assert {tuple(r) for r in snapshot_changes(df, "url", chunk_keys=chunk).collect()} == want
 
 
+def test_several_titles(spark):
+    L = F.lit  # noqa: N806
+    title = "x" * 40
+    r = one(spark, page_scores.stored_title(L(title), L(True), L(True)).alias("a"), page_scores.stored_title(L(title), L(False), L(True)).alias("b"), page_scores.stored_description(L("x"), L(True), L(True)).alias("c"), page_scores.stored_title(L(""), L(False), L(True)).alias("d"))
+    assert (r.a, r.b, r.c, r.d) == (3.0, 6.0, 0.0, 0.0)
+
+
 def test_matching_chunks_are_discarded(spark, monkeypatch):
     kept = []
     monkeypatch.setattr(snapshots, "written", lambda df, label: kept.append(df.cache()) or kept[-1])
@@ -109,7 +116,7 @@ def test_loose_records(spark):
     r = F.col("r")
     got = [tuple(x) for x in parsed.orderBy("i").select(records.record_text(r, "$.title"), records.record_number(r, "$.n"), records.record_flag(r, "$.b"), F.size(records.record_items(r, "$.a")), records.has_object(r, "$.o"), records.kind_of(r, "$.n")).collect()]
     assert got == [("c", 12.0, False, 1, True, "string"), ("true", 3.5, True, 0, False, "number"), ("", 0.0, True, 0, False, "null"), ("", 0.0, True, 0, False, "string")] + [("", 0.0, False, 0, False, "undefined")] * 5 + [("7", 0.0, False, 0, False, "undefined")]
-    whole = parsed.select(*[c.alias(n) for n, c in records.sanitised(r).items()]).collect()
+    whole = records.sanitised(parsed, "r", ["i"]).orderBy("i").collect()
     assert len(whole) == len(rows) and whole[7].page_url == "unknown" and whole[7].seo_grade == "F" and whole[7].duplicate_score == 10.0
 
 
