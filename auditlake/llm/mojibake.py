@@ -102,6 +102,8 @@ def _foreign(text: str) -> list[tuple[int, int]]:
     odd = _ODD.findall(text)
     if _TURNED.search(text):
         return [m.span() for m in _CYRILLIC.finditer(text)]
+    if _MIXED.search(text):
+        return [m.span() for m in _MIXED_WORD.finditer(text)]
     if len(odd) < FOREIGN_ROW:
         return []
     if len(odd) > FOREIGN_SHARE * (sum(c.isalpha() for c in text) or 1):
@@ -115,6 +117,10 @@ _ODD_ROW = re.compile(rf"(?:(?![{SIGNS}])[\xa0-\u02ff\u2000-\u25ff]){{{FOREIGN_R
 _ODD_WORD = re.compile(rf"(?<![^\W\d_])(?:(?![{SIGNS}])[\xa0-\u02ff\u2000-\u25ff])+(?![^\W\d_])")
 _TURNED = re.compile(r"(?<!\w)[а-яё][А-ЯЁ]{2,}(?!\w)")
 _CYRILLIC = re.compile(r"[\u0400-\u04ff]+")
+#: Cyrillic letters beside lines, blocks and signs that no word has, or capitals of few words after a small letter: one Cyrillic encoding read as another.
+_MIXED = re.compile(r"[\u0400-\u04ff][€ƒ≈∆\u2219√\u2500-\u259f]|[ƒ≈∆\u2219√\u2500-\u259f][\u0400-\u04ff]|(?<!\d)(?<!\d[ \xa0])€[\u0400-\u04ff]|[а-яё][ЁЄЇЎ]")
+_MIXED_SIGNS = [ord(c) for c in "°€·№¤"]
+_MIXED_WORD = re.compile(r"[\u0400-\u04ff€ƒ≈∆\u2219√\u2500-\u259f]+")
 
 
 def suspects(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
@@ -252,13 +258,17 @@ class PairModel:
             self._seen[key] = text
         return text
 
-    def confused(self, text: str, spans: Sequence[tuple[int, int]]) -> str | None:
-        """The text with the runs read in another one-byte encoding, if that is much likelier."""
+    def confused(self, text: str, spans: Sequence[tuple[int, int]], mixed: bool = False) -> str | None:
+        """The text with the runs read in another one-byte encoding, if that is much likelier; in ``mixed`` ones signs beside Cyrillic letters are letters."""
         cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         inside = np.zeros(len(cp), bool)
         for a, b in spans:
             inside[a:b] = True
-        at = np.flatnonzero(inside & (cp > 127) & ~_signs()[np.minimum(cp, 0x2FFF)])
+        signs = _signs()[np.minimum(cp, 0x2FFF)]
+        if mixed:
+            letter = np.concatenate([[False], (cp >= 0x400) & (cp < 0x500), [False]])
+            signs &= ~(np.isin(cp, _MIXED_SIGNS) & (letter[:-2] | letter[2:]))
+        at = np.flatnonzero(inside & (cp > 127) & ~signs)
         if len(at) < 2 or cp[at].max() >= 0x2600:
             return None
         c = class_table()[cp]
@@ -328,8 +338,9 @@ class PairModel:
                         whole = whole[: m.start()] + f + whole[m.end() :]
                 yield t, None if lost or _HARD.search(whole) else whole
             elif left and sum(peak for _, _, peak in found) >= DOUBT:
-                whole = self.confused(text, left)
-                if whole is not None:
+                mixed = bool(_MIXED.search(text))
+                whole = self.confused(text, left, mixed)
+                if whole is not None or mixed:  # what no clean text has is garbled, whether or not it can be restored
                     yield t, whole
 
 

@@ -140,8 +140,28 @@ def test_garbling_is_found_however_frequent(spark, share):
     assert got == mapped
 
 
+@pytest.mark.parametrize("codec", ["cp866", "mac_cyrillic"])
+@pytest.mark.parametrize("share", [3, 40])
+def test_one_cyrillic_encoding_read_as_another(spark, codec, share):
+    clean = clean_corpus()
+    words = "Прочные свечи и чашки для друзей, яркие шторы".split()
+    rnd = random.Random(share)
+    rows = [(i, t, None) for i, t in enumerate(clean)]
+    want = {}
+    for i in range(300):
+        good = " ".join([*rnd.sample(words, 6), "яблоня"])
+        bad = broken(good, "cp1251", codec)
+        rows.append((10_000 + i, bad if i % share == 0 else good, None))
+        if i % share == 0:
+            want[10_000 + i] = good
+    df = spark.createDataFrame(rows, "webpage_id long, title string, meta_description string")
+    got = {r.webpage_id: r.restored for r in mojibake.garbled(df).collect()}
+    assert set(got) == set(want)
+    assert sum(got[k] == want[k] for k in want) >= 0.9 * len(want)
+
+
 def test_clean_text_has_no_shape_of_garbling():
-    for text in ("«В» и «А»", "её дом", "В\xa0доме «Город»", "LE CAFÉ» – «É", "MAÇÃ» x", "příště þýða žížeň", "Рік і Рёбра", "Größe – Ärger", "naïve—être", "20 °C ½ “x” ✓", "Ångström Öl", "ΑΒΓ Άλφα"):
+    for text in ("«В» и «А»", "её дом", "В\xa0доме «Город»", "LE CAFÉ» – «É", "MAÇÃ» x", "příště þýða žížeň", "Рік і Рёбра", "Größe – Ärger", "naïve—être", "20 °C ½ “x” ✓", "Ångström Öl", "ΑΒΓ Άλφα", "їжа її, Єва й Ёлка", "цена 20€ и √2", "по 5 €за штуку", "■ Текст · №5", "ЁЛКИ и ЁЖ", "рука–об–руку"):
         assert mojibake.suspects(text) == ([], []), text
 
 
