@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from auditlake.functions import html, text, urls
 from auditlake.operators import duplicates, page_facts, spelling
 from auditlake.plans import page_queries
+from tests.oracle import connection, rows_of_spark, rows_of_sql
 
 
 def levenshtein(a, b):
@@ -107,6 +108,33 @@ def test_suggestions_against_brute_force(spark):
     assert spelling.suggestions(words.limit(0), spark.createDataFrame([], "word string, n long")).count() == 0
 
 
+def test_suggestions_shuffle_words_once_a_block(spark, monkeypatch):
+    """No keys of words are formed in the plan: neither exploded, nor shuffled, nor broadcast; several blocks give what one gives."""
+    rnd = random.Random(8)
+    known = spark.createDataFrame(sorted({"".join(rnd.choice("abcd") for _ in range(rnd.choice([4, 6, 24, 25]))): 3 + i % 5 for i in range(200)}.items()), "word string, n long")
+    words = spark.createDataFrame([("".join(rnd.choice("abcd") for _ in range(6)) + "x",) for _ in range(100)], "word string")
+    one = spelling.suggestions(words, known)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "BroadcastExchange" not in plan
+    monkeypatch.setattr(spelling, "KNOWN_BLOCK", 30)
+    monkeypatch.setattr(spelling, "ASKED_BLOCK", 20)
+    monkeypatch.setattr(spelling, "PAIRS", 50)
+    many = spelling.suggestions(words, known)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect())) and one.count() > 20
+
+
+@pytest.mark.parametrize("name", ["a9_spelling", "a10_edit_distance", "a20_quality"])
+def test_spelling_of_repeated_documents(spark, tmp_path, name):
+    """Records of one doc_id are one text; records without one are no text for the dictionary, but have errors."""
+    rows = [(1, "Garden lamps and chairs. lmaps " * 60), (1, "lmaps zebra, gardne 3 lamps"), (2, "garden lamps zebra"), (3, "garden lamps zebra chairs gardens"), (None, "garden chairs oddword"), (None, "lmaps oddword"), (4, None), (5, ""), (6, "see http://x.test/lmapz or me@lmapz.test, lampé lamp_s CHAIR5s")]
+    if name == "a20_quality":
+        rows = [r for r in rows if r[0] not in (None, 1)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/d")
+    next((tmp_path / "d").glob("*.parquet")).rename(tmp_path / "documents.parquet")
+    got, want = rows_of_spark(page_queries.QUERIES[name](spark, str(tmp_path))), rows_of_sql(connection(str(tmp_path)), page_queries.SQL[name])
+    assert got == want and want
+
+
 def test_spelling_edges(spark):
     texts = [(1, None, 0), (2, "", 0), (3, "Lamps and lamps and lmaps, see https://x.example/lmaps or me@lmaps.example 12lmaps", 0), (4, "lmaps " * 250, 0), (5, " ".join("w" + a + b for a in "abcdefghijklmnopqrst" for b in "abcdefghij"), 0)]
     df = spark.createDataFrame(texts, "k int, text string, word int")
