@@ -171,6 +171,28 @@ def test_similar_contents_against_brute_force(spark):
     assert got == want and sum(w[2] for w in want.values()) > 200
 
 
+def test_similar_sets_meet_in_blocks(spark, monkeypatch):
+    """Sets of 1 to 1,200 words in several blocks against brute force; words are neither exploded nor shuffled to find pairs."""
+    rnd = random.Random(5)
+    rows = []
+    for i in range(150):
+        n = rnd.choice([1, 2, 5, 24, 25, 26, 100, 140, 300, 1200])
+        words = random.Random(rnd.randrange(5)).sample(range(20_000), n)
+        rows.append((i, [f"w{x if rnd.random() > 0.1 else rnd.randrange(20_000)}" for x in words]))
+    rows += [(i + 500, w[::-1] + w[:1]) for i, w in rows[:20]] + [(900, []), (901, None)]
+    monkeypatch.setattr(duplicates, "SET_BLOCK", 10)
+    monkeypatch.setattr(duplicates, "SET_ROWS", 7)
+    df = duplicates.similar_sets(spark.createDataFrame(rows, "k long, w array<string>"), "k", "w", 70)
+    first = {}
+    for k, w in rows:
+        if w:
+            first.setdefault(frozenset(w), k)
+    want = {(a, b): round(100 * len(u & v) / len(u | v), 6) for u, a in first.items() for v, b in first.items() if a < b and len(u & v) >= 0.7 * len(u | v) - 1e-9}
+    got = [((r.a, r.b), round(r.jaccard, 6)) for r in df.collect()]
+    assert dict(got) == want and len(got) == len(want) > 50
+    assert "Generate" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_grammar_matches(spark):
     texts = [(1, "Its a fact.  your going , then faster i am!!"), (2, None), (3, "wait.. " * 90), (4, "")]
     df = spark.createDataFrame(texts, "k long, text string")
