@@ -123,7 +123,7 @@ def test_suggestions_shuffle_words_once_a_block(spark, monkeypatch):
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect())) and one.count() > 20
 
 
-@pytest.mark.parametrize("name", ["a9_spelling", "a10_edit_distance", "a20_quality"])
+@pytest.mark.parametrize("name", ["a9_spelling", "a10_edit_distance", "a11_confidence", "a20_quality"])
 def test_spelling_of_repeated_documents(spark, tmp_path, name):
     """Records of one doc_id are one text; records without one are no text for the dictionary, but have errors."""
     rows = [(1, "Garden lamps and chairs. lmaps " * 60), (1, "lmaps zebra, gardne 3 lamps"), (2, "garden lamps zebra"), (3, "garden lamps zebra chairs gardens"), (None, "garden chairs oddword"), (None, "lmaps oddword"), (4, None), (5, ""), (6, "see http://x.test/lmapz or me@lmapz.test, lampé lamp_s CHAIR5s")]
