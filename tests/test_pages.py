@@ -135,6 +135,12 @@ def test_spelling_of_repeated_documents(spark, tmp_path, name):
     assert got == want and want
 
 
+@pytest.mark.parametrize("name", ["a9_spelling", "a11_confidence"])
+def test_spelling_plans_form_no_keys(spark, data, name):
+    """What is left to run after the words are written has no rows of keys, which were broadcast."""
+    assert "MapInArrow" not in page_queries.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_spelling_edges(spark):
     texts = [(1, None, 0), (2, "", 0), (3, "Lamps and lamps and lmaps, see https://x.example/lmaps or me@lmaps.example 12lmaps", 0), (4, "lmaps " * 250, 0), (5, " ".join("w" + a + b for a in "abcdefghijklmnopqrst" for b in "abcdefghij"), 0)]
     df = spark.createDataFrame(texts, "k int, text string, word int")
