@@ -3,6 +3,7 @@
 import random
 from urllib.parse import urljoin
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +58,35 @@ def test_similar_texts_against_brute_force(spark, tmp_path, name, column, least)
     assert set(got) == want
 
 
+@pytest.mark.parametrize(("least", "sketched"), [(85, 1000), (80, 0)])
+def test_similar_texts_meet_in_blocks(spark, monkeypatch, least, sketched):
+    """No pairs of characters are exploded to find similar texts; many small blocks and tiles, with sketches or rare characters, give what brute force gives."""
+    rnd = random.Random(least)
+    bases = [" ".join("".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(n)) for n in (2, 5, 9, 14, 30)] + ["Новые книги для детей и взрослых", "\U0001f642 新しい本"]
+    texts = {}
+    for i in range(140):
+        chars = list(rnd.choice(bases))
+        for _ in range(rnd.randrange(0, len(chars) // 4)):
+            chars[rnd.randrange(len(chars))] = rnd.choice(["", "x", "e ", "ж"])
+        texts.setdefault(" ".join("".join(chars).lower().split(" ")).strip() or "x", i)
+    pages = spark.createDataFrame([(i, t, "s") for t, i in texts.items()] + [(1000 + i, t, f"t{i % 9}") for t, i in texts.items()], "k long, t string, s string")
+    site = lambda i: "s" if i < 1000 else f"t{i % 1000 % 9}"
+    every = [(i, t) for t, i in texts.items()] + [(1000 + i, t) for t, i in texts.items()]
+    want = {(site(i), i, j, r) for i, t in every for j, u in every if i < j and site(i) == site(j) and (r := duplicates.ratio(t, u)) >= least}
+    one = duplicates.similar_neighbours(pages, "s", "k", "t", least)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and {tuple(r) for r in one.collect()} == want and len(want) > 100
+    for name, value in (("FEW_TEXTS", 0), ("TEXT_BLOCK", 40), ("TILE", 16), ("PAIRS", 50), ("SKETCH_ROWS", 7), ("SKETCHED", sketched)):
+        monkeypatch.setattr(duplicates, name, value)
+    mine = every[: len(texts)]
+    half = np.arange(len(mine)) % 2 == 0
+    got = duplicates._alike(np.array([i for i, _ in mine]), [t for _, t in mine], half, least)
+    ids = [i for i, _ in mine]
+    assert {(a, b, c) for f in got for a, b, c in zip(*(x.tolist() for x in f), strict=True)} == {(a, b, r) for s, a, b, r in want if s == "s" and half[ids.index(a)] != half[ids.index(b)]}
+    many = [tuple(r) for r in duplicates.similar_neighbours(pages, "s", "k", "t", least).collect()]
+    assert len(many) == len(set(many)) and set(many) == want
+
+
 def test_links_resolve_as_the_standard_says(spark):
     bases = ["https://a.example", "https://a.example/", "https://a.example/b/c/d", "https://a.example/b/c/", "http://a.example:8080/b//c?q=/x/y#f", "https://a.example/b/../c/d"]
     hrefs = ["x", "./x", "../x", "../../x", "../../../x", "x/", "x/../y", "x/./y", "x/..", ".", "..", "./", "../", "/", "/x/../../y", "//c.example/z", "?n=1", "#f", "x?a=../b", "/x//y", "http://o.example/../q", "mailto:a@b.example", "a/b/c/../../d", "x#../y"]
