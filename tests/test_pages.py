@@ -87,6 +87,24 @@ def test_similar_texts_meet_in_blocks(spark, monkeypatch, least, sketched):
     assert len(many) == len(set(many)) and set(many) == want
 
 
+@pytest.mark.parametrize("narrow", [False, True])
+def test_few_whole_descriptions_are_compared(monkeypatch, narrow):
+    """Counts and rare characters leave few pairs of long texts to compare whole, and none is lost, also if they look at fewer characters than texts have."""
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("eeeaaoorrsttnnilcdmpbughkvwfyjxqz") for _ in range(rnd.randrange(2, 10))) for _ in range(900)]
+    bases = [" ".join(rnd.choices(words, k=rnd.randrange(12, 30))) for _ in range(70)]
+    texts = list(dict.fromkeys("".join(ch if rnd.random() > spoiled else rnd.choice(["", "e", "zq"]) for ch in b) for b in bases for spoiled in (0, 0.1, 0.2, 0.25)))
+    if narrow:
+        for name, value in (("TILE_CHARS", 20), ("MET_CHARS", 24), ("RARE_PAIRS", 30), ("MET_ROWS", 5), ("FEATURES", 40), ("TILE", 50)):
+            monkeypatch.setattr(duplicates, name, value)
+    asked, real = [], duplicates._subsequences
+    monkeypatch.setattr(duplicates, "_subsequences", lambda x, i, j: asked.append(len(i)) or real(x, i, j))
+    found = duplicates._alike(np.arange(len(texts)), texts, np.zeros(len(texts), bool), 80)
+    want = {(a, b, r) for a in range(len(texts)) for b in range(a + 1, len(texts)) if (r := duplicates.ratio(texts[a], texts[b])) >= 80}
+    assert {(a, b, c) for f in found for a, b, c in zip(*(x.tolist() for x in f), strict=True)} == want and len(want) > 100
+    assert narrow or sum(asked) < len(texts) ** 2 / 2 * 0.03
+
+
 def test_links_resolve_as_the_standard_says(spark):
     bases = ["https://a.example", "https://a.example/", "https://a.example/b/c/d", "https://a.example/b/c/", "http://a.example:8080/b//c?q=/x/y#f", "https://a.example/b/../c/d"]
     hrefs = ["x", "./x", "../x", "../../x", "../../../x", "x/", "x/../y", "x/./y", "x/..", ".", "..", "./", "../", "/", "/x/../../y", "//c.example/z", "?n=1", "#f", "x?a=../b", "/x//y", "http://o.example/../q", "mailto:a@b.example", "a/b/c/../../d", "x#../y"]
