@@ -189,6 +189,52 @@ def test_spelling_plans_form_no_keys(spark, data, name):
     assert "MapInArrow" not in page_queries.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
 
 
+def _shuffled(spark, run):
+    """Records and bytes that the stages of a run write for others."""
+    context, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+
+    def status():
+        context.listenerBus().waitUntilEmpty(30_000)
+        stages = context.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return [stages.apply(i) for i in range(stages.size())]
+
+    before = {(s.stageId(), s.attemptId()) for s in status()}
+    run()
+    new = [s for s in status() if (s.stageId(), s.attemptId()) not in before]
+    return sum(s.shuffleWriteRecords() for s in new), sum(s.shuffleWriteBytes() for s in new)
+
+
+def test_suggestions_words_go_to_blocks_of_their_keys(spark, monkeypatch):
+    """However many blocks there are, a word goes to no more of them than it has keys; the suggestions stay the same."""
+    rnd = random.Random(4)
+    some = lambda k: sorted({"".join(rnd.choice("abcdé") for _ in range(rnd.choice([3, 4, 4, 23, 25]))) for _ in range(k)})
+    known, asked = [(w, 3 + len(w) % 2) for w in some(150)], [(w,) for w in some(150)] + [(w[:9] + w[10:20] + "x" + w[20:],) for w in some(30) if len(w) > 22]
+    known += [(w[:5] + "é" + w[6:], 7) for (w,) in asked if len(w) > 22]
+    known, asked = spark.createDataFrame(known, "word string, n long"), spark.createDataFrame(asked, "word string").distinct()
+    one = sorted(map(tuple, spelling.suggestions(asked, known).collect()))
+    short = "length(word) < 5"
+    monkeypatch.setattr(spelling, "KNOWN_BLOCK", 12)
+    assert sorted(map(tuple, spelling.suggestions(asked, known).collect())) == one and {len(w) < 5 for w, *_ in one} == {True, False}
+    monkeypatch.setattr(spelling, "KNOWN_BLOCK", 1)
+    monkeypatch.setattr(spelling, "KNOWN_KEYS", 4, raising=False)
+    few = known.where(short), asked.where(short)
+    words = few[0].count() + few[1].count()
+    records, _ = _shuffled(spark, lambda: spelling.suggestions(few[1], few[0]).count())
+    assert words > 100 and records < 25 * words
+
+
+def test_corpus_unknown_shuffles_rare_words_only(spark):
+    """Texts don't travel to their unknown words: what is shuffled is far less than the texts have."""
+    rnd = random.Random(9)
+    common = ["".join(rnd.choice("abcdefghij") for _ in range(7)) for _ in range(300)]
+    rows = [(i, " ".join(rnd.choice(common) for _ in range(1000)) + f" rare{common[i % 300]}{common[i // 300]}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc long, text string").coalesce(2)
+    got = []
+    _, size = _shuffled(spark, lambda: got.extend(spelling.corpus_unknown(df, "doc", "text")))
+    assert {(r.doc, r.batch, r.word) for r in got[0].collect()} == {(k, 10, t.split()[-1]) for k, t in rows} and got[1].count() == 300
+    assert size < 0.03 * sum(len(t) for _, t in rows)
+
+
 def test_spelling_edges(spark):
     texts = [(1, None, 0), (2, "", 0), (3, "Lamps and lamps and lmaps, see https://x.example/lmaps or me@lmaps.example 12lmaps", 0), (4, "lmaps " * 250, 0), (5, " ".join("w" + a + b for a in "abcdefghijklmnopqrst" for b in "abcdefghij"), 0)]
     df = spark.createDataFrame(texts, "k int, text string, word int")
